@@ -46,7 +46,7 @@ def performance(df: DataFrame, keys: list[str], nav: str = "nav", date: str = "d
     if holdings:
         rows = rows.withColumn("__a", F.max((F.col(holdings) > 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__a = 1")
     rows = rows.withColumn("dd", drawdown(nav, w))
-    short = F.least(F.col("ret") - rf / per_year, F.lit(0.0))
+    short = F.when(F.col("ret").isNotNull(), F.least(F.col("ret") - rf / per_year, F.lit(0.0)))
     g = rows.groupBy(*keys).agg(
         F.min_by(nav, date).alias("first"), F.max_by(nav, date).alias("last"), F.count("*").alias("days"), F.stddev_samp("ret").alias("sd"), F.avg(short * short).alias("down"),
         F.min("dd").alias("max_drawdown"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("double"))).alias("win_rate"), compounded("ret").alias("grown"),

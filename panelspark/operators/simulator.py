@@ -152,7 +152,7 @@ def run_scenarios(market: DataFrame, targets: DataFrame, scenarios: dict[str, tu
     named = targets.select("ts_code").distinct()
     cols = ["trade_date", "ts_code", "open", "close", *(c for c in ("amount", "buy_block_reason", "sell_block_reason") if c in market.columns)]
     m = market.join(named, "ts_code", "left_semi").select(*cols)
-    grid = F.broadcast(spark.createDataFrame([(k,) for k in scenarios], "scenario string"))
+    grid = lambda: F.broadcast(spark.createDataFrame([(k,) for k in scenarios], "scenario string"))  # noqa: E731  one for each side
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rules, costs = scenarios[key[0]]
@@ -160,7 +160,7 @@ def run_scenarios(market: DataFrame, targets: DataFrame, scenarios: dict[str, tu
         rows = [(key[0], "order", x, None, None) for x in orders] + [(key[0], "nav", None, x, None) for x in navs] + [(key[0], "position", None, None, x) for x in places]
         return pd.DataFrame(rows, columns=["scenario", "kind", "orders", "nav", "position"])
 
-    left, right = m.crossJoin(grid), targets.select("trade_date", "ts_code", "target_weight").crossJoin(grid)  # each scenario is a full run
+    left, right = m.crossJoin(grid()), targets.select("trade_date", "ts_code", "target_weight").crossJoin(grid())  # each scenario is a full run
     return left.groupBy("scenario").cogroup(right.groupBy("scenario")).applyInPandas(run, OUT)
 
 
