@@ -9,16 +9,17 @@ share a band are candidates. At a similarity of 0.75 a pair of texts misses all
 bands with a chance of about 3e-11, and less above.
 
 1. Texts with equal sets form a class, held by its smallest id.
-2. Every holder is paired with the smallest one of each band it shares (a star,
-   so pairs grow with the rows and not with their squares). Pairs whose
+2. Every holder is paired with two of each band it shares, the one with most
+   company over all bands and the smallest (stars, so pairs grow with the rows
+   and not with their squares). Pairs whose
    estimate, corrected for chance collisions of registers, is well below the
    bound are dropped; the others are confirmed on full shingle sets, rebuilt
    from the texts. Confirmed links give components.
 3. What stars may miss are links between different components of one band.
    Bands with more than one component left are searched again, in chunks of
-   CHUNK holders against chunks, by sketches; pairs of different components
-   that pass the estimate are confirmed too, and components are formed anew.
-   No band is capped or skipped.
+   CHUNK holders, by sketches; pairs of different components that pass the
+   estimate, and one by a finer sketch of FINE registers, are confirmed too,
+   and components are formed anew. No band is capped or skipped.
 
 Texts without words, null texts among them, have an empty set and no links.
 Fewer than 5 words form one shingle of their own kind. A null id takes no part
@@ -41,6 +42,9 @@ LEADING, MANTISSA = 6, 10
 EMPTY = 0xFFFF
 #: Pairs with an estimate below this are not confirmed: over six standard errors of 256 registers from 0.75.
 LEAST_ESTIMATE = 0.57
+#: Registers of the finer sketch that pairs beyond the stars must pass, and its least estimate (five standard errors).
+FINE_BITS = 10
+FINE, LEAST_FINE = 1 << FINE_BITS, 0.68
 CHUNK = 512
 LOT_ROWS = 20_000
 ROUNDS = 40
@@ -84,6 +88,18 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_sketch(own: np.ndarray) -> np.ndarray:
+    """FINE registers of one pass, by the set's own hashes: nearly the set itself if that is small."""
+    out = np.full(FINE, EMPTY, np.uint16)
+    at = np.searchsorted(own, np.arange(FINE, dtype=U64) << U64(64 - FINE_BITS))
+    full = at < np.append(at[1:], len(own))
+    low = own[at[full]] & U64((1 << (64 - FINE_BITS)) - 1)
+    top = np.minimum(64 - FINE_BITS - np.frexp(low.astype(np.float64))[1], (1 << LEADING) - 2)
+    rest = (low << (top + FINE_BITS + 1).astype(U64)) >> U64(64 - MANTISSA)
+    out[full] = (top.astype(np.uint16) << MANTISSA) | rest.astype(np.uint16)
+    return out
+
+
 def bands(registers: np.ndarray) -> np.ndarray:
     """64-bit keys of the bands that aren't all empty."""
     grouped = registers.reshape(PASSES // BAND, BAND, BUCKETS).transpose(0, 2, 1).reshape(-1, BAND)
@@ -194,35 +210,53 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"components not settled after {ROUNDS} rounds")
 
 
+def fine_sketches(docs: DataFrame) -> DataFrame:
+    """id, t and the finer sketch of each text."""
+
+    def work(batches):
+        for b in batches:
+            fine = [fine_sketch(shingles(x)).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fine, pa.binary())], ["id", "t", "fine"])
+
+    return docs.select("id", "t").mapInArrow(work, "id bigint, t binary, fine binary")
+
+
 def mixed_pairs(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs of different components in one band that pass the estimate. holders: id, n_shingles, registers."""
+    """Pairs of different components that share a band and pass both estimates. holders: id, n_shingles, registers, fine.
+
+    Each band has a home, its largest component. Bands of one home are searched
+    together, so a pair that shares many bands is looked at once: holders of the
+    home lie in their own chunk and need no look among themselves; the others
+    visit every chunk.
+    """
     named = bands_.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rows = named.join(mixed.select("band", "n"), "band").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    # a chunk meets itself and every other once: cell (i, j) with i <= j
-    cells = rows.select("band", "id", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    cells = cut(cells.select("band", "id", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")), "near_cells")
+    sizes = named.groupBy("band", "component").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component"))["component"].alias("home")).where("parts > 1")
+    rows = cut(named.join(mixed.select("band", "home"), "band").select("home", "id", "component").distinct(), "near_homes")
+    rows = rows.join(rows.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "home")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    visits = F.when(F.col("component") == F.col("home"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    cells = cut(rows.select("home", "id", "component", "own", F.explode(visits).alias("chunk")), "near_cells")
     lots = max(64, cells.count() // LOT_ROWS)
-    cells = cells.withColumn("lot", F.pmod(F.xxhash64("band", "i", "j"), F.lit(lots)).cast("int")).join(holders.select("id", "n_shingles", "registers"), "id")
+    cells = cells.withColumn("lot", F.pmod(F.xxhash64("home", "chunk"), F.lit(lots)).cast("int")).join(holders, "id")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        band, i, j, chunk, ids, comps, sizes = (table.column(c).to_numpy() for c in ("band", "i", "j", "chunk", "id", "component", "n_shingles"))
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
-        order = np.lexsort((ids, chunk, j, i, band))
+        homes, own, chunk, ids, comps, sizes_ = (table.column(c).to_numpy() for c in ("home", "own", "chunk", "id", "component", "n_shingles"))
+        settled = comps == homes
+        regs, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint16).reshape(len(ids), -1) for c in ("registers", "fine"))
+        order = np.lexsort((ids, chunk, homes))
         new = np.ones(len(order), dtype=bool)
-        new[1:] = np.any([np.diff(x[order]) != 0 for x in (band, i, j)], axis=0)
+        new[1:] = (np.diff(homes[order]) != 0) | (np.diff(chunk[order]) != 0)
         edges, found = np.append(np.flatnonzero(new), len(order)), set()
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            own = order[lo:hi]
-            lone = i[own[0]] == j[own[0]]
-            # in a cell of two chunks the lower one's rows come first and meet the other's only
-            first = len(own) if lone else int(np.searchsorted(chunk[own], i[own[0]], side="right"))
-            for k in range(first):
-                a, rest = own[k], own[k + 1 if lone else first :]
-                at = rest[(comps[rest] != comps[a]) & (100 * np.minimum(sizes[rest], sizes[a]) >= PERCENT * np.maximum(sizes[rest], sizes[a]))]
+            cell = order[lo:hi]
+            stay = cell[own[cell] == chunk[cell[0]]]
+            for a in cell[~settled[cell]]:
+                at = stay[(comps[stay] != comps[a]) & (settled[stay] | (ids[stay] < ids[a])) & (100 * np.minimum(sizes_[stay], sizes_[a]) >= PERCENT * np.maximum(sizes_[stay], sizes_[a]))]
                 if len(at):
                     at = at[estimate(regs[at], regs[a][None, :]) >= LEAST_ESTIMATE]
+                if len(at):
+                    at = at[estimate(fine[at], fine[a][None, :]) >= LEAST_FINE]
                     found.update((min(ids[a], x), max(ids[a], x)) for x in ids[at])
         pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -241,19 +275,24 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     copies = cut(copies, "near_copies")
     holders = sets.join(copies.select("id").distinct(), "id", "left_anti")
     shared = banded(holders)
-    hubs = shared.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("band", "hub")
-    shared = cut(shared.join(hubs, "band").select("band", "id", "hub"), "near_bands")
+    crowds = shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(shared.join(crowds, "band").select("band", "id", "n"), "near_bands")
+    # a text that others were made from shares more bands with them than they share: it makes the better hub
+    degree = cut(shared.groupBy("id").agg(F.sum("n").alias("degree")), "near_degrees")
+    best = F.max(F.struct("degree", (-F.col("id")).alias("id")))["id"]
+    hubs = shared.join(degree, "id").groupBy("band").agg((-best).alias("hub"), F.min("id").alias("low"))
     active = cut(shared.select("id").distinct(), "near_active")
     wanted = small(active, BROADCAST_IDS)
     sizes = cut(sets.join(wanted, "id", "left_semi").select("id", "n_shingles", "registers").dropDuplicates(["id", "registers"]), "near_active_sketches")
-    whole = cut(docs.join(wanted, "id", "left_semi").dropDuplicates(["id", "t"]), "near_active_texts")
-    stars = shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    whole = cut(fine_sketches(docs.join(wanted, "id", "left_semi").dropDuplicates(["id", "t"])), "near_active_texts")
+    spokes = shared.select("band", "id").join(hubs, "band").select("id", F.explode(F.array("hub", "low")).alias("hub")).where("id != hub")
+    stars = spokes.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     stars = stars.join(sizes.toDF("b", "nb", "rb"), "b").join(sizes.toDF("a", "na", "ra"), "a")
     stars = cut(likely(stars), "near_stars")
     links = cut(confirmed(stars, whole), "near_links")
     same = copies.select(F.col("holder").alias("a"), F.col("id").alias("b"))
     first = cut(components(links), "near_first")
-    more = cut(mixed_pairs(shared.select("band", "id"), sizes, first).join(stars, ["a", "b"], "left_anti"), "near_mixed")
+    more = cut(mixed_pairs(shared.select("band", "id"), sizes.join(whole.select("id", "fine"), "id"), first).join(stars, ["a", "b"], "left_anti"), "near_mixed")
     found = components(links.unionByName(confirmed(more, whole)).unionByName(same))
     rows = every.select("id", "n_shingles").join(found, "id", "left")
     component = F.coalesce("component", "id")
