@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from .util import small_batches
 
 #: Pieces kept with their ids: two generations of so many at most.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 CACHE_BYTES = 64
 RUN = 1 << 18
+_BIT = [1 << i for i in range(64)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,47 +42,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
-class RankQueue:
-    """Positions by rank. Lowest rank first, within a rank the leftmost."""
-
-    def __init__(self, ranks: int) -> None:
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position); (-1, -1) if empty."""
-        top = self.top
-        if not top:
-            return -1, -1
-        i = (top & -top).bit_length() - 1
-        word = self.mid[i]
-        j = i << 6 | (word & -word).bit_length() - 1
-        word = self.low[j]
-        rank = j << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[j] &= self.low[j] - 1
-            if not self.low[j]:
-                self.mid[i] &= self.mid[i] - 1
-                if not self.mid[i]:
-                    self.top &= self.top - 1
-        return rank, at
-
-
 class Codec:
     """Encodes and decodes by a rank table; rank = token id."""
 
@@ -92,7 +52,9 @@ class Codec:
             self.vocabulary[rank] = token
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(len(self.vocabulary))
+        # the bitmap over ranks: a bit a rank, a bit a word of those, and (in merge) a bit a word of these; all zero between calls
+        self.low = [0] * (len(self.vocabulary) // 64 + 1)
+        self.mid = [0] * (len(self.vocabulary) // 4096 + 1)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -101,37 +63,70 @@ class Codec:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, rank_of, words, queue = len(piece), self.ranks.get, self.vocabulary, self.queue
-        ids = [self.of_byte[b] for b in piece]
+        n, rank_of, words = len(piece), self.ranks.get, self.vocabulary
+        of_byte, low, mid, top = self.of_byte, self.low, self.mid, 0
+        ids = [of_byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waits = [-1] * n  # the rank of the pair that starts here
+        buckets: dict[int, list[int]] = {}
         for i in range(n - 1):
             rank = rank_of(piece[i : i + 2])
             if rank is not None:
                 waits[i] = rank
-                queue.push(rank, i)
-        while True:
-            rank, i = queue.pop()
-            if rank < 0:
-                break
-            if waits[i] != rank:
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending, so a heap
+                else:
+                    buckets[rank] = [i]
+                    j = rank >> 6
+                    low[j] |= _BIT[rank & 63]
+                    mid[j >> 6] |= _BIT[j & 63]
+                    top |= _BIT[j >> 6]
+        while top:
+            i = (top & -top).bit_length() - 1
+            word = mid[i]
+            j = (i << 6) + (word & -word).bit_length() - 1
+            word = low[j]
+            rank = (j << 6) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
+                del buckets[rank]
+                low[j] = word & (word - 1)
+                if not low[j]:
+                    mid[i] &= mid[i] - 1
+                    if not mid[i]:
+                        top &= top - 1
+            if waits[at] != rank:
                 continue
-            gone = after[i]
-            ids[i], ids[gone], waits[gone] = rank, -1, -1
-            after[i] = right = after[gone]
-            waits[i] = -1
-            if right < n:
-                before[right] = i
-                new = rank_of(words[rank] + words[ids[right]])
-                if new is not None:
-                    waits[i] = new
-                    queue.push(new, i)
-            left = before[i]
-            if left >= 0:
-                new = rank_of(words[ids[left]] + words[rank])
-                waits[left] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, left)
+            gone = after[at]
+            ids[at], ids[gone], waits[gone], waits[at] = rank, -1, -1, -1
+            after[at] = right = after[gone]
+            left = before[at]
+            token = words[rank]
+            for start, other in ((left, right), (at, right)):
+                if start == at:
+                    if right >= n:
+                        continue
+                    before[right] = at
+                    new = rank_of(token + words[ids[other]])
+                else:
+                    if left < 0:
+                        continue
+                    new = rank_of(words[ids[left]] + token)
+                if new is None:
+                    waits[start] = -1
+                    continue
+                waits[start] = new
+                if new in buckets:
+                    heappush(buckets[new], start)
+                else:
+                    buckets[new] = [start]
+                    j = new >> 6
+                    low[j] |= _BIT[new & 63]
+                    mid[j >> 6] |= _BIT[j & 63]
+                    top |= _BIT[j >> 6]
         return [x for x in ids if x >= 0]
 
     def packed(self, piece: str) -> bytes:

@@ -30,8 +30,11 @@ from .util import small_batches
 CONTEXT, LEAF = 4, 64
 Edit = tuple[int, int, str]
 
-#: What the query's edits mask: mail addresses, key-like assignments, long digit runs.
-MASKED = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?i:token|key|secret|password)\s*=\s*\"?[\w-]{8,}\"?|\d[\d -]{7,}\d"
+#: What the query's edits mask: mail addresses, key-like assignments, long digit runs. Each is found by its rare part first.
+HOST, MAILBOX = regex.compile(r"@[\w-]+(?:\.[\w-]+)+"), regex.compile(r"[\w.+-]+$")
+VALUE, NAME = regex.compile(r"=\s*\"?[\w-]{8,}\"?"), regex.compile(r"(?i:token|key|secret|password)\s*$")
+DIGITS = regex.compile(r"\d[\d -]{7,}\d")
+REACH = 64
 MASK = "[masked]"
 
 
@@ -126,9 +129,22 @@ class TokenTree:
             self._set(i, whole)
 
 
-def masking(text: str, pattern=regex.compile(MASKED)) -> list[Edit]:
-    """Edits that mask personal data and secrets."""
-    return [(m.start(), m.end(), MASK) for m in pattern.finditer(text)]
+def masking(text: str) -> list[Edit]:
+    """Edits that mask personal data and secrets; of overlapping finds, one edit over all of them."""
+    found = [m.span() for m in DIGITS.finditer(text)]
+    for sign, right, left in (("@", HOST, MAILBOX), ("=", VALUE, NAME)):
+        if sign in text:
+            for m in right.finditer(text):
+                start = max(0, m.start() - REACH)
+                if head := left.search(text[start : m.start()]):
+                    found.append((start + head.start(), m.end()))
+    out: list[Edit] = []
+    for start, end in sorted(found):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), MASK)
+        else:
+            out.append((start, end, MASK))
+    return out
 
 
 def recount(text: str, edits: list[Edit], own: Codec) -> tuple[int, int, int, int]:
