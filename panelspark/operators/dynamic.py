@@ -124,7 +124,7 @@ def regimes(variables: DataFrame, dates: DataFrame, columns: list[str], states:
     t = lookup(dates.select(F.col("trade_date").alias("test_date")).distinct())
     rows = variables.join(t, F.col("date") < F.col("test_date")).select("test_date", "date", *columns, F.explode(F.array(*(F.lit(k) for k in states))).alias("states"))
 
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("date")[columns].astype(float).dropna().to_numpy()
         names = [c.split()[0] for c in REGIME.split(", ")]
         if len(x) < least or (x.std(axis=0) == 0).any():
@@ -146,7 +146,7 @@ def volatility_forecasts(returns: DataFrame, dates: DataFrame, least: int = 36)
     t = lookup(dates.select(F.col("trade_date").alias("test_date")).distinct())
     rows = returns.where("ret is not null").join(t, F.col("date") < F.col("test_date")).select("series", "test_date", "date", "ret")
 
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         r, out = g.sort_values("date")["ret"].to_numpy(float), []
         if len(r) < least:
             out.append(("all", None, "insufficient_history"))
@@ -171,7 +171,7 @@ def dynamic_covariances(spreads: DataFrame, dates: DataFrame, least: int = 20) -
     t = lookup(dates.select(F.col("trade_date").alias("test_date")).distinct())
     rows = spreads.where("ret is not null").join(t, F.col("date") < F.col("test_date")).select("test_date", "date", "factor", "ret")
 
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         wide = g.pivot_table(index="date", columns="factor", values="ret").dropna()
         if len(wide) < least:
             return pd.DataFrame([(key[0], None, None, None, None, "insufficient_history")], columns=[c.split()[0] for c in COVARIANCE.split(", ")])
@@ -189,7 +189,7 @@ FORECAST = "series string, position int, model string, forecast double, actual d
 def baseline_forecasts(series: DataFrame, least: int = 12) -> DataFrame:
     """Expanding one-step forecasts of every series. series: series, date, value."""
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("date")["value"].dropna().to_numpy(float)
         rows = expanding_forecasts(x, least=least)
         return pd.DataFrame([(key[0], r["position"], r["model"], r["forecast"], r["actual"]) for r in rows], columns=["series", "position", "model", "forecast", "actual"])
@@ -200,7 +200,7 @@ def baseline_forecasts(series: DataFrame, least: int = 12) -> DataFrame:
 def series_diagnostics(series: DataFrame) -> DataFrame:
     """(series, name, value) of the diagnostics of each series."""
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         d = diagnostics(g.sort_values("date")["value"].to_numpy(float))
         return pd.DataFrame([(key[0], k, None if v is None or isinstance(v, str) else float(v), v if isinstance(v, str) else None) for k, v in d.items()], columns=["series", "name", "value", "note"])
 

@@ -154,7 +154,7 @@ def run_scenarios(market: DataFrame, targets: DataFrame, scenarios: dict[str, tu
     m = market.join(named, "ts_code", "left_semi").select(*cols)
     grid = lambda: F.broadcast(spark.createDataFrame([(k,) for k in scenarios], "scenario string"))  # noqa: E731  one for each side
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rules, costs = scenarios[key[0]]
         orders, navs, places = simulate(left.drop(columns="scenario"), right.drop(columns="scenario"), rules, costs)
         rows = [(key[0], "order", x, None, None) for x in orders] + [(key[0], "nav", None, x, None) for x in navs] + [(key[0], "position", None, None, x) for x in places]
