@@ -141,8 +141,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--version", action="version", version=VERSION)
     sub = p.add_subparsers(dest="command", required=True)
 
-    def add(name: str, f, *options: str, **fixed) -> None:
-        q = sub.add_parser(name)
+    def add(command: str, f, *options: str, **fixed) -> None:
+        q = sub.add_parser(command)
         for o in options:
             kinds = {"rows": {"type": int, "default": 20}, "format": {"default": "parquet"}, "mode": {"default": "sample"}, "run_id": {"default": "run"}, "config?": {"default": None}}
             q.add_argument(f"--{o.rstrip('?').replace('_', '-')}", dest=o.rstrip("?"), **kinds.get(o, {"required": True}))
