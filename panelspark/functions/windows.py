@@ -122,3 +122,10 @@ def membership_turnover(df: DataFrame, group: list[str], date: str, member: str,
     both = F.size(F.array_intersect("s", "b"))
     share = 1 - F.try_divide(both.cast("double"), (F.size("s") + F.size("b") - both).cast("double"))
     return sets.withColumn("b", before).select(*group, date, F.size("s").cast("long").alias("n"), F.when(F.col("b").isNotNull(), share).otherwise(F.lit(first).cast("double")).alias("turnover"))
+
+
+def trailing_means(df: DataFrame, value: str, keys: list[str], order: str, sizes: tuple[int, ...] = (12, 24)) -> DataFrame:
+    """df with lag_1, expanding_mean and mean_n of the rows before each row."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    means = {f"mean_{n}": F.avg(value).over(w.rowsBetween(-n, -1)) for n in sizes}
+    return df.withColumns({"lag_1": F.lag(value).over(w), "expanding_mean": F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, -1))} | means)

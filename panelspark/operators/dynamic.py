@@ -351,3 +351,22 @@ class Forecaster:
         else:
             value = gjr_grid_forecast(x)
         return {"model": self.model, "as_of": self.cut, "target": target, "value": value, "variance": variance, "n": len(x)}
+
+
+def strategy_comparison(navs: DataFrame, trials: int, per_year: int = 252, key: str = "strategy", date: str = "date") -> DataFrame:
+    """Performance of strategies on their common active interval with the deflated Sharpe probability. navs: strategy, date, nav, holding_count.
+
+    A strategy is active from its first holding; the interval starts at the latest of these.
+    """
+    from .models import deflated_sharpe
+    from .performance import performance, returns_of
+
+    first = navs.where("holding_count > 0").groupBy(key).agg(F.min(date).alias("a")).agg(F.max("a").alias("__a"))  # one row
+    rows = navs.join(F.broadcast(first), F.col(date) >= F.col("__a")).drop("__a")
+
+    def deflate(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(k[0], deflated_sharpe(g["ret"].to_numpy(float), trials, per_year))], columns=[key, "deflated_sharpe"])
+
+    table = performance(rows, [key], date=date, per_year=per_year)
+    deflated = returns_of(rows, "nav", date, [key]).where("ret is not null").select(key, "ret").groupBy(key).applyInPandas(deflate, f"{key} string, deflated_sharpe double")
+    return table.join(deflated, key, "left")

@@ -160,3 +160,24 @@ def forecast_scores(df: DataFrame, keys: list[str], actual: str = "actual", fore
     rows = df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).withColumn("e", F.col(actual) - F.col(forecast))
     rows = rows.withColumn("ra", average_rank(actual, keys)).withColumn("rf", average_rank(forecast, keys))
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg((F.signum(actual) == F.signum(forecast)).cast("double")).alias("direction_accuracy"), safe_corr("ra", "rf").alias("rank_corr"))
+
+
+def monthly_quintiles(df: DataFrame, target: str, benchmark: DataFrame, q: int = 5, least: int = 10, cost: float = 0.0015, value: str = "value", tie: str = "ts_code") -> DataFrame:
+    """(trade_date, factor): spread, long-only, relative to the benchmark's log return, turnover of the top group (first 1.0), cost and net.
+
+    benchmark: trade_date, log_ret of the interval that the target covers. Dates with fewer than `least` rows have none.
+    """
+    keys = ["trade_date", "factor"]
+    rows = df.where(F.col(value).isNotNull() & F.col(target).isNotNull()).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("__n") >= least)
+    rows = rows.withColumn("group", first_rank_bucket(value, q, keys, tie)).where(F.col("group").isin(1, q))
+    g = rows.groupBy(*keys).agg(F.avg(F.when(F.col("group") == q, F.col(target))).alias("long_only"), F.avg(F.when(F.col("group") == 1, F.col(target))).alias("short_side"))
+    moved = membership_turnover(rows.where(F.col("group") == q), ["factor"], "trade_date", tie, 1.0).select("factor", "trade_date", "turnover")
+    out = g.join(moved, keys).join(lookup(benchmark.select("trade_date", "log_ret")), "trade_date", "left")
+    return out.select(*keys, (F.col("long_only") - F.col("short_side")).alias("spread"), "long_only", (F.col("long_only") - F.col("log_ret")).alias("relative"), "turnover", (F.col("turnover") * cost).alias("cost"), (F.col("long_only") - F.col("turnover") * cost).alias("net"))
+
+
+def monthly_states(series: DataFrame, dates: DataFrame) -> DataFrame:
+    """(signal_date): sum of log returns, last and mean state from the month's start to the signal. series: date, log_ret, breadth, dispersion."""
+    s = lookup(dates.select(F.col("trade_date").alias("signal_date")).distinct())
+    rows = series.join(s, (F.trunc("date", "MM") == F.trunc("signal_date", "MM")) & (F.col("date") <= F.col("signal_date")))
+    return rows.groupBy("signal_date").agg(F.sum("log_ret").alias("log_ret"), F.max_by("breadth", "date").alias("last_breadth"), F.avg("dispersion").alias("mean_dispersion"), F.count("*").alias("days"))

@@ -35,3 +35,10 @@ def query(name: str, tables: str = "", sql: str | None = None, doubles: str = ""
         return f
 
     return add
+
+
+def oracle(name: str, tables: str, sql: str, doubles: str = "", digits: int | None = 6) -> None:
+    """Adds SQL to a query that is registered already."""
+    whole = with_tables(sql, *tables.split()) if tables else sql.strip()
+    fix = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles.split() if digits is not None)
+    ORACLES[name] = f"SELECT * REPLACE ({fix}) FROM ({whole}) AS q" if fix else whole

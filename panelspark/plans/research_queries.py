@@ -35,7 +35,7 @@ def long(s: Star, *keep: str) -> DataFrame:
     return X.long_form(panel(s), FACTORS, ["trade_date", "ts_code", *keep])
 
 
-_WINSOR = "med AS (SELECT *, median(value) OVER (PARTITION BY trade_date, factor) AS m FROM long), dev AS (SELECT *, median(abs(value - m)) OVER (PARTITION BY trade_date, factor) AS d FROM med), wins AS (SELECT *, CASE WHEN value IS NULL THEN NULL WHEN coalesce(d, 0) > 0 THEN greatest(least(value, m + 3 * 1.4826 * d), m - 3 * 1.4826 * d) ELSE value END AS w FROM dev)"
+_WINSOR = "med0 AS (SELECT trade_date, factor, median(value) AS m FROM long GROUP BY ALL), med AS MATERIALIZED (SELECT long.*, m FROM long JOIN med0 USING (trade_date, factor)), dev0 AS (SELECT trade_date, factor, median(abs(value - m)) AS d FROM med GROUP BY ALL), wins AS MATERIALIZED (SELECT med.*, d, CASE WHEN value IS NULL THEN NULL WHEN coalesce(d, 0) > 0 THEN greatest(least(value, m + 3 * 1.4826 * d), m - 3 * 1.4826 * d) ELSE value END AS w FROM med JOIN dev0 USING (trade_date, factor))"
 
 
 @query("winsorized_factors", TABLES, f"WITH {PANEL}, {LONG}, {_WINSOR} SELECT trade_date, ts_code, factor, w AS winsorized, coalesce(abs(w - value) > 1e-8 + 1e-5 * abs(value), false) AS clipped FROM wins", "winsorized")
