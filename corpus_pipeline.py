@@ -3,6 +3,13 @@
 Every stage works on all rows that the stage before it kept. All but the last
 return the columns of documents. Rows are told apart by a hash of id and text,
 so null and repeated ids do no harm.
+
+Null and empty texts have fewer words than the base rule asks for and go in the
+first stage. Null languages and sources are groups of their own. Rows with a
+null id pass near-dedup; of rows that repeat an id, one passes. Mixing repeats
+rows, or leaves them out, by their source's target. Texts are used whole,
+however long. An empty table passes all stages as an empty table. Columns other
+than those of documents are not carried on.
 """
 
 from __future__ import annotations

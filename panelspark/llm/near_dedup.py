@@ -46,7 +46,7 @@ LEAST_ESTIMATE = 0.57
 FINE_BITS = 10
 FINE, LEAST_FINE = 1 << FINE_BITS, 0.68
 CHUNK = 512
-LOT_ROWS = 20_000
+LOT_ROWS = 1000
 ROUNDS = 40
 #: Ids of candidates are broadcast up to this number (8 bytes each), and joined by shuffle beyond it.
 BROADCAST_IDS = 500_000
@@ -237,7 +237,7 @@ def mixed_pairs(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     visits = F.when(F.col("component") == F.col("home"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     cells = cut(rows.select("home", "id", "component", "own", F.explode(visits).alias("chunk")), "near_cells")
-    lots = max(64, cells.count() // LOT_ROWS)
+    lots = max(256, cells.count() // LOT_ROWS)
     cells = cells.withColumn("lot", F.pmod(F.xxhash64("home", "chunk"), F.lit(lots)).cast("int")).join(holders, "id")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
