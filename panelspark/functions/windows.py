@@ -35,6 +35,31 @@ def average_rank(x, partition: list[str], ascending: bool = True) -> Column:
     return F.when(x.isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
+def global_average_ranks(df: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
+    """df with each column replaced by its average-tie rank over all rows, NULL for NULL.
+
+    No task sorts a whole column: equal values are counted first, the distinct
+    ones are ranked within value ranges (bounds from approximate quantiles, and
+    any bounds give the same ranks), and ranges are offset by the counts below
+    them, `buckets` numbers a column.
+    """
+    bounds = df.approxQuantile(columns, [i / buckets for i in range(1, buckets)], 0.005)
+    for c, cuts in zip(columns, bounds, strict=True):
+        cuts = sorted(set(cuts))
+        x = F.col(c)
+        bucket = sum(((x > b).cast("int") for b in cuts), F.lit(0))
+        counts = df.where(x.isNotNull()).groupBy(c).agg(F.count("*").alias("__n")).withColumn("__b", bucket)
+        below, seen = [], 0
+        sizes = {r["__b"]: r["n"] for r in counts.groupBy("__b").agg(F.sum("__n").alias("n")).collect()}
+        for i in range(len(cuts) + 1):
+            below.append(seen)
+            seen += sizes.get(i, 0)
+        before = F.coalesce(F.sum("__n").over(Window.partitionBy("__b").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = counts.select(F.col(c).alias("__v"), (F.element_at(F.array(*(F.lit(float(v)) for v in below)), F.col("__b") + 1) + before + (F.col("__n") + 1) / 2.0).alias("__r"))
+        df = df.join(ranked, F.col(c) == F.col("__v"), "left").drop("__v", c).withColumnRenamed("__r", c)
+    return df
+
+
 def percent_rank_average(x, partition: list[str]) -> Column:
     return average_rank(x, partition) / F.count(col(x)).over(Window.partitionBy(*partition))
 
@@ -50,7 +75,8 @@ def first_rank_bucket(x, q: int, partition: list[str], tie: str, base: int = 1,
     bucket = F.greatest(F.lit(1), F.floor(((rn - 1) * q + F.greatest(n - 2, F.lit(0))) / F.greatest(n - 1, F.lit(1)))).cast("int") + (base - 1)
     ok = x.isNotNull()
     if least_distinct:
-        ok = ok & (F.size(F.collect_set(x).over(Window.partitionBy(*partition))) >= least_distinct)
+        up, down = (F.dense_rank().over(Window.partitionBy(*partition, x.isNull()).orderBy(o)) for o in (x.asc(), x.desc()))
+        ok = ok & (up + down - 1 >= least_distinct)  # the number of distinct values, without gathering them
     return F.when(ok, bucket)
 
 
