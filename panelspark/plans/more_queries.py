@@ -102,3 +102,98 @@ oracle(
 _WALK = "v AS (SELECT c.trade_date AS test_date, factor, avg(ic) FILTER (i.trade_date < c.trade_date - INTERVAL 6 MONTH AND i.trade_date + INTERVAL 1 MONTH < c.trade_date - INTERVAL 6 MONTH) AS train_ic, count(*) FILTER (i.trade_date < c.trade_date - INTERVAL 6 MONTH AND i.trade_date + INTERVAL 1 MONTH < c.trade_date - INTERVAL 6 MONTH) AS train_dates, avg(ic) FILTER (i.trade_date >= c.trade_date - INTERVAL 6 MONTH AND i.trade_date + INTERVAL 1 MONTH < c.trade_date) AS validation_ic FROM ic i JOIN calendar c ON i.trade_date >= c.trade_date - INTERVAL 30 MONTH AND i.trade_date < c.trade_date WHERE ic IS NOT NULL GROUP BY ALL), cov AS (SELECT trade_date AS test_date, factor, count(value)::DOUBLE / count(*) AS coverage FROM long GROUP BY ALL), e AS (SELECT v.*, coverage, coalesce(train_dates >= 6 AND coverage >= 0.3 AND abs(train_ic) >= 0.01 AND (validation_ic IS NULL OR sign(validation_ic) = sign(train_ic)), false) AS eligible FROM v LEFT JOIN cov USING (test_date, factor)), s AS (SELECT *, eligible AND row_number() OVER (PARTITION BY test_date, eligible ORDER BY abs(train_ic) DESC, factor) <= 12 AS selected FROM e), wf AS (SELECT *, CASE WHEN selected THEN abs(train_ic) / sum(abs(train_ic)) FILTER (selected) OVER (PARTITION BY test_date) END AS weight FROM s)"
 oracle("walk_forward", f"{TABLES} calendar", f"WITH {PANEL}, {LONG}, {_RANKS}, {_WALK} SELECT test_date, factor, train_ic, train_dates, validation_ic, coverage, sign(train_ic)::DOUBLE AS direction, selected, weight, concat_ws(';', CASE WHEN abs(train_ic) > 0.3 THEN 'extreme_train_ic' END, CASE WHEN coalesce(coverage, 0) < 0.3 THEN 'low_coverage' END, CASE WHEN train_dates < 6 THEN 'insufficient_train_dates' END, CASE WHEN NOT bool_or(selected) OVER (PARTITION BY test_date) THEN 'no_factor_selected' END) AS anomalies FROM wf", "train_ic validation_ic coverage direction weight")
 oracle("walk_forward_scores", f"{TABLES} calendar", f"WITH {PANEL}, {LONG}, {_RANKS}, {_WALK}, z AS (SELECT trade_date, ts_code, factor, CASE WHEN stddev_pop(value) OVER w > 1e-12 * (1 + abs(avg(value) OVER w)) THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END AS z FROM long WINDOW w AS (PARTITION BY trade_date, factor)) SELECT trade_date, ts_code, sum(weight * sign(train_ic) * z) / sum(weight) AS score, count(*) AS factors FROM z JOIN wf ON z.trade_date = wf.test_date AND z.factor = wf.factor WHERE selected AND z IS NOT NULL GROUP BY ALL", "score")
+
+
+@query("percent_ranks", "returns", "WITH v AS (SELECT * FROM returns WHERE ret IS NOT NULL) SELECT trade_date, ts_code, (rank() OVER (PARTITION BY trade_date ORDER BY ret) + (count(*) OVER (PARTITION BY trade_date, ret) - 1) / 2.0) / count(*) OVER (PARTITION BY trade_date) AS p FROM v", "p")
+def percent_ranks(s: Star) -> DataFrame:
+    return s.returns().where("ret is not null").select("trade_date", "ts_code", W.percent_rank_average("ret", ["trade_date"]).alias("p"))
+
+
+@query("aligned_returns", "bench returns", "WITH b AS (SELECT trade_date, close / lag(close) OVER (ORDER BY trade_date) - 1 AS bench_ret FROM bench), m AS (SELECT trade_date, avg(ret) AS ret FROM returns GROUP BY trade_date) SELECT trade_date AS date, ret, bench_ret FROM m JOIN b USING (trade_date)", "ret bench_ret")
+def aligned_returns(s: Star) -> DataFrame:
+    b = s.benchmark().select(F.col("trade_date").alias("date"), (F.col("close") / F.lag("close").over(Window.orderBy("trade_date")) - 1).alias("bench_ret"))
+    return joins.exact_alignment(s.returns().groupBy(F.col("trade_date").alias("date")).agg(F.avg("ret").alias("ret")), b)
+
+
+_THIRD = "WITH {0}, keep AS (SELECT trade_date FROM (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM calendar) WHERE k % 3 = 1)"
+
+
+@query("non_overlapping_groups", f"{TABLES} calendar", _THIRD.format(f"{PANEL}, {LONG}, {_GROUPS}") + ", m AS (SELECT trade_date, factor, " + ", ".join(f"avg(fwd) FILTER (g = {i}) AS Q{i}" for i in range(1, 6)) + " FROM grp SEMI JOIN keep USING (trade_date) GROUP BY ALL) SELECT *, Q5 - Q1 AS spread FROM m", "Q1 Q2 Q3 Q4 Q5 spread")
+def non_overlapping_groups(s: Star) -> DataFrame:
+    keep = joins.positions(s.calendar(), {}).where("position % 3 = 0")
+    rows = long(s, "fwd").withColumn("target_return_end_date", F.add_months("trade_date", 1))
+    return E.non_overlapping(rows, keep, "fwd")
+
+
+@query("cumulative_groups", TABLES, f"WITH {PANEL}, {LONG}, {_GROUPS}, m AS (SELECT trade_date, factor, avg(fwd) FILTER (g = 1) AS Q1, avg(fwd) FILTER (g = 5) AS Q5 FROM grp GROUP BY ALL) SELECT factor, trade_date, exp(sum(ln(1 + Q1)) OVER w) AS Q1, exp(sum(ln(1 + Q5)) OVER w) AS Q5 FROM m WINDOW w AS (PARTITION BY factor ORDER BY trade_date ROWS UNBOUNDED PRECEDING)", "Q1 Q5", 4)
+def cumulative_groups(s: Star) -> DataFrame:
+    return E.cumulative_groups(E.group_returns(long(s, "fwd"), "fwd"), ["Q1", "Q5"], ["factor"])
+
+
+@query("asof_industry_marks", sql="WITH m AS (SELECT c_nationkey AS k, c_custkey, c_acctbal FROM customer), q AS (SELECT s_nationkey AS k, s_suppkey, s_acctbal FROM supplier) SELECT s_suppkey, (SELECT max(c_acctbal) FROM m WHERE m.k = q.k AND c_acctbal <= s_acctbal) AS mark FROM q", digits=None)
+def asof_industry_marks(s: Star) -> DataFrame:
+    left = s.raw("supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey", F.col("s_acctbal").alias("at"))
+    right = s.raw("customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("mark"))
+    return joins.as_of(left, right, "k", "at", "mark").select("s_suppkey", "mark")
+
+
+@query("significant_weights")
+def significant_weights(s: Star) -> DataFrame:
+    return D.significant_weights(_monthly(s), D.inference_by_date(_monthly(s), s.calendar()), _one_trial(s), cap=0.5, most_q=0.5)
+
+
+def _monthly(s: Star) -> DataFrame:
+    return E.daily_ic(long(s, "fwd"), "fwd").withColumn("availability_date", F.add_months("trade_date", 1))
+
+
+def _one_trial(s: Star) -> DataFrame:
+    return D.kalman_forecasts(_monthly(s), s.calendar()).where("q = 0.001 and r = 0.01")
+
+
+@query("dynamic_scores")
+def dynamic_scores(s: Star) -> DataFrame:
+    return E.weighted_scores(long(s), significant_weights(s).withColumn("selected", F.lit(True)))
+
+
+@query("label_representation")
+def label_representation(s: Star) -> DataFrame:
+    from ..operators import text_events as V
+
+    e = V.prepare(s.text_events())
+    return V.representation(e, V.label(e).drop("cached", "cache_key"), "1").select("event_id", "stock_code", "sentiment", "score")
+
+
+@query("table_fingerprints")
+def table_fingerprints(s: Star) -> DataFrame:
+    from ..sources.catalog import content_hash
+
+    return s.spark.createDataFrame([(n, content_hash(s.raw(n))) for n in ("region", "nation", "supplier")], "name string, sha256 string")
+
+
+@query("sample_bundle_bars", sql="SELECT CAST(12 AS BIGINT) AS assets, CAST(30 AS BIGINT) AS days, CAST(360 AS BIGINT) AS rows")
+def sample_bundle_bars(s: Star) -> DataFrame:
+    from ..sources.sample import sample_bundle
+
+    b = sample_bundle(s.spark, 12, 30)["daily_bar"]
+    return b.agg(F.count_distinct("ts_code").alias("assets"), F.count_distinct("trade_date").alias("days"), F.count("*").alias("rows"))
+
+
+
+_PORTFOLIOS = " UNION ALL ".join(f"SELECT '{p}' AS portfolio, '{s}' AS scheme, {r}::BOOLEAN AS by_regime, {v}::BOOLEAN AS by_vol" for p, (s, r, v) in D.PORTFOLIOS.items())
+_ABLATION = f"""WITH {PANEL}, {LONG}, {_RANKS}, {_GROUPS},
+h AS (SELECT c.trade_date AS date, factor, i.trade_date AS known, ic, row_number() OVER (PARTITION BY c.trade_date, factor ORDER BY i.trade_date DESC) AS k FROM ic i JOIN calendar c ON i.trade_date + INTERVAL 1 MONTH < c.trade_date WHERE ic IS NOT NULL),
+v AS (SELECT date, factor, 'static' AS scheme, avg(ic) AS v FROM h GROUP BY ALL UNION ALL SELECT date, factor, 'rule', avg(ic) FROM h WHERE k <= 12 GROUP BY ALL UNION ALL SELECT date, factor, 'kalman', list_reduce(list(ic ORDER BY known), lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x) FROM h GROUP BY ALL),
+w0 AS (SELECT date, scheme, factor, v / nullif(sum(abs(v)) OVER (PARTITION BY date, scheme), 0) AS weight FROM v),
+sc AS (SELECT trade_date AS date, 1 - (row_number() OVER (ORDER BY trade_date) % 3) / 30.0 AS r, 1 - (row_number() OVER (ORDER BY trade_date) % 5) / 50.0 AS v FROM calendar),
+p AS ({_PORTFOLIOS}),
+w AS (SELECT portfolio, date, factor, weight * (CASE WHEN by_regime THEN coalesce(r, 1.0) ELSE 1.0 END) * (CASE WHEN by_vol THEN coalesce(sc.v, 1.0) ELSE 1.0 END) AS w FROM w0 JOIN p USING (scheme) LEFT JOIN sc USING (date)),
+n AS (SELECT portfolio, date, lead(date) OVER (PARTITION BY portfolio ORDER BY date) AS nx FROM (SELECT DISTINCT portfolio, date FROM w)),
+b AS (SELECT portfolio, nx AS date, factor, w AS p FROM w JOIN n USING (portfolio, date) WHERE nx IS NOT NULL),
+sp AS (SELECT trade_date AS date, factor, avg(fwd) FILTER (g = 5) - avg(fwd) FILTER (g = 1) AS ret FROM grp GROUP BY ALL),
+j AS (SELECT portfolio, date, factor, coalesce(w, 0) AS w, coalesce(p, 0) AS p FROM w FULL JOIN b USING (portfolio, date, factor)),
+a AS (SELECT portfolio, j.date, sum(w * coalesce(ret, 0)) AS gross, sum(abs(w - p)) / 2 AS turnover FROM j LEFT JOIN sp ON sp.date = j.date AND sp.factor = j.factor GROUP BY ALL),
+c AS (SELECT *, 2 * turnover * 0.0015 AS cost, gross - 2 * turnover * 0.0015 AS net FROM a),
+lim AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT portfolio, min(date) AS lo, max(date) AS hi FROM c GROUP BY 1)),
+f AS (SELECT c.* FROM c, lim WHERE date >= lo AND date <= hi)"""
+oracle("ablation", f"{TABLES} calendar", f"{_ABLATION} SELECT portfolio, date, gross, turnover, cost, net FROM f", "gross turnover cost net")
+oracle("cost_sensitivity", f"{TABLES} calendar", f"{_ABLATION} SELECT portfolio, cost_scale, avg(gross - cost * cost_scale) AS mean_net FROM f, (SELECT unnest([0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS cost_scale) GROUP BY ALL", "cost_scale mean_net")
