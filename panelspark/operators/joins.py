@@ -26,8 +26,12 @@ def positions(calendar: DataFrame, steps: dict[str, int] | None = None) -> DataF
 
 
 def lookup(calendar: DataFrame) -> DataFrame:
-    """The calendar with a broadcast hint if it is as small as it should be."""
-    return F.broadcast(calendar) if calendar.limit(MAX_CALENDAR + 1).count() <= MAX_CALENDAR else calendar
+    """The calendar with a broadcast hint if it is as small as it should be; the rows counted are kept, so what made them doesn't run again."""
+    kept = calendar.limit(MAX_CALENDAR + 1).persist()
+    if kept.count() <= MAX_CALENDAR:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return calendar
 
 
 def next_session(df: DataFrame, calendar: DataFrame, date: str, name: str = "next_session", delay: int = 1) -> DataFrame:
