@@ -28,11 +28,11 @@ def lagged_return(price, n: int, skip: int = 0, over=None) -> Column:
 
 
 def average_rank(x, partition: list[str], ascending: bool = True) -> Column:
-    """Rank where ties share their mean rank; NULL for NULL."""
+    """Rank where ties share their mean rank; NULL for NULL. Rank and ties share one sort and one partitioning."""
     x = col(x)
-    w = Window.partitionBy(*partition, x.isNull()).orderBy(x.asc() if ascending else x.desc())
-    ties = Window.partitionBy(*partition, x)
-    return F.when(x.isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    w = Window.partitionBy(*partition).orderBy(x.asc_nulls_last() if ascending else x.desc_nulls_last())
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), F.rank().over(w) + (ties - 1) / 2.0)
 
 
 def global_average_ranks(df: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
@@ -70,12 +70,12 @@ def first_rank_bucket(x, q: int, partition: list[str], tie: str, base: int = 1,
     base: the lowest bucket's number. Fewer than least_distinct distinct values give NULL.
     """
     x = col(x)
-    w = Window.partitionBy(*partition, x.isNull()).orderBy(x, tie)
+    w = Window.partitionBy(*partition).orderBy(x.asc_nulls_last(), tie)
     n, rn = F.count(x).over(Window.partitionBy(*partition)), F.row_number().over(w)
     bucket = F.greatest(F.lit(1), F.floor(((rn - 1) * q + F.greatest(n - 2, F.lit(0))) / F.greatest(n - 1, F.lit(1)))).cast("int") + (base - 1)
     ok = x.isNotNull()
     if least_distinct:
-        up, down = (F.dense_rank().over(Window.partitionBy(*partition, x.isNull()).orderBy(o)) for o in (x.asc(), x.desc()))
+        up, down = (F.dense_rank().over(Window.partitionBy(*partition).orderBy(o)) for o in (x.asc_nulls_last(), x.desc_nulls_last()))
         ok = ok & (up + down - 1 >= least_distinct)  # the number of distinct values, without gathering them
     return F.when(ok, bucket)
 

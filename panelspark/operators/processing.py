@@ -25,16 +25,14 @@ def wide_form(df: DataFrame, factors: list[str], keep: list[str], value: str = "
 def winsorize_mad(df: DataFrame, value: str = "value", keys: list[str] | None = None, n: float = 3.0, name: str = "winsorized") -> DataFrame:
     """df with values clipped to median -+ n * 1.4826 * MAD within keys, and clipped (whether the row was)."""
     keys = keys or ["trade_date", "factor"]
-    half = F.lit(0.5)
-    mid = df.groupBy(*keys).agg(F.percentile(value, half).alias("__m"))
-    a = df.join(mid, keys)
-    mad = a.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("__m")), half).alias("__d"))
-    b = a.join(mad, keys)
+    w, half = Window.partitionBy(*keys), F.lit(0.5)
+    rows = df.withColumn("__m", F.percentile(value, half).over(w))
+    rows = rows.withColumn("__d", F.percentile(F.abs(F.col(value) - F.col("__m")), half).over(w))  # the same partitioning
     lo, hi = (F.col("__m") + s * n * MAD_SCALE * F.col("__d") for s in (-1, 1))
     x = F.when(F.coalesce(F.col("__d"), F.lit(0.0)) > 0, F.greatest(F.least(F.col(value), hi), lo)).otherwise(F.col(value))
     x = F.when(F.col(value).isNotNull(), x)
     moved = F.abs(x - F.col(value)) > 1e-8 + 1e-5 * F.abs(F.col(value))
-    return b.withColumn(name, x).withColumn("clipped", F.coalesce(moved, F.lit(False))).drop("__m", "__d")
+    return rows.withColumn(name, x).withColumn("clipped", F.coalesce(moved, F.lit(False))).drop("__m", "__d")
 
 
 def zscore(value: str | Column, keys: list[str]) -> Column:
@@ -45,31 +43,26 @@ def zscore(value: str | Column, keys: list[str]) -> Column:
     return F.when(spread > 1e-12 * (1 + F.abs(F.avg(x).over(w))), (x - F.avg(x).over(w)) / spread)
 
 
-def neutralize(df: DataFrame, value: str = "value", size: str = "size", industry: str = "industry_code", keys: list[str] | None = None, mode: str = "industry_size", name: str = "neutral") -> DataFrame:
-    """Residual of value on [1, z(size), industry dummies] within keys, over complete rows (three at least).
+def residual(df: DataFrame, value: str, size: str, industry: str, keys: list[str], by_industry: Column, by_size: Column, name: str) -> DataFrame:
+    """df with the residual of value within keys; by_industry and by_size say for each row's group what it is regressed on.
 
     By Frisch, Waugh and Lovell: demean value and size within industry, regress
-    one on the other; no matrix is built and all groups run in one plan.
+    one on the other. No matrix is built, groups of all kinds run in one plan,
+    and every window keeps to the partitioning by keys.
     """
-    keys = keys or ["trade_date", "factor"]
-    use_industry, use_size = "industry" in mode, "size" in mode
-    if mode == "none":
-        return df.withColumn(name, F.col(value))
-    ok = F.col(value).isNotNull()
-    if use_industry:
-        ok = ok & F.col(industry).isNotNull()
-    if use_size:
-        ok = ok & F.col(size).isNotNull()
-    rows = df.withColumn("__ok", ok)
-    full, cell = Window.partitionBy(*keys, "__ok"), Window.partitionBy(*keys, "__ok", *([industry] if use_industry else []))
-    centred = lambda c: F.col(c) - F.avg(c).over(cell)
-    rows = rows.withColumn("__n", F.count("*").over(full)).withColumn("__y", centred(value))
-    if use_size:
-        rows = rows.withColumn("__s", centred(size))
-        rows = rows.withColumn("__sy", F.sum(F.col("__s") * F.col("__y")).over(full)).withColumn("__ss", F.sum(F.col("__s") * F.col("__s")).over(full))
-        beta = F.when(F.col("__ss") > 1e-12, F.col("__sy") / F.col("__ss")).otherwise(0.0)
-        rows = rows.withColumn("__y", F.col("__y") - beta * F.col("__s")).drop("__s", "__sy", "__ss")
-    return rows.withColumn(name, F.when(F.col("__ok") & (F.col("__n") >= 3), F.col("__y"))).drop("__ok", "__n", "__y")
+    ok = F.col(value).isNotNull() & (~by_industry | F.col(industry).isNotNull()) & (~by_size | F.col(size).isNotNull())
+    rows = df.withColumn("__y", F.when(ok, F.col(value))).withColumn("__s", F.when(ok & by_size, F.col(size))).withColumn("__c", F.when(by_industry, F.col(industry)))
+    full, cell = Window.partitionBy(*keys), Window.partitionBy(*keys, "__c")
+    rows = rows.withColumn("__n", F.count("__y").over(full)).withColumn("__y", F.col("__y") - F.avg("__y").over(cell)).withColumn("__s", F.col("__s") - F.avg("__s").over(cell))
+    sy, ss = F.sum(F.col("__s") * F.col("__y")).over(full), F.sum(F.col("__s") * F.col("__s")).over(full)
+    rows = rows.withColumn("__b", F.when(ss > 1e-12, sy / ss).otherwise(0.0))
+    left = F.when(F.col("__n") >= 3, F.col("__y") - F.col("__b") * F.coalesce("__s", F.lit(0.0)))
+    return rows.withColumn(name, F.when(by_industry | by_size, left).otherwise(F.col(value))).drop("__y", "__s", "__c", "__n", "__b")
+
+
+def neutralize(df: DataFrame, value: str = "value", size: str = "size", industry: str = "industry_code", keys: list[str] | None = None, mode: str = "industry_size", name: str = "neutral") -> DataFrame:
+    """Residual of value on [1, z(size), industry dummies] within keys, over complete rows (three at least); mode none keeps the value."""
+    return residual(df, value, size, industry, keys or ["trade_date", "factor"], F.lit("industry" in mode), F.lit("size" in mode), name)
 
 
 def step_summary(df: DataFrame, steps: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -83,19 +76,14 @@ def step_summary(df: DataFrame, steps: list[str], keys: list[str] | None = None)
 
 def process(df: DataFrame, factors: list[str], modes: dict[str, str] | None = None, n: float = 3.0, size: str = "size", industry: str = "industry_code") -> DataFrame:
     """(trade_date, ts_code, factor): raw, winsorized, neutral, standardized, clipped of all factors at once."""
-    modes = modes or {}
-    base = df.select("trade_date", "ts_code", industry, F.col(size).alias("__size"))
-    values = long_form(df, factors, ["trade_date", "ts_code"]).withColumnRenamed("value", "raw")
-    rows = winsorize_mad(values, "raw", n=n).join(base, ["trade_date", "ts_code"])
-    kind = {f: modes.get(f, "industry" if f == "size" else "industry_size") for f in factors}
-    parts = []
-    for mode in sorted(set(kind.values())):
-        own = [f for f in factors if kind[f] == mode]
-        parts.append(neutralize(rows.where(F.col("factor").isin(own)), "winsorized", "__size", industry, mode=mode))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("standardized", zscore("neutral", ["trade_date", "factor"])).drop("__size")
+    kind = {f: (modes or {}).get(f, "industry" if f == "size" else "industry_size") for f in factors}
+    slim = df.select("trade_date", "ts_code", F.col(industry).alias("__industry"), F.col(size).cast("double").alias("__size"), *(f for f in factors))
+    rows = long_form(slim, factors, ["trade_date", "ts_code", "__industry", "__size"]).withColumnRenamed("value", "raw")
+    of = lambda part: F.col("factor").isin(*(f for f in factors if part in kind[f])) if any(part in k for k in kind.values()) else F.lit(False)
+    rows = winsorize_mad(rows, "raw", n=n)
+    rows = residual(rows, "winsorized", "__size", "__industry", ["trade_date", "factor"], of("industry"), of("size"), "neutral")
+    rows = rows.withColumn("standardized", zscore("neutral", ["trade_date", "factor"]))
+    return rows.select("trade_date", "ts_code", F.col("__industry").alias(industry), "factor", "raw", "winsorized", "clipped", "neutral", "standardized")
 
 
 def mask_low_coverage(df: DataFrame, factors: list[str], least: float = 0.3) -> DataFrame:
