@@ -45,7 +45,7 @@ LEAST_ESTIMATE = 0.57
 #: Registers of the finer sketch that pairs beyond the stars must pass, and its least estimate (five standard errors).
 FINE_BITS = 10
 FINE, LEAST_FINE = 1 << FINE_BITS, 0.68
-CHUNK = 512
+CHUNK = 256
 LOT_ROWS = 1000
 ROUNDS = 40
 #: Ids of candidates are broadcast up to this number (8 bytes each), and joined by shuffle beyond it.
@@ -225,34 +225,40 @@ def mixed_pairs(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
     """Pairs of different components that share a band and pass both estimates. holders: id, n_shingles, registers, fine.
 
     Each band has a home, its largest component. Bands of one home are searched
-    together, so a pair that shares many bands is looked at once: holders of the
-    home lie in their own chunk and need no look among themselves; the others
-    visit every chunk.
+    together, so a pair that shares many bands is looked at once. All rows of a
+    home stay in chunks of CHUNK; those outside its component visit in chunks of
+    their own. A cell is a chunk that stays and one that visits, so it has 2 *
+    CHUNK rows or so however large the crowd is; rows of the component itself
+    never visit, as they need no look among themselves.
     """
     named = bands_.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("band", "component").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component"))["component"].alias("home")).where("parts > 1")
     rows = cut(named.join(mixed.select("band", "home"), "band").select("home", "id", "component").distinct(), "near_homes")
-    rows = rows.join(rows.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "home")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    visits = F.when(F.col("component") == F.col("home"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = cut(rows.select("home", "id", "component", "own", F.explode(visits).alias("chunk")), "near_cells")
+    guest = F.col("component") != F.col("home")
+    crowd = rows.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("stays"), F.ceil(F.count_if(guest) / CHUNK).cast("int").alias("visits"))
+    rows = rows.join(crowd, "home").withColumn("h", F.xxhash64("id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stay = rows.select("home", "id", "component", F.lit(False).alias("visiting"), F.pmod("h", F.col("stays")).cast("int").alias("i"), every("visits").alias("j"))
+    visit = rows.where(guest).select("home", "id", "component", F.lit(True).alias("visiting"), every("stays").alias("i"), F.pmod("h", F.col("visits")).cast("int").alias("j"))
+    cells = cut(stay.unionByName(visit), "near_cells")
     lots = max(256, cells.count() // LOT_ROWS)
-    cells = cells.withColumn("lot", F.pmod(F.xxhash64("home", "chunk"), F.lit(lots)).cast("int")).join(holders, "id")
+    cells = cells.withColumn("lot", F.pmod(F.xxhash64("home", "i", "j"), F.lit(lots)).cast("int")).join(holders, "id")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        homes, own, chunk, ids, comps, sizes_ = (table.column(c).to_numpy() for c in ("home", "own", "chunk", "id", "component", "n_shingles"))
-        settled = comps == homes
+        homes, i, j, ids, comps, sizes_ = (table.column(c).to_numpy() for c in ("home", "i", "j", "id", "component", "n_shingles"))
+        visiting = table.column("visiting").to_numpy(zero_copy_only=False).astype(bool)
         regs, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint16).reshape(len(ids), -1) for c in ("registers", "fine"))
-        order = np.lexsort((ids, chunk, homes))
+        order = np.lexsort((ids, j, i, homes))
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (np.diff(homes[order]) != 0) | (np.diff(chunk[order]) != 0)
+        new[1:] = np.any([np.diff(x[order]) != 0 for x in (homes, i, j)], axis=0)
         edges, found = np.append(np.flatnonzero(new), len(order)), set()
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             cell = order[lo:hi]
-            stay = cell[own[cell] == chunk[cell[0]]]
-            for a in cell[~settled[cell]]:
-                at = stay[(comps[stay] != comps[a]) & (settled[stay] | (ids[stay] < ids[a])) & (100 * np.minimum(sizes_[stay], sizes_[a]) >= PERCENT * np.maximum(sizes_[stay], sizes_[a]))]
+            own = cell[~visiting[cell]]
+            settled = comps[own] == homes[own]
+            for a in cell[visiting[cell]]:
+                at = own[(comps[own] != comps[a]) & (settled | (ids[own] < ids[a])) & (100 * np.minimum(sizes_[own], sizes_[a]) >= PERCENT * np.maximum(sizes_[own], sizes_[a]))]
                 if len(at):
                     at = at[estimate(regs[at], regs[a][None, :]) >= LEAST_ESTIMATE]
                 if len(at):
