@@ -237,6 +237,7 @@ def mixed_pairs(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
     rows = cut(named.join(mixed.select("band", "home"), "band").select("home", "id", "component").distinct(), "near_homes")
     guest = F.col("component") != F.col("home")
     crowd = rows.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("stays"), F.ceil(F.count_if(guest) / CHUNK).cast("int").alias("visits"))
+    crowd = small(cut(crowd, "near_crowds"), BROADCAST_IDS)  # a row a home
     rows = rows.join(crowd, "home").withColumn("h", F.xxhash64("id"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stay = rows.select("home", "id", "component", F.lit(False).alias("visiting"), F.pmod("h", F.col("stays")).cast("int").alias("i"), every("visits").alias("j"))
