@@ -5,14 +5,19 @@ words in repeated 8-word windows) and from them a vector of transformed
 statistics. For every language and source a minimum-covariance-determinant
 estimate of centre and scatter is made by concentration steps: start from
 medians and absolute deviations, keep the SUPPORT share of rows that lie
-nearest, re-estimate from those, repeat. A row is an outlier if its squared
-Mahalanobis distance, scaled so that the median is that of a chi-square, is
-above CUTOFF. Floors on the scatter keep statistics that are constant in most
-texts (no symbols, no repeated line) from making it singular.
+nearest, re-estimate from those (the scatter times CONSISTENCY, as the nearest
+half spreads less than the whole), repeat until no centre or deviation of any
+pool moves by more than SETTLED of a deviation, or STEPS times (ties could let a
+core swing for ever). A row is an outlier if its squared Mahalanobis distance,
+scaled so that the median is that of a chi-square, is above CUTOFF. Floors on the
+scatter keep statistics that are constant in most texts (no symbols, no repeated
+line) from making it singular. The support of one half bears pools with junk up
+to nearly one half; where junk is the larger part of a pool, and alike, it is
+taken for the rule (as a text copied so often would be).
 
 Vectors are integers (1/UNIT steps) and moments are exact decimal sums, so the
 result does not depend on the order in which rows are added up. Medians and
-quantiles run over the few thousand distinct integers that exist. All steps are
+quantiles run over the some ten thousand distinct integers that exist. All steps are
 grouped sums that combine before the shuffle: a hot source is no hot task.
 
 Sources with fewer than MIN_ROWS usable rows are pooled within their language,
@@ -25,7 +30,7 @@ each time. Other columns are not looked at.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +41,14 @@ from .util import SPACE, WORD, cut
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 UNIT = 256
-SUPPORT, STEPS, MIN_ROWS = 0.75, 3, 100
+SUPPORT, STEPS, SETTLED, MIN_ROWS = 0.5, 20, 0.01, 100
 CUTOFF = 100.0
+#: Steps of a distance to each factor of e. Coarser ones make the cores of small pools swing between two sets.
+BINS = 1024
 #: Median of the chi-square distribution with as many degrees of freedom as there are statistics.
 CHI_MEDIAN = 4.351
+#: SUPPORT over the chance that a chi-square with two more degrees of freedom is below CHI_MEDIAN.
+CONSISTENCY = 1.912
 STATISTICS = ("z_length", "z_word", "z_symbols", "z_lines", "z_repeats")
 #: Least standard deviation of each, in its own unit.
 FLOORS = (0.5, 0.04, 0.04, 0.25, 0.25)
@@ -150,23 +159,29 @@ def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) ->
     centre = cut(centre, "rules_medians")
     spread = used.join(small(centre), "pool").groupBy("pool").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), F.first("rows").alias("rows"), *(F.percentile(F.round(F.abs(F.col(s) - F.col(f"m{i}"))), half).alias(f"d{i}") for i, s in enumerate(STATISTICS)))
     wide = spread.select("pool", "rows", *((F.col(f"m{i}") / UNIT).alias(f"m{i}") for i in range(p)), *((F.pow(F.col(f"d{i}") / UNIT * 1.4826, 2) + floor[i] if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
-    far = None
+    settled = False
     for step in range(steps + 1):
         factor, far = distance([F.col(f"m{i}") for i in range(p)], {(i, j): F.col(f"s_{i}_{j}") for i, j in pairs}, x)
         for name, value in factor:
             wide = wide.withColumn(name, value)
         wide = cut(wide.select("pool", "rows", *(f"m{i}" for i in range(p)), *(name for name, _ in factor)), "rules_step")
-        bin_of = F.floor(64 * F.log1p(far))
+        bin_of = F.floor(BINS * F.log1p(far))
         joined = used.join(small(wide), "pool")
-        if step == steps:
+        if step == steps or settled:
             scale = joined.groupBy("pool").agg(F.percentile(bin_of, half).alias("middle"))
-            scale = scale.select("pool", F.greatest(F.expm1((F.col("middle") + 0.5) / 64) / CHI_MEDIAN, F.lit(0.25)).alias("scale"))
+            scale = scale.select("pool", F.greatest(F.expm1((F.col("middle") + 0.5) / BINS) / CHI_MEDIAN, F.lit(0.25)).alias("scale"))
             return cut(wide.join(scale, "pool"), "rules_estimates"), far
         edge = cut(joined.groupBy("pool").agg(F.percentile(bin_of, F.lit(support)).alias("edge")), "rules_edge")
         core = joined.join(small(edge), "pool").where(bin_of <= F.col("edge")).select("pool", "rows", *(F.col(s).cast("decimal(18,0)").alias(s) for s in STATISTICS))
         sums = core.groupBy("pool").agg(F.first("rows").alias("rows"), F.count("*").cast("double").alias("n"), *(F.sum(s).cast("double").alias(f"u{i}") for i, s in enumerate(STATISTICS)), *(F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).cast("double").alias(f"v_{i}_{j}") for i, j in pairs))
         moment = lambda i, j: (F.col(f"v_{i}_{j}") / F.col("n") - F.col(f"u{i}") / F.col("n") * F.col(f"u{j}") / F.col("n")) / UNIT**2
-        wide = sums.select("pool", "rows", *((F.col(f"u{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(p)), *((moment(i, j) + (floor[i] if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
+        after = sums.select("pool", "rows", *((F.col(f"u{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(p)), *((CONSISTENCY * moment(i, j) + (floor[i] if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
+        after = cut(after, "rules_moments")
+        # the variances before are those of the factor's rows
+        before = wide.select(F.col("pool").alias("q"), *(F.col(f"m{i}").alias(f"b{i}") for i in range(p)), *(reduce(add, (F.col(f"c_{i}_{j}") ** 2 for j in range(i + 1))).alias(f"v{i}") for i in range(p)))
+        moved = reduce(or_, ((F.abs(F.col(f"m{i}") - F.col(f"b{i}")) > SETTLED * F.sqrt(f"s_{i}_{i}")) | (F.abs(F.col(f"s_{i}_{i}") - F.col(f"v{i}")) > SETTLED * F.col(f"s_{i}_{i}")) for i in range(p)))
+        settled = not after.join(small(before), F.col("pool") == F.col("q")).where(moved).limit(1).count()
+        wide = after
     raise ValueError("steps must be 0 or more")
 
 
