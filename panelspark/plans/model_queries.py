@@ -178,14 +178,10 @@ def state_variables(s: Star) -> DataFrame:
     return D.state_variables(s.returns())
 
 
-def year_ends(s: Star) -> DataFrame:
-    return s.calendar().where("month(trade_date) = 12")
-
-
 @query("market_states")
 def market_states(s: Star) -> DataFrame:
     v = D.state_variables(s.returns()).select(F.col("trade_date").alias("date"), F.col("market_return").alias("return"), F.col("dispersion").alias("volatility"), "breadth")
-    return D.regimes(v, year_ends(s), ["return", "volatility", "breadth"]).drop("loglik")
+    return D.regimes(v, s.calendar(), ["return", "volatility", "breadth"]).drop("loglik")
 
 
 def benchmark_returns(s: Star) -> DataFrame:
@@ -195,13 +191,13 @@ def benchmark_returns(s: Star) -> DataFrame:
 
 @query("volatility_models")
 def volatility_models(s: Star) -> DataFrame:
-    return D.volatility_forecasts(benchmark_returns(s), year_ends(s), least=24)
+    return D.volatility_forecasts(benchmark_returns(s), s.calendar(), least=24)
 
 
 @query("factor_covariances")
 def factor_covariances(s: Star) -> DataFrame:
     g = E.group_returns(long(s, "fwd"), "fwd").select(F.col("trade_date").alias("date"), "factor", F.col("spread").alias("ret"))
-    return D.dynamic_covariances(g, year_ends(s))
+    return D.dynamic_covariances(g, s.calendar())
 
 
 @query("baseline_forecasts")
