@@ -278,9 +278,10 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sets = every.where("id is not null and set_key is not null")
     held = cut(sets.groupBy("set_key").agg(F.min("id").alias("holder"), F.count("*").alias("n")), "near_sets")
     # rows of sets held by several rows; all others hold their own
-    copies = sets.select("id", "set_key").join(held.where("n > 1"), "set_key").where("id != holder").select("id", "holder").distinct()
+    copies = sets.select("id", "set_key").join(held.where("n > 1"), "set_key").where("id != holder").select("id", "set_key", "holder").distinct()
     copies = cut(copies, "near_copies")
-    holders = sets.join(copies.select("id").distinct(), "id", "left_anti")
+    # a repeated id may hold other sets than those it copies
+    holders = sets.join(copies.select("id", "set_key"), ["id", "set_key"], "left_anti")
     shared = banded(holders)
     crowds = shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(shared.join(crowds, "band").select("band", "id", "n"), "near_bands")
@@ -297,7 +298,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     stars = stars.join(sizes.toDF("b", "nb", "rb"), "b").join(sizes.toDF("a", "na", "ra"), "a")
     stars = cut(likely(stars), "near_stars")
     links = cut(confirmed(stars, whole), "near_links")
-    same = copies.select(F.col("holder").alias("a"), F.col("id").alias("b"))
+    same = copies.select(F.col("holder").alias("a"), F.col("id").alias("b")).distinct()
     first = cut(components(links), "near_first")
     more = cut(mixed_pairs(shared.select("band", "id"), sizes.join(whole.select("id", "fine"), "id"), first).join(stars, ["a", "b"], "left_anti"), "near_mixed")
     found = components(links.unionByName(confirmed(more, whole)).unionByName(same))
