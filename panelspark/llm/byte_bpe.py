@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import small_batches
+from .util import pieces
 
 #: Pieces kept with their ids: two generations of so many at most.
 CACHE_PIECES = 500_000
@@ -177,11 +177,9 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, token_ids (little-endian unsigned 32-bit integers) of every row; map-side, no shuffle."""
-    small_batches(df.sparkSession)
-
     def work(batches):
         own = codec(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             out = [own.encode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["k", "n_tokens", "token_ids"])
 
@@ -191,11 +189,9 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:
     """key, n_tokens, token_ids and the decoded bytes of every row."""
-    small_batches(df.sparkSession)
-
     def work(batches):
         own = codec(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             packed = b.column(2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, pa.array([own.decode(x) for x in packed.to_pylist()], pa.binary())], ["k", "n_tokens", "token_ids", "decoded"])
 

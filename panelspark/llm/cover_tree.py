@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import small_batches
-
 SCALE, K, EVERY = 256, 5, 50
 DATA_BLOCK, QUERY_BLOCK, LEAF = 8192, 8192, 64
 
@@ -143,7 +141,6 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def top_k(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a boolean column over the ids, named id."""
-    small_batches(df.sparkSession, 4096)
     x = F.col("v").cast("array<double>")
     sound = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and size(v) > 0").where(sound)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import Codec, codec
-from .util import small_batches
+from .util import pieces
 
 CONTEXT, LEAF = 4, 64
 Edit = tuple[int, int, str]
@@ -166,11 +166,9 @@ def recount(text: str, edits: list[Edit], own: Codec) -> tuple[int, int, int, in
 
 def edited_counts(df: DataFrame, path: str, pattern: str, edits_of: Callable[[str], list[Edit]] = masking, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_edits, tokens_before, n_tokens (after) and n_recoded (pre-tokens encoded for the edits) of every row."""
-    small_batches(df.sparkSession)
-
     def work(batches):
         own = codec(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for x in b.column(1).to_pylist():
                 edits = edits_of(x)

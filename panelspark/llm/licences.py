@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bytes_of, small_batches
+from .util import bytes_of, pieces
 
 # Base phrases and their labels (the query's contract).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -198,11 +198,9 @@ _KINDS = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), _SPAN]
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """key, the base columns, labels, score and spans of every row; map-side."""
-    small_batches(df.sparkSession)
-
     def work(batches):
         own = Scanner(**how)
-        for b in batches:
+        for b in pieces(batches):
             rows = [own.scan(x) for x in b.column(1).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(_KINDS)
             data = [pa.array(list(c), k) if k is not _SPAN else pa.array([[dict(zip(("label", "first_word", "end_word", "coverage"), s, strict=True)) for s in spans] for spans in c], k) for c, k in zip(columns, _KINDS, strict=True)]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import small
-from .util import U64, bytes_of, cut, mix, small_batches, spaced_words, word_hashes
+from .util import U64, bytes_of, cut, mix, pieces, spaced_words, word_hashes
 
 WIDTH, PERCENT = 5, 75
 PASSES, BUCKETS, BAND = 16, 16, 4
@@ -121,10 +121,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """id, n_shingles, set_key (128 bits of the whole set) and registers. docs: id, t."""
-    small_batches(docs.sparkSession)
-
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for text in b.column(1).to_pylist():
                 own = shingles(text)
@@ -140,7 +138,7 @@ def banded(holders: DataFrame) -> DataFrame:
     """band, id: a row for each band of each holder."""
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             keys = [bands(np.frombuffer(x, np.uint16).reshape(PASSES, BUCKETS)) for x in b.column(1).to_pylist()]
             ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U64), *keys]).view(np.int64)), pa.array(ids, pa.int64())], ["band", "id"])
@@ -152,7 +150,7 @@ def likely(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, registers of both as ra, rb, sizes na, nb) that pass the size bound and the estimate."""
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(b.num_rows, -1) for k in (2, 3))
                 b = b.filter(pa.array(estimate(x, y) >= LEAST_ESTIMATE))
@@ -171,7 +169,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def work(batches):
         last: tuple[bytes, np.ndarray] = (b"", np.empty(0, U64))
-        for batch in batches:
+        for batch in pieces(batches, 64):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if x != last[0]:
@@ -214,7 +212,7 @@ def fine_sketches(docs: DataFrame) -> DataFrame:
     """id, t and the finer sketch of each text."""
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             fine = [fine_sketch(shingles(x)).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fine, pa.binary())], ["id", "t", "fine"])
 

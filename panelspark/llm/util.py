@@ -1,4 +1,4 @@
-"""Shared helpers: byte-level words, 64-bit mixing, work folders, Arrow batch size."""
+"""Shared helpers: byte-level words, 64-bit mixing, work folders, slices of Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -50,24 +51,33 @@ def bytes_of(text: str = "text"):
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as one row may hold a very long text."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches, rows: int = 512):
+    """Arrow batches (whose bytes Spark limits) in slices of few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master (tests) takes a folder of its own; on a
+    cluster that would be another folder on each machine, so it is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         at = f"file://{tempfile.gettempdir()}/panelspark-checkpoints"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(at)
     return at
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written once to the shared folder and read back: later steps start from files, not from the plan above."""
+    """df written once to the shared folder and read back: later steps start from files, not from the plan above.
+
+    The table is deleted when the process ends, or by settled().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{re.sub(r'[^a-z0-9]', '_', name)}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -77,11 +87,21 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_tables() -> None:
-    """Deletes what cut() wrote and this process still has a running session for."""
-    while _made:
+def remove_tables(but: int = 0) -> None:
+    """Deletes what cut() wrote, the first `but` tables apart, if its session still runs."""
+    while len(_made) > but:
         spark, path = _made.pop()
         jvm = spark.sparkContext._jvm
         if spark.sparkContext._jsc is not None and jvm is not None:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """make()'s result as a table of its own, once the tables that make() cut on its way are deleted."""
+    before = len(_made)
+    result = cut(make(), name)
+    own = _made.pop()
+    remove_tables(before)
+    _made.append(own)
+    return result
