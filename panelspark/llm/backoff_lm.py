@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .util import U64, bytes_of, mix, spaced_words, word_hashes
 
 MU = 20.0
-BLOCK_BYTES, MIN_SHARDS = 12 << 20, 64
+BLOCK_BYTES, MIN_SHARDS = 8 << 20, 64
 KEY_SPARE, KEY_BITS = 20, (40, 63)
 #: A space can't be in a word, so these are no word's bytes. They are numbers 0 and 1 of every block.
 END, START = b" end", b" start"

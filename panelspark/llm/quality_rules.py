@@ -3,15 +3,19 @@
 Every text gives counts (words, their characters, symbols, repeated lines,
 words in repeated 8-word windows) and from them a vector of transformed
 statistics. For every language and source a minimum-covariance-determinant
-estimate of centre and scatter is made by concentration steps: start from
-medians and absolute deviations, keep the SUPPORT share of rows that lie
-nearest, re-estimate from those (the scatter times CONSISTENCY, as the nearest
-half spreads less than the whole), repeat until no centre or deviation of any
-pool moves by more than SETTLED of a deviation, or STEPS times (ties could let a
-core swing for ever). A row is an outlier if its squared Mahalanobis distance,
-scaled so that the median is that of a chi-square, is above CUTOFF. Floors on the
-scatter keep statistics that are constant in most texts (no symbols, no repeated
-line) from making it singular. The support of one half bears pools with junk up
+estimate of centre and scatter is made by concentration steps from two
+deterministic starts (medians with absolute deviations; means with the whole
+scatter): keep the SUPPORT share of rows that lie nearest, re-estimate from those
+(the scatter times CONSISTENCY, as the nearest half spreads less than the whole),
+repeat until no centre or deviation of any pool moves by more than SETTLED of a
+deviation, or STEPS times (ties could let a core swing for ever). The start whose
+core has the smaller determinant is taken. A row is an outlier if its squared
+Mahalanobis distance, scaled so that the median is that of a chi-square, is above
+CUTOFF. That is five times the chi-square's 0.999 quantile, as statistics of
+texts have longer tails than a normal distribution and clean texts must stay. Floors on
+the scatter keep statistics that are constant in most texts (no symbols, no
+repeated line) from making it singular: half a unit of a log length, 4 % of a
+log word length, a share of 0.16 % symbols, of 6 % repeated lines or words. The support of one half bears pools with junk up
 to nearly one half; where junk is the larger part of a pool, and alike, it is
 taken for the rule (as a text copied so often would be).
 
@@ -32,10 +36,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mixing import small
+from .mixing import BROADCAST_SOURCES, small
 from .util import SPACE, WORD, cut
 
 SYMBOLS = "#*$%&|<>"
@@ -148,41 +152,77 @@ def distance(centre: list[Column], scatter: dict[tuple[int, int], Column], value
     return steps, reduce(add, (x * x for x in solved))
 
 
-def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> tuple[DataFrame, Column]:
-    """One row a pool (pool, rows, centre, factor, scale), and the squared distance of a row joined with it."""
-    p, x = len(STATISTICS), [F.col(s).cast("double") / UNIT for s in STATISTICS]
+def factored(wide: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """wide (centre m_i, scatter s_i_j by row) with the scatter's factor instead, and the squared distance of a row joined with it."""
+    p = len(STATISTICS)
+    steps, far = distance([F.col(f"m{i}") for i in range(p)], {(i, j): F.col(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)}, [F.col(s).cast("double") / UNIT for s in STATISTICS])
+    for name, value in steps:
+        wide = wide.withColumn(name, value)
+    return wide.select(*keep, *(f"m{i}" for i in range(p)), *(name for name, _ in steps)), far
+
+
+def edges(joined: DataFrame, far: Column, support: float) -> DataFrame:
+    """By pool and start (as p, t) the edge: the first bin of distances up to which a share `support` of the rows lies."""
+    bins = joined.groupBy("pool", "start", F.floor(BINS * F.log1p(far)).alias("bin")).count()
+    order = Window.partitionBy("pool", "start").orderBy("bin")
+    whole = Window.partitionBy("pool", "start")
+    reached = bins.select("pool", "start", "bin", F.sum("count").over(order).alias("upto"), F.sum("count").over(whole).alias("all")).where(F.col("upto") >= support * F.col("all"))
+    return reached.groupBy(F.col("pool").alias("p"), F.col("start").alias("t")).agg(F.min("bin").alias("edge"))
+
+
+def moments(core: DataFrame, factor: float) -> DataFrame:
+    """By pool and start: rows, centre and scatter (times factor, plus the floors), from exact sums."""
+    p, floor = len(STATISTICS), [f * f for f in FLOORS]
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    x = [F.col(s).cast("decimal(18,0)") for s in STATISTICS]
+    sums = core.groupBy("pool", "start").agg(F.first("rows").alias("rows"), F.count("*").cast("double").alias("n"), *(F.sum(x[i]).cast("double").alias(f"u{i}") for i in range(p)), *(F.sum(x[i] * x[j]).cast("double").alias(f"v_{i}_{j}") for i, j in pairs))
+    moment = lambda i, j: (F.col(f"v_{i}_{j}") / F.col("n") - F.col(f"u{i}") / F.col("n") * F.col(f"u{j}") / F.col("n")) / UNIT**2
+    return sums.select("pool", "start", "rows", *((F.col(f"u{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(p)), *((factor * moment(i, j) + (floor[i] if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
+
+
+def starts(used: DataFrame) -> DataFrame:
+    """Two first estimates a pool: medians with absolute deviations (start 0), means with the whole scatter (start 1)."""
+    p, floor, half = len(STATISTICS), [f * f for f in FLOORS], F.lit(0.5)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    used = rows.where(~F.col("base_failed")).select("pool", *STATISTICS)
-    floor = [f * f for f in FLOORS]
-    half = F.lit(0.5)
     centre = used.groupBy("pool").agg(*(F.percentile(s, half).alias(f"m{i}") for i, s in enumerate(STATISTICS)), F.count("*").alias("rows"))
     centre = cut(centre, "rules_medians")
     spread = used.join(small(centre), "pool").groupBy("pool").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), F.first("rows").alias("rows"), *(F.percentile(F.round(F.abs(F.col(s) - F.col(f"m{i}"))), half).alias(f"d{i}") for i, s in enumerate(STATISTICS)))
-    wide = spread.select("pool", "rows", *((F.col(f"m{i}") / UNIT).alias(f"m{i}") for i in range(p)), *((F.pow(F.col(f"d{i}") / UNIT * 1.4826, 2) + floor[i] if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
-    settled = False
-    for step in range(steps + 1):
-        factor, far = distance([F.col(f"m{i}") for i in range(p)], {(i, j): F.col(f"s_{i}_{j}") for i, j in pairs}, x)
-        for name, value in factor:
-            wide = wide.withColumn(name, value)
-        wide = cut(wide.select("pool", "rows", *(f"m{i}" for i in range(p)), *(name for name, _ in factor)), "rules_step")
-        bin_of = F.floor(BINS * F.log1p(far))
-        joined = used.join(small(wide), "pool")
-        if step == steps or settled:
-            scale = joined.groupBy("pool").agg(F.percentile(bin_of, half).alias("middle"))
-            scale = scale.select("pool", F.greatest(F.expm1((F.col("middle") + 0.5) / BINS) / CHI_MEDIAN, F.lit(0.25)).alias("scale"))
-            return cut(wide.join(scale, "pool"), "rules_estimates"), far
-        edge = cut(joined.groupBy("pool").agg(F.percentile(bin_of, F.lit(support)).alias("edge")), "rules_edge")
-        core = joined.join(small(edge), "pool").where(bin_of <= F.col("edge")).select("pool", "rows", *(F.col(s).cast("decimal(18,0)").alias(s) for s in STATISTICS))
-        sums = core.groupBy("pool").agg(F.first("rows").alias("rows"), F.count("*").cast("double").alias("n"), *(F.sum(s).cast("double").alias(f"u{i}") for i, s in enumerate(STATISTICS)), *(F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).cast("double").alias(f"v_{i}_{j}") for i, j in pairs))
-        moment = lambda i, j: (F.col(f"v_{i}_{j}") / F.col("n") - F.col(f"u{i}") / F.col("n") * F.col(f"u{j}") / F.col("n")) / UNIT**2
-        after = sums.select("pool", "rows", *((F.col(f"u{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(p)), *((CONSISTENCY * moment(i, j) + (floor[i] if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
-        after = cut(after, "rules_moments")
+    robust = spread.select("pool", F.lit(0).alias("start"), "rows", *((F.col(f"m{i}") / UNIT).alias(f"m{i}") for i in range(p)), *((F.pow(F.col(f"d{i}") / UNIT * 1.4826, 2) + floor[i] if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
+    plain = moments(used.join(small(centre.select(F.col("pool").alias("c"), "rows")), F.col("pool") == F.col("c")).withColumn("start", F.lit(1)), 1.0)
+    return robust.unionByName(plain)
+
+
+def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> tuple[DataFrame, Column]:
+    """One row a pool (pool, rows, centre, factor, scale), and the squared distance of a row joined with it."""
+    if steps < 0:
+        raise ValueError("steps must be 0 or more")
+    p = len(STATISTICS)
+    used = rows.where(~F.col("base_failed")).select("pool", *STATISTICS)
+    keep = ("pool", "start", "rows")
+    wide, far = factored(starts(used), keep)
+    wide = cut(wide.withColumn("moved", F.lit(True)), "rules_start")
+    # every table below has two rows a pool at most, so their number is counted once
+    few = wide.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    sent = F.broadcast if few else (lambda table: table)
+    for _ in range(steps):
+        joined = used.join(sent(wide), "pool")
+        edge = edges(joined, far, support)
+        core = joined.join(sent(edge), (F.col("pool") == F.col("p")) & (F.col("start") == F.col("t"))).where(F.floor(BINS * F.log1p(far)) <= F.col("edge"))
+        after = moments(core.select(*keep, *STATISTICS), CONSISTENCY)
         # the variances before are those of the factor's rows
-        before = wide.select(F.col("pool").alias("q"), *(F.col(f"m{i}").alias(f"b{i}") for i in range(p)), *(reduce(add, (F.col(f"c_{i}_{j}") ** 2 for j in range(i + 1))).alias(f"v{i}") for i in range(p)))
+        before = wide.select(F.col("pool").alias("q"), F.col("start").alias("b"), *(F.col(f"m{i}").alias(f"b{i}") for i in range(p)), *(reduce(add, (F.col(f"c_{i}_{j}") ** 2 for j in range(i + 1))).alias(f"v{i}") for i in range(p)))
         moved = reduce(or_, ((F.abs(F.col(f"m{i}") - F.col(f"b{i}")) > SETTLED * F.sqrt(f"s_{i}_{i}")) | (F.abs(F.col(f"s_{i}_{i}") - F.col(f"v{i}")) > SETTLED * F.col(f"s_{i}_{i}")) for i in range(p)))
-        settled = not after.join(small(before), F.col("pool") == F.col("q")).where(moved).limit(1).count()
-        wide = after
-    raise ValueError("steps must be 0 or more")
+        after = after.join(sent(before), (F.col("pool") == F.col("q")) & (F.col("start") == F.col("b"))).withColumn("moved", moved)
+        wide = cut(factored(after, (*keep, "moved"))[0], "rules_step")
+        if not wide.where("moved").limit(1).count():
+            break
+    # of the two, the core of the smaller determinant
+    spread = reduce(add, (F.log(f"c_{i}_{i}") for i in range(p)))
+    best = wide.withColumn("spread", F.round(spread, 9)).groupBy("pool").agg(F.min(F.struct("spread", "start"))["start"].alias("chosen")).withColumnRenamed("pool", "q")
+    wide = cut(wide.join(best, (F.col("pool") == F.col("q")) & (F.col("start") == F.col("chosen"))).drop("q", "chosen", "moved"), "rules_best")
+    middle = edges(used.join(sent(wide), "pool"), far, 0.5)
+    scale = middle.select("p", F.greatest(F.expm1((F.col("edge") + 0.5) / BINS) / CHI_MEDIAN, F.lit(0.25)).alias("scale"))
+    return cut(wide.join(scale, F.col("pool") == F.col("p")).drop("p", "start"), "rules_estimates"), far
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
