@@ -23,7 +23,9 @@ bands with a chance of about 3e-11, and less above.
 
 Texts without words, null texts among them, have an empty set and no links.
 Fewer than 5 words form one shingle of their own kind. A null id takes no part
-and stays, with null component. Rows that repeat an id are joined by it.
+and stays, with null component. Rows that repeat an id are joined by it. Texts
+are used whole, however long; a sketch has the same size for all. An empty table
+gives no rows. Columns other than key and text are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import small
-from .util import U64, bytes_of, cut, mix, pieces, spaced_words, word_hashes
+from .util import U64, bytes_of, cut, mix, pieces, settled, spaced_words, word_hashes
 
 WIDTH, PERCENT = 5, 75
 PASSES, BUCKETS, BAND = 16, 16, 4
@@ -50,6 +52,10 @@ LOT_ROWS = 1000
 ROUNDS = 40
 #: Ids of candidates are broadcast up to this number (8 bytes each), and joined by shuffle beyond it.
 BROADCAST_IDS = 500_000
+#: A key of more than HOT rows may be hot; HOT_KEYS keys are treated so at most.
+HOT, HOT_KEYS = 256, 100_000
+#: Pairs that meet one copy of a hot text.
+PAIRS_A_TEXT = 64
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -108,15 +114,39 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return keys[(grouped != EMPTY).any(axis=1)]
 
 
-#: Chance that registers of unlike minima agree: the mantissa's bits, and the leading-zero count's (about a third).
-CHANCE = 2.0**-MANTISSA / 3
+# Fixed value: HyperMinHash's expected share of colliding registers (Yu & Weber), for sets of equal size, before the mantissa halves it bit by bit.
+COLLISIONS = 0.169919487159739093975315012348
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of rows of registers, corrected for collisions; buckets empty on both sides tell nothing."""
+def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Chance that registers of unlike minima agree, for sets of n and m shingles: the mantissa's bits, less where the sizes differ."""
+    ratio = np.maximum(n, 1) / np.maximum(m, 1)
+    return COLLISIONS * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of rows of registers of sets with n and m shingles, corrected for collisions; buckets empty on both sides tell nothing."""
     used = (a != EMPTY) | (b != EMPTY)
     agree = ((a == b) & used).sum(axis=-1) / np.maximum(used.sum(axis=-1), 1)
-    return (agree - CHANCE) / (1 - CHANCE)
+    chance = collisions(n, m)
+    return (agree - chance) / (1 - chance)
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table, which has a row for each key and, as n, the key's number of rows; total: an upper bound of all rows.
+
+    Keys of more than a HOT_KEYS-th of the rows (and of HOT) are HOT_KEYS at most:
+    they are broadcast, and their rows stay spread. The others are shuffled.
+    """
+    bound, others = max(HOT, total // HOT_KEYS), [c for c in table.columns if c != key]
+    spread = F.xxhash64(*rows.columns)  # no key, or a key by a rare chance that changes nothing
+    if rows.schema[key].dataType.simpleString() != "bigint":
+        spread = spread.cast("string").cast(rows.schema[key].dataType)
+    hot = table.where(F.col("n") > bound).select(key, F.struct(*others).alias("__hot"))
+    cold = table.where(F.col("n") <= bound).select(F.col(key).alias("__at"), F.struct(*others).alias("__cold"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(spread))
+    met = marked.join(cold, "__at", "left").withColumn("__found", F.coalesce("__hot", "__cold")).where("__found is not null")
+    return met.select(*rows.columns, *(F.col("__found")[c].alias(c) for c in others))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -153,58 +183,78 @@ def likely(pairs: DataFrame) -> DataFrame:
         for b in pieces(batches):
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(b.num_rows, -1) for k in (2, 3))
-                b = b.filter(pa.array(estimate(x, y) >= LEAST_ESTIMATE))
+                b = b.filter(pa.array(estimate(x, y, b.column(4).to_numpy(), b.column(5).to_numpy()) >= LEAST_ESTIMATE))
             yield b.select([0, 1])
 
     sized = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    return sized.select("a", "b", "ra", "rb").mapInArrow(work, "a bigint, b bigint")
+    return sized.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(work, "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) those whose full sets are similar enough.
 
-    Only texts of candidates move: each text once to its own pairs' right side
-    and left side, as UTF-8, and sets are rebuilt where they meet.
+    Only texts of candidates move. A text that is in many pairs is the first of
+    each; it goes, once for every PAIRS_A_TEXT of them, before the others' texts
+    in the order of one partition, and sets are rebuilt where they meet.
     """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    total = 2 * pairs.count()
+    hot = ends.where(F.col("n") > max(HOT, total // HOT_KEYS))  # HOT_KEYS ids at most
+    known = lambda c: F.broadcast(hot.select(F.col("id").alias(c), F.ceil(F.col("n") / PAIRS_A_TEXT).cast("int").alias(f"parts_{c}")))
+    marked = pairs.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    swap = F.coalesce("parts_b", F.lit(1)) > F.coalesce("parts_a", F.lit(1))
+    ordered = marked.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest(F.coalesce("parts_a", F.lit(1)), F.coalesce("parts_b", F.lit(1))).alias("parts"))
+    ordered = cut(ordered.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "near_pairs")
 
     def work(batches):
-        last: tuple[bytes, np.ndarray] = (b"", np.empty(0, U64))
+        at, own, other = None, [], (None, None)
         for batch in pieces(batches, 64):
+            a, part, b, texts = (batch.column(k) for k in range(4))
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last[0]:
-                    last = (x, shingles(x))
-                own, other = last[1], shingles(y)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(own) + len(other) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    left = docs.select(F.col("id").alias("a"), F.col("t").alias("x"))
-    right = docs.select(F.col("id").alias("b"), F.col("t").alias("y"))
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+            for i in range(batch.num_rows):
+                here, text = (a[i].as_py(), part[i].as_py()), texts[i].as_py()
+                if not b[i].is_valid:  # the first text of the pairs that follow; several if its id is repeated
+                    own = [*own, shingles(text)] if here == at else [shingles(text)]
+                    at = here
+                    keep.append(False)
+                    continue
+                if text != other[0]:
+                    other = text, shingles(text)
+                keep.append(here == at and any(PERCENT * (len(x) + len(other[1])) <= (100 + PERCENT) * len(np.intersect1d(x, other[1], assume_unique=True)) for x in own))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            left, right = kept.column(0).to_numpy(), kept.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+
+    texts = docs.select("id", "t")
+    first = ordered.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "t")
+    second = ordered.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "t")
+    met = first.unionByName(second).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return met.mapInArrow(work, "a bigint, b bigint")  # pairs of a repeated id may come more than once
 
 
+def with_least(rows: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with m, the least v of u."""
+    return meet(rows, rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", total).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of every linked id, by rounds of large-star and small-star.
 
-    Every round's links are written to the shared folder; each is at most as many rows as before it.
+    Every round's links are written to the shared folder; each is at most as many
+    rows as before it. Hubs are no hot keys: see meet().
     """
     now = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     for _ in range(ROUNDS):
+        total = 2 * now.count()
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(floor, "u")
-        after = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        after = cut(after, "links")
+        large = cut(with_least(both, total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "links")
+        small_star = with_least(large, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = cut(small_star.where("u != v").distinct(), "links")
         # stars only, and each hub is nobody's leaf: done
-        open_ = after.groupBy("u").count().where("count > 1").limit(1).count() or after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        now = after
-        if not open_:
-            hubs = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(hubs)
+        leaves = now.groupBy("u").count()
+        hubs = now.select("v").distinct()
+        if not (leaves.where("count > 1").limit(1).count() or hubs.join(leaves, F.col("v") == F.col("u"), "left_semi").limit(1).count()):
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(hubs.select(F.col("v").alias("id"), F.col("v").alias("component")))
     raise RuntimeError(f"components not settled after {ROUNDS} rounds")
 
 
@@ -231,12 +281,12 @@ def mixed_pairs(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
     """
     named = bands_.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("band", "component").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component"))["component"].alias("home")).where("parts > 1")
-    rows = cut(named.join(mixed.select("band", "home"), "band").select("home", "id", "component").distinct(), "near_homes")
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component"))["component"].alias("home"), F.sum("k").alias("n")).where("parts > 1")
+    total = bands_.count()
+    rows = cut(meet(named, mixed, "band", total).select("home", "id", "component").distinct(), "near_homes")
     guest = F.col("component") != F.col("home")
-    crowd = rows.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("stays"), F.ceil(F.count_if(guest) / CHUNK).cast("int").alias("visits"))
-    crowd = small(cut(crowd, "near_crowds"), BROADCAST_IDS)  # a row a home
-    rows = rows.join(crowd, "home").withColumn("h", F.xxhash64("id"))
+    crowd = rows.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("stays"), F.ceil(F.count_if(guest) / CHUNK).cast("int").alias("visits"), F.count("*").alias("n"))
+    rows = meet(rows, cut(crowd, "near_crowds"), "home", total).withColumn("h", F.xxhash64("id"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stay = rows.select("home", "id", "component", F.lit(False).alias("visiting"), F.pmod("h", F.col("stays")).cast("int").alias("i"), every("visits").alias("j"))
     visit = rows.where(guest).select("home", "id", "component", F.lit(True).alias("visiting"), every("stays").alias("i"), F.pmod("h", F.col("visits")).cast("int").alias("j"))
@@ -259,9 +309,9 @@ def mixed_pairs(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
             for a in cell[visiting[cell]]:
                 at = own[(comps[own] != comps[a]) & (settled | (ids[own] < ids[a])) & (100 * np.minimum(sizes_[own], sizes_[a]) >= PERCENT * np.maximum(sizes_[own], sizes_[a]))]
                 if len(at):
-                    at = at[estimate(regs[at], regs[a][None, :]) >= LEAST_ESTIMATE]
+                    at = at[estimate(regs[at], regs[a][None, :], sizes_[at], sizes_[a]) >= LEAST_ESTIMATE]
                 if len(at):
-                    at = at[estimate(fine[at], fine[a][None, :]) >= LEAST_FINE]
+                    at = at[estimate(fine[at], fine[a][None, :], sizes_[at], sizes_[a]) >= LEAST_FINE]
                     found.update((min(ids[a], x), max(ids[a], x)) for x in ids[at])
         pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -274,32 +324,35 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     docs = df.select(F.col(key).cast("bigint").alias("id"), bytes_of(text).alias("t"))
     every = cut(sketches(docs), "near_sketches")
     sets = every.where("id is not null and set_key is not null")
+    total = sets.count()
     held = cut(sets.groupBy("set_key").agg(F.min("id").alias("holder"), F.count("*").alias("n")), "near_sets")
     # rows of sets held by several rows; all others hold their own
-    copies = sets.select("id", "set_key").join(held.where("n > 1"), "set_key").where("id != holder").select("id", "set_key", "holder").distinct()
+    copies = meet(sets.select("id", "set_key"), held.where("n > 1"), "set_key", total).where("id != holder").select("id", "set_key", "holder").distinct()
     copies = cut(copies, "near_copies")
     # a repeated id may hold other sets than those it copies
     holders = sets.join(copies.select("id", "set_key"), ["id", "set_key"], "left_anti")
     shared = banded(holders)
-    crowds = shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(shared.join(crowds, "band").select("band", "id", "n"), "near_bands")
+    crowds = cut(shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near_shared")
+    shared = cut(meet(shared, crowds, "band", total * PASSES * BUCKETS // BAND), "near_bands")
     # a text that others were made from shares more bands with them than they share: it makes the better hub
     degree = cut(shared.groupBy("id").agg(F.sum("n").alias("degree")), "near_degrees")
     best = F.max(F.struct("degree", (-F.col("id")).alias("id")))["id"]
-    hubs = shared.join(degree, "id").groupBy("band").agg((-best).alias("hub"), F.min("id").alias("low"))
+    hubs = shared.join(degree, "id").groupBy("band").agg((-best).alias("hub"), F.min("id").alias("low"), F.count("*").alias("n"))
     active = cut(shared.select("id").distinct(), "near_active")
     wanted = small(active, BROADCAST_IDS)
     sizes = cut(sets.join(wanted, "id", "left_semi").select("id", "n_shingles", "registers").dropDuplicates(["id", "registers"]), "near_active_sketches")
     whole = cut(fine_sketches(docs.join(wanted, "id", "left_semi").dropDuplicates(["id", "t"])), "near_active_texts")
-    spokes = shared.select("band", "id").join(hubs, "band").select("id", F.explode(F.array("hub", "low")).alias("hub")).where("id != hub")
+    spokes = meet(shared.select("band", "id"), cut(hubs, "near_hubs"), "band", shared.count()).select("id", F.explode(F.array("hub", "low")).alias("hub")).where("id != hub")
     stars = spokes.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     stars = stars.join(sizes.toDF("b", "nb", "rb"), "b").join(sizes.toDF("a", "na", "ra"), "a")
     stars = cut(likely(stars), "near_stars")
     links = cut(confirmed(stars, whole), "near_links")
     same = copies.select(F.col("holder").alias("a"), F.col("id").alias("b")).distinct()
-    first = cut(components(links), "near_first")
+    first = settled(lambda: components(links), "near_first")
     more = cut(mixed_pairs(shared.select("band", "id"), sizes.join(whole.select("id", "fine"), "id"), first).join(stars, ["a", "b"], "left_anti"), "near_mixed")
-    found = components(links.unionByName(confirmed(more, whole)).unionByName(same))
-    rows = every.select("id", "n_shingles").join(found, "id", "left")
+    found = settled(lambda: components(links.unionByName(confirmed(more, whole)).unionByName(same)), "near_found")
+    rows = every.select("id", "n_shingles")
     component = F.coalesce("component", "id")
-    return rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    linked = rows.where("id is not null").join(found, "id", "left").select("id", "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    alone = rows.where("id is null").select("id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone).withColumnRenamed("id", key)
