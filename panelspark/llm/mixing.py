@@ -8,15 +8,16 @@ level = (total - caps before) / (weights from here on) is no more than its own
 cap / weight ends the clamping, and every target is least(cap, level * weight).
 
 A target is target // size whole repetitions of the source plus a fraction.
-The fraction is a seeded sample of whole documents: documents hash to 4096
-cells of 4096 sub-cells each; cells are taken in order until the fraction is
+The fraction is a seeded sample of whole documents: documents hash, by seed, id
+and text (MD5, which any SQL engine has), to 4096 cells of 4096 sub-cells each; cells are taken in order until the fraction is
 full, the boundary cell by sub-cells, the boundary sub-cell if that comes
 nearer. So a source is never sorted, and a hot one is never in one task: per
 source only 2 * 4096 sums exist, summed before they are shuffled.
 
 Null text has size 0; a null source is a source of its own, last in order.
-Documents of size 0 take 0 words. Repeated rows are separate documents of one
-hash and stay or go together. An empty table gives no rows. Other columns of
+Documents of size 0 take 0 words. Texts are counted whole, however long. A null
+id is an id like any other, its rows told apart by their texts. Rows that repeat
+id and text are separate documents of one hash and stay or go together. An empty table gives no rows. Other columns of
 the input are not looked at.
 """
 
@@ -56,8 +57,10 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOC
 def with_cells(df: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
     """df's columns with __source, __size, __cell and __sub."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    return df.select("*", F.col(source).alias("__source"), size.alias("__size"), h.bitwiseAND(CELLS - 1).cast("int").alias("__cell"), F.shiftrightunsigned(h, 12).bitwiseAND(CELLS - 1).cast("int").alias("__sub"))
+    content = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    h = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("/"), content).cast("binary"))
+    digits = lambda at: F.conv(F.substring(h, at, 3), 16, 10).cast("int")
+    return df.select("*", F.col(source).alias("__source"), size.alias("__size"), digits(1).alias("__cell"), digits(4).alias("__sub"))
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
