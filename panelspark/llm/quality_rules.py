@@ -6,10 +6,10 @@ statistics. For every language and source a minimum-covariance-determinant
 estimate of centre and scatter is made by concentration steps from two
 deterministic starts (medians with absolute deviations; means with the whole
 scatter): keep the SUPPORT share of rows that lie nearest, re-estimate from those
-(the scatter times CONSISTENCY, as the nearest half spreads less than the whole),
-repeat until no centre or deviation of any pool moves by more than SETTLED of a
-deviation, or STEPS times (ties could let a core swing for ever). The start whose
-core has the smaller determinant is taken. A row is an outlier if its squared
+(the scatter times CONSISTENCY, as the nearest half spreads less than the whole).
+After TRIED steps the start whose core has the smaller determinant goes on alone,
+until no centre or deviation of any pool moves by more than SETTLED of a
+deviation, or for STEPS steps in all (ties could let a core swing for ever). A row is an outlier if its squared
 Mahalanobis distance, scaled so that the median is that of a chi-square, is above
 CUTOFF. That is five times the chi-square's 0.999 quantile, as statistics of
 texts have longer tails than a normal distribution and clean texts must stay. Floors on
@@ -45,7 +45,9 @@ from .util import SPACE, WORD, cut
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 UNIT = 256
-SUPPORT, STEPS, SETTLED, MIN_ROWS = 0.5, 20, 0.01, 100
+SUPPORT, STEPS, SETTLED, MIN_ROWS = 0.5, 12, 0.01, 100
+#: Steps that both starts take.
+TRIED = 2
 CUTOFF = 100.0
 #: Steps of a distance to each factor of e. Coarser ones make the cores of small pools swing between two sets.
 BINS = 1024
@@ -192,6 +194,13 @@ def starts(used: DataFrame) -> DataFrame:
     return robust.unionByName(plain)
 
 
+def better(wide: DataFrame) -> DataFrame:
+    """Of each pool's starts the one whose core has the smallest determinant."""
+    volume = reduce(add, (F.log(f"c_{i}_{i}") for i in range(len(STATISTICS))))
+    chosen = F.row_number().over(Window.partitionBy("pool").orderBy(F.round(volume, 9), "start"))
+    return wide.withColumn("chosen", chosen).where("chosen = 1").drop("chosen")
+
+
 def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> tuple[DataFrame, Column]:
     """One row a pool (pool, rows, centre, factor, scale), and the squared distance of a row joined with it."""
     if steps < 0:
@@ -204,7 +213,7 @@ def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) ->
     # every table below has two rows a pool at most, so their number is counted once
     few = wide.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     sent = F.broadcast if few else (lambda table: table)
-    for _ in range(steps):
+    for step in range(steps):
         joined = used.join(sent(wide), "pool")
         edge = edges(joined, far, support)
         core = joined.join(sent(edge), (F.col("pool") == F.col("p")) & (F.col("start") == F.col("t"))).where(F.floor(BINS * F.log1p(far)) <= F.col("edge"))
@@ -214,12 +223,11 @@ def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) ->
         moved = reduce(or_, ((F.abs(F.col(f"m{i}") - F.col(f"b{i}")) > SETTLED * F.sqrt(f"s_{i}_{i}")) | (F.abs(F.col(f"s_{i}_{i}") - F.col(f"v{i}")) > SETTLED * F.col(f"s_{i}_{i}")) for i in range(p)))
         after = after.join(sent(before), (F.col("pool") == F.col("q")) & (F.col("start") == F.col("b"))).withColumn("moved", moved)
         wide = cut(factored(after, (*keep, "moved"))[0], "rules_step")
-        if not wide.where("moved").limit(1).count():
+        if step == TRIED - 1:
+            wide = better(wide)
+        if step >= TRIED - 1 and not wide.where("moved").limit(1).count():
             break
-    # of the two, the core of the smaller determinant
-    spread = reduce(add, (F.log(f"c_{i}_{i}") for i in range(p)))
-    best = wide.withColumn("spread", F.round(spread, 9)).groupBy("pool").agg(F.min(F.struct("spread", "start"))["start"].alias("chosen")).withColumnRenamed("pool", "q")
-    wide = cut(wide.join(best, (F.col("pool") == F.col("q")) & (F.col("start") == F.col("chosen"))).drop("q", "chosen", "moved"), "rules_best")
+    wide = better(wide).drop("moved")
     middle = edges(used.join(sent(wide), "pool"), far, 0.5)
     scale = middle.select("p", F.greatest(F.expm1((F.col("edge") + 0.5) / BINS) / CHI_MEDIAN, F.lit(0.25)).alias("scale"))
     return cut(wide.join(scale, F.col("pool") == F.col("p")).drop("p", "start"), "rules_estimates"), far
