@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import safe_divide
 from ..functions.stats import benjamini_hochberg
 from .joins import lookup
-from .models import dcc_covariance, diagnostics, expanding_forecasts, fit_best_hmm, fit_volatility, gjr_grid_forecast, kalman_column, nearest_psd, risk_contributions, spa_test, stress_labels
+from .models import EWMA_ALPHA, dcc_covariance, diagnostics, expanding_forecasts, fit_best_hmm, fit_volatility, gjr_grid_forecast, kalman_column, nearest_psd, risk_contributions, spa_test, stress_labels
 
 # The pre-registered grid.
 GRID_Q, GRID_R, GRID_PENALTY = (0.0001, 0.001, 0.01), (0.005, 0.01, 0.02), (0.0, 0.2, 0.4)
@@ -141,21 +141,24 @@ def regimes(variables: DataFrame, dates: DataFrame, columns: list[str], states:
 VOLATILITY = "series string, test_date date, model string, forecast_vol double, status string"
 
 
-def volatility_forecasts(returns: DataFrame, dates: DataFrame, least: int = 36) -> DataFrame:
-    """Historical, EWMA, grid GJR, GARCH, GJR and EGARCH next-step volatility by series and date. returns: series, date, ret."""
+def volatility_forecasts(returns: DataFrame, dates: DataFrame, least: int = 36, kinds: tuple[str, ...] = ("garch", "gjr", "egarch")) -> DataFrame:
+    """Historical (last 20, last 60), EWMA, grid GJR and fitted (kinds) next-step volatility by series and date. returns: series, date, ret."""
     t = lookup(dates.select(F.col("trade_date").alias("test_date")).distinct())
     rows = returns.where("ret is not null").join(t, F.col("date") < F.col("test_date")).select("series", "test_date", "date", "ret")
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         r, out = g.sort_values("date")["ret"].to_numpy(float), []
+        out.append(("historical_20", float(r[-20:].std(ddof=1)), "ok") if len(r) >= 20 else ("historical_20", None, "insufficient_history"))
         if len(r) < least:
             out.append(("all", None, "insufficient_history"))
         else:
-            v = r[0] ** 2
-            for x in r[1:]:
-                v = 0.94 * v + 0.06 * x * x
-            out += [("historical", float(r.std(ddof=1)), "ok"), ("ewma", math.sqrt(v), "ok"), ("gjr_grid", gjr_grid_forecast(r), "ok")]
-            for kind in ("garch", "gjr", "egarch"):
+            square = (r - r.mean()) ** 2
+            v = square[0]
+            for x in square[1:]:
+                v = 0.94 * v + 0.06 * x
+            grid = gjr_grid_forecast(r)
+            out += [("historical_60", float(r[-60:].std(ddof=1)), "ok"), ("ewma", math.sqrt(0.94 * v + 0.06 * square[-1]), "ok"), ("gjr_grid", grid, "insufficient_history" if grid is None else "ok")]
+            for kind in kinds:
                 m = fit_volatility(r, kind)
                 out.append((kind, m["forecast_vol"], m["status"]))
         return pd.DataFrame([(key[0], key[1], *x) for x in out], columns=["series", "test_date", "model", "forecast_vol", "status"])
@@ -163,6 +166,24 @@ def volatility_forecasts(returns: DataFrame, dates: DataFrame, least: int = 36)
     return rows.groupBy("series", "test_date").applyInPandas(fit, VOLATILITY)
 
 
+def volatility_comparison(forecasts: DataFrame, returns: DataFrame, share: float = 0.95) -> DataFrame:
+    """By series and model: forecasts, mean error, absolute error and quasi-likelihood loss of variances, extreme next returns.
+
+    A forecast's target is the first return at or after its date; it is extreme
+    if it is as large as the `share` quantile of what was known before.
+    """
+    r = returns.where("ret is not null").select("series", "date", "ret")
+    dates = forecasts.where("forecast_vol is not null").select("series", "test_date").distinct()
+    met = dates.join(r, "series").groupBy("series", "test_date").agg(
+        F.min_by("ret", F.when(F.col("date") >= F.col("test_date"), F.col("date"))).alias("next"),
+        F.max(F.when(F.col("date") >= F.col("test_date"), True)).alias("open"),
+        F.percentile(F.when(F.col("date") < F.col("test_date"), F.abs("ret")), F.lit(share)).alias("edge"),
+    )
+    variance = F.greatest(F.col("forecast_vol") ** 2, F.lit(1e-12))
+    rows = forecasts.where("forecast_vol is not null").join(met.where("open"), ["series", "test_date"]).select("series", "model", variance.alias("v"), (F.col("next") ** 2).alias("a"), (F.abs("next") >= F.col("edge")).alias("extreme"))
+    return rows.groupBy("series", "model").agg(F.count("*").alias("n"), F.avg(F.col("a") - F.col("v")).alias("mean_error"), F.avg(F.abs(F.col("a") - F.col("v"))).alias("mean_absolute_error"), F.avg(F.log("v") + F.col("a") / F.col("v")).alias("qlike"), F.count_if("extreme").alias("extremes"))
+
+
 COVARIANCE = "test_date date, factor_a string, factor_b string, covariance double, risk_share double, status string"
 
 
@@ -237,11 +258,39 @@ def scheme_weights(ic: DataFrame, dates: DataFrame, available: str = "availabili
 PORTFOLIOS = {"A": ("static", False, False), "B": ("rule", False, False), "C": ("kalman", False, False), "D": ("static", True, False), "E": ("static", False, True), "F": ("kalman", True, False), "G": ("kalman", True, True)}
 
 
-def ablation(weights: DataFrame, returns: DataFrame, scalars: DataFrame, costs: float = 0.0015) -> DataFrame:
-    """(portfolio, date, gross, turnover, cost, net). weights: scheme, date, factor, weight (signed); returns: date, factor, ret; scalars: date, regime, volatility."""
+def regime_scalars(states: DataFrame, least: float = 0.9) -> DataFrame:
+    """(date, regime): 1 - (1 - least) * P(bear) of three-state models where they are fitted, else of two-state ones."""
+    bear = states.where("status = 'ok' and label = 'bear'").groupBy("test_date").agg(F.max_by("probability", "states").alias("p"))
+    return bear.select(F.col("test_date").alias("date"), (1 - (1 - least) * F.col("p")).alias("regime"))
+
+
+def volatility_scalars(forecasts: DataFrame, model: str = "gjr", per_year: int = 252, target: float = 0.15, least: float = 0.9) -> DataFrame:
+    """(date, volatility): target over the model's yearly volatility, within [least, 1]."""
+    yearly = F.col("forecast_vol") * math.sqrt(per_year)
+    rows = forecasts.where((F.col("model") == model) & (F.col("status") == "ok") & (yearly > 0))
+    return rows.select(F.col("test_date").alias("date"), F.greatest(F.least(target / yearly, F.lit(1.0)), F.lit(least)).alias("volatility"))
+
+
+def risk_scaled(weights: DataFrame, covariances: DataFrame) -> DataFrame:
+    """weights (scheme, date, factor, weight) over the factors' conditional deviations, gross 1; as they are where fewer than two are known."""
+    own = covariances.where("factor_a = factor_b and covariance > 0").select(F.col("test_date").alias("date"), F.col("factor_a").alias("factor"), F.col("covariance").alias("__c"))
+    w = Window.partitionBy("scheme", "date")
+    rows = weights.join(own, ["date", "factor"], "left").withColumn("__n", F.count("__c").over(w)).withColumn("__x", F.col("weight") / F.sqrt("__c"))
+    scaled = F.coalesce(safe_divide("__x", F.sum(F.abs("__x")).over(w)), F.col("weight"))
+    return rows.withColumn("__s", F.when(F.col("__n") >= 2, scaled).otherwise(F.col("weight"))).where((F.col("__n") < 2) | F.col("__c").isNotNull()).select("scheme", "date", "factor", F.col("__s").alias("weight"))
+
+
+def ablation(weights: DataFrame, returns: DataFrame, scalars: DataFrame, costs: float = 0.0015, covariances: DataFrame | None = None) -> DataFrame:
+    """(portfolio, date, gross, turnover, cost, net). weights: scheme, date, factor, weight (signed); returns: date, factor, ret; scalars: date, regime, volatility.
+
+    With covariances, portfolios with volatility scaling take risk-scaled weights.
+    """
     spark = weights.sparkSession
     table = F.broadcast(spark.createDataFrame([(p, *x) for p, x in PORTFOLIOS.items()], "portfolio string, scheme string, by_regime boolean, by_vol boolean"))
-    w = weights.join(table, "scheme").join(lookup(scalars.withColumnsRenamed({"regime": "__r", "volatility": "__v"})), "date", "left")
+    dealt = weights.join(table, "scheme")
+    if covariances is not None:
+        dealt = dealt.where("not by_vol").unionByName(risk_scaled(weights, covariances).join(table.where("by_vol"), "scheme"), allowMissingColumns=True)
+    w = dealt.join(lookup(scalars.withColumnsRenamed({"regime": "__r", "volatility": "__v"})), "date", "left")
     scale = F.when(F.col("by_regime"), F.coalesce("__r", F.lit(1.0))).otherwise(1.0) * F.when(F.col("by_vol"), F.coalesce("__v", F.lit(1.0))).otherwise(1.0)
     w = w.select("portfolio", "date", "factor", (F.col("weight") * scale).alias("w"))
     days = w.select("portfolio", "date").distinct().withColumn("next", F.lead("date").over(Window.partitionBy("portfolio").orderBy("date")))
@@ -258,6 +307,20 @@ def common_interval(rows: DataFrame, key: str = "portfolio", date: str = "date")
     return rows.join(F.broadcast(spans), (F.col(date) >= F.col("__a")) & (F.col(date) <= F.col("__b"))).drop("__a", "__b")
 
 
+# Which portfolio is compared with which.
+COMPARISONS = (("C", "A"), ("D", "A"), ("E", "A"), ("F", "C"), ("G", "F"), ("G", "A"))
+
+
+def incremental(rows: DataFrame, per_year: int = 12) -> DataFrame:
+    """(candidate, base, months, mean_gain, yearly_gain, positive_share, t_value) of net returns on the dates of both."""
+    pairs = F.broadcast(rows.sparkSession.createDataFrame(COMPARISONS, "candidate string, base string"))
+    net = rows.select("portfolio", "date", "net")
+    met = net.join(pairs, F.col("portfolio") == F.col("candidate")).drop("portfolio").join(net.select(F.col("portfolio").alias("base"), "date", F.col("net").alias("__b")), ["base", "date"])
+    gain = F.col("net") - F.col("__b")
+    g = met.groupBy("candidate", "base").agg(F.count("*").alias("months"), F.avg(gain).alias("mean_gain"), F.avg((gain > 0).cast("double")).alias("positive_share"), F.stddev_samp(gain).alias("__s"))
+    return g.select("candidate", "base", "months", "mean_gain", (F.col("mean_gain") * per_year).alias("yearly_gain"), "positive_share", safe_divide(F.col("mean_gain") * F.sqrt("months"), F.col("__s")).alias("t_value"))
+
+
 def cost_sensitivity(rows: DataFrame, scales: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0)) -> DataFrame:
     """Mean net return by portfolio and cost scale: net is linear in costs, so nothing is simulated again."""
     s = F.explode(F.array(*(F.lit(float(x)) for x in scales)))
@@ -316,7 +379,7 @@ class Forecaster:
 
     MODELS = ("historical_mean", "ewma", "kalman", "gjr")
 
-    def __init__(self, model: str = "kalman", q: float = 0.001, r: float = 0.01, alpha: float = 0.06) -> None:
+    def __init__(self, model: str = "kalman", q: float = 0.001, r: float = 0.01, alpha: float = EWMA_ALPHA) -> None:
         if model not in self.MODELS:
             raise ValueError(f"unknown model {model}")
         self.model, self.q, self.r, self.alpha, self.xs, self.cut = model, q, r, alpha, [], None

@@ -205,21 +205,30 @@ def fit_volatility(returns: np.ndarray, kind: str = "gjr") -> dict:
     return {"status": "ok", "kind": kind, "params": [float(x) for x in p], "loglik": -least, "forecast_vol": math.sqrt(_variances(kind, p, e)[-1]) / 100}
 
 
+# The grid of GJR parameters.
+GJR_ALPHAS, GJR_GAMMAS, GJR_BETAS = (0.03, 0.06, 0.10), (0.0, 0.05, 0.10), (0.80, 0.87, 0.93, 0.96)
+GJR_LEAST = 30
+
+
 def gjr_grid_forecast(returns: np.ndarray) -> float | None:
-    """Next-step volatility of the best of a fixed grid of GJR parameters."""
+    """Next-step volatility of the likeliest of a fixed grid of GJR parameters, whose long-run variance is the sample's.
+
+    All points of the grid run through the series together; the first of equally likely ones is taken.
+    """
     e = np.asarray(returns, float)
     e = e[np.isfinite(e)]
-    if len(e) < 20:
+    if len(e) < GJR_LEAST:
         return None
     e = e - e.mean()
-    v = max(float(np.mean(e * e)), 1e-12)
-    best = None
-    for a, b, g in itertools.product((0.03, 0.06, 0.10), (0.80, 0.86, 0.90, 0.94), (0.0, 0.05, 0.10)):
-        if a + b + g / 2 < 0.995:
-            h = _variances("gjr", np.array([v * (1 - a - b - g / 2), a, b, g]), e)
-            loss = float(np.sum(np.log(h[:-1]) + e * e / h[:-1]))
-            best = min(best or (math.inf, 0.0), (loss, math.sqrt(h[-1])))
-    return best[1] if best else None
+    long = max(float(e.var(ddof=1)), 1e-12)
+    a, g, b = np.array([x for x in itertools.product(GJR_ALPHAS, GJR_GAMMAS, GJR_BETAS) if x[0] + x[1] / 2 + x[2] < 0.995]).T
+    h, loss = np.full(len(a), long), np.zeros(len(a))
+    for before, x in zip(e, [*e[1:], None], strict=True):
+        h = long * (1 - a - g / 2 - b) + (a + g * (before < 0)) * before * before + b * h
+        if x is not None:
+            h = np.maximum(h, 1e-12)
+            loss += np.log(h) + x * x / h
+    return math.sqrt(max(float(h[np.argmin(loss)]), 0.0))
 
 
 def qlike(actual: Column | str, forecast: Column | str) -> Column:
@@ -300,21 +309,28 @@ def diebold_mariano(e1: np.ndarray, e2: np.ndarray, lags: int = 0) -> dict:
     return {"status": "ok", "n": len(d), "stat": t, "p_value": math.erfc(abs(t) / math.sqrt(2))}
 
 
-def spa_test(losses: np.ndarray, draws: int = 500, block: int | None = None, seed: int = 7) -> float | None:
-    """Superior predictive ability: columns are loss advantages over the benchmark; circular blocks, recentred by Hansen's rule."""
-    x = np.asarray(losses, float)
+def spa_test(advantages: np.ndarray, draws: int = 500, block: int | None = None, seed: int = 0, least: int = 20) -> float | None:
+    """Superior predictive ability: p-value of columns of loss advantages over the benchmark, by circular blocks.
+
+    Under the null, candidates far below the benchmark keep their mean and the others have mean zero (Hansen's rule).
+    """
+    x = np.asarray(advantages, float)
+    x = x[np.isfinite(x).all(axis=1)]
     n = len(x)
-    if n < 8:
+    if n < least or not x.shape[1]:
+        return None
+    mean, error = x.mean(axis=0), x.std(axis=0, ddof=1) / math.sqrt(n)
+    x, mean, error = (y[..., error > 1e-12] for y in (x, mean, error))
+    if not len(error):
         return None
-    block = block or max(1, round(n ** (1 / 3)))
-    mean, sd = x.mean(axis=0), np.maximum(np.array([math.sqrt(_bartlett(c, block)) for c in x.T]), 1e-12)
-    t = max(0.0, float(np.max(math.sqrt(n) * mean / sd)))
-    centre = np.where(math.sqrt(n) * mean / sd >= -math.sqrt(2 * math.log(math.log(max(n, 3)))), mean, 0.0)
+    block = min(max(block or max(2, round(n ** (1 / 3))), 1), n)
+    observed = float((mean / error).max())
+    taken = np.where(mean < -error * math.sqrt(2 * math.log(max(math.log(n), 1.000001))), 0.0, mean)
     rng, hits = np.random.default_rng(seed), 0
     for _ in range(draws):
         at = (rng.integers(0, n, -(-n // block))[:, None] + np.arange(block)).reshape(-1)[:n] % n
-        hits += max(0.0, float(np.max(math.sqrt(n) * (x[at].mean(axis=0) - centre) / sd))) >= t
-    return hits / draws
+        hits += float(((x[at].mean(axis=0) - taken) / error).max()) >= observed
+    return (1 + hits) / (draws + 1)
 
 
 def deflated_sharpe(r: np.ndarray, trials: int, per_year: int = 252) -> float | None:
@@ -329,9 +345,7 @@ def deflated_sharpe(r: np.ndarray, trials: int, per_year: int = 252) -> float |
     skew = float((z**3).mean() * math.sqrt(n * (n - 1)) / (n - 2))
     kurt = float((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((z**4).mean() - 3) + 6) + 3)
     sr = float(m / s * math.sqrt(per_year))
-    var = (1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1)
-    if var <= 0:
-        return None
+    var = max((1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1), 1e-12)
     sd, k, euler = math.sqrt(var), max(trials, 1), 0.5772156649015329
     bar = 0.0 if k == 1 else sd * ((1 - euler) * normal_ppf(1 - 1 / k) + euler * normal_ppf(1 - 1 / (k * math.e)))
     return normal_cdf((sr - bar) / sd)
@@ -364,8 +378,11 @@ def backtest_overfitting(df: DataFrame, series: str = "strategy", date: str = "d
 
 # ---------------------------------------------------------------- forecasts and diagnostics
 
+# Fixed value: weight of the newest value in forecasters' exponential averages.
+EWMA_ALPHA = 0.2
+
 
-def expanding_forecasts(xs: np.ndarray, exog: np.ndarray | None = None, least: int = 12, alpha: float = 0.06) -> list[dict]:
+def expanding_forecasts(xs: np.ndarray, exog: np.ndarray | None = None, least: int = 12, alpha: float = EWMA_ALPHA) -> list[dict]:
     """One-step forecasts of lag-1, mean, trailing means, EWMA, AR(1) and ARIMAX (one lag, four inputs at most), from the past alone."""
     out, level = [], None
     for t in range(len(xs)):

@@ -35,10 +35,39 @@ def folded(x: Column | str) -> Column:
     return F.pandas_udf(_folded, "string")(x)
 
 
-# Keywords of the rule labeler, first hit wins; legal words turn the rest.
-RULES = (("litigation", ("lawsuit", "litigation", "penalty")), ("growth", ("growth", "increase", "profit")), ("negative", ("loss", "decline", "default")))
-LABELS = {"litigation": ("litigation", "negative"), "growth": ("earnings", "positive"), "negative": ("earnings", "negative"), "other": ("other", "neutral")}
-EVENT_TYPES, SENTIMENTS = ("earnings", "litigation", "other"), ("positive", "neutral", "negative")
+# Keywords of the rule labeler; growth is tested first, then the negative words, of which some mean litigation.
+LEXICON_VERSION = "rule_lexicon_v1"
+GROWTH = ("增长", "预增", "中标", "突破", "growth", "win")
+NEGATIVE = ("下滑", "亏损", "处罚", "诉讼", "decline", "loss", "fine")
+LITIGATION = ("诉讼",)
+# Sentiment, horizon, confidence and reason of each label that the rules give.
+LABELS = {
+    "earnings_growth": ("positive", "medium", 0.78, "Positive growth or contract keyword matched."),
+    "litigation": ("negative", "medium", 0.76, "Negative earnings or risk keyword matched."),
+    "earnings_decline": ("negative", "medium", 0.76, "Negative earnings or risk keyword matched."),
+    "other": ("neutral", "unknown", 0.55, "No high-signal keyword matched."),
+}
+# What labels may say.
+EVENT_TYPES = ("earnings_growth", "earnings_decline", "contract_win", "policy_support", "regulatory_risk", "financing", "management_change", "litigation", "other")
+SENTIMENTS, HORIZONS = ("positive", "neutral", "negative"), ("short", "medium", "long", "unknown")
+PROMPT_VERSION = "llm_event_v1"
+LABEL = "event_type string, sentiment string, impact_horizon string, confidence double, reason string"
+LABEL_FIELDS = tuple(x.split()[0] for x in LABEL.split(", "))
+
+
+def lexicon_fingerprint(growth=GROWTH, negative=NEGATIVE, litigation=LITIGATION, version: str = LEXICON_VERSION) -> str:
+    return fingerprint({"version": version, "growth": growth, "negative": negative, "litigation": litigation})
+
+
+def label_prompt(*, event_id="event_id", stock_code="stock_code", source="source", publish_time="publish_time", title="title", content="content") -> Column:
+    """The request to a labelling model as a column; the fields that it may use follow its rules, a line each."""
+    rules = (
+        "Label this piece of company news for quantitative research, from the text below alone. No price forecasts, no trading advice.",
+        f"Answer with one JSON object of {', '.join(LABEL_FIELDS)}.",
+        f"event_type is one of {', '.join(EVENT_TYPES)}; sentiment one of {', '.join(SENTIMENTS)}; impact_horizon one of {', '.join(HORIZONS)}; confidence from 0 to 1.",
+    )
+    fields = {"event_id": event_id, "stock_code": stock_code, "source": source, "publish_time": publish_time, "title": title, "content": content}
+    return F.concat_ws("\n", *map(F.lit, rules), *(F.concat(F.lit(f"{k}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for k, c in fields.items()))
 
 
 def prepare(events: DataFrame, registry: DataFrame | None = None) -> DataFrame:
@@ -75,31 +104,62 @@ def signal_ready(e: DataFrame, cutoff: Column, matched_only: bool = True) -> Dat
     return keep_one(rows, ["stock_code", "dedup_group_id"], [F.col("available_time"), F.col("event_id")])
 
 
-def rule_labels(text: Column | str) -> Column:
-    """struct(event_type, sentiment, confidence) by keywords."""
-    kind = keyword_label(text, RULES)
+def rule_labels(text: Column | str, growth=GROWTH, negative=NEGATIVE, litigation=LITIGATION) -> Column:
+    """struct of LABEL by keywords in the lower-cased text."""
+    hit = lambda words: keyword_label(text, [("hit", words)]) == "hit"
+    kind = F.when(hit(growth), "earnings_growth").when(hit(negative), F.when(hit(litigation), "litigation").otherwise("earnings_decline")).otherwise("other")
     pick = lambda i: F.element_at(F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v[i])))), kind)
-    return F.struct(pick(0).alias("event_type"), pick(1).alias("sentiment"), F.when(kind == "other", 0.5).otherwise(0.8).alias("confidence"))
+    return F.struct(kind.alias("event_type"), *(pick(i).alias(name) for i, name in enumerate(LABEL_FIELDS[1:])))
 
 
-def label(e: DataFrame, cache: DataFrame | None = None, labeler: Callable[[pd.Series], pd.DataFrame] | None = None, model: str = "rules-1") -> DataFrame:
-    """event_id, cache_key, event_type, sentiment, confidence, cached: cached labels first, the rest by rules or a labeler over text batches."""
-    rows = e.select("event_id", "normalized_text").withColumn("cache_key", cache_key({"model": F.lit(model), "text": text_sha256("normalized_text")}))
+def with_retries(labeler: Callable[[pd.Series], pd.DataFrame], retries: int) -> Callable[[pd.Series], pd.DataFrame]:
+    """labeler over a batch, called again after an error or a label outside the schema, `retries` times at most."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        for left in reversed(range(retries + 1)):
+            try:
+                found = labeler(texts).reindex(columns=list(LABEL_FIELDS))
+                bad = ~(found["event_type"].isin(EVENT_TYPES) & found["sentiment"].isin(SENTIMENTS) & found["impact_horizon"].isin(HORIZONS) & found["confidence"].between(0, 1))
+                if len(found) != len(texts) or bad.any():
+                    raise ValueError(f"{int(bad.sum())} labels outside the schema")
+                return found
+            except Exception as e:
+                if not left:
+                    raise RuntimeError(f"labelling failed after {retries + 1} calls") from e
+        raise ValueError("retries must be 0 or more")
+
+    return run
+
+
+def label(e: DataFrame, cache: DataFrame | None = None, labeler: Callable[[pd.Series], pd.DataFrame] | None = None, model: str = "rule-based-event-labeler-v1", prompt_version: str = PROMPT_VERSION, configuration: str | None = None, retries: int = 2) -> DataFrame:
+    """event_id, cache_key, LABEL's fields, output_json, cached: cached labels first, the rest by rules or a labeler over text batches.
+
+    A key holds event, text, model, prompt version, the configuration's
+    fingerprint (the rules' lexicon if none is given) and the label schema's.
+    """
+    own = configuration or (lexicon_fingerprint() if labeler is None else model)
+    schema = fingerprint({"label": LABEL, "event_type": EVENT_TYPES, "sentiment": SENTIMENTS, "impact_horizon": HORIZONS})
+    key = cache_key({"configuration": F.lit(own), "event": F.col("event_id").cast("string"), "model": F.lit(model), "prompt": F.lit(prompt_version), "schema": F.lit(schema), "text": text_sha256("normalized_text")})
+    rows = e.select("event_id", "normalized_text").withColumn("cache_key", key)
     have = None
     if cache is not None:
-        c = cache.select("cache_key", "event_type", "sentiment", "confidence")
-        have = rows.join(c, "cache_key").select("event_id", "cache_key", "event_type", "sentiment", "confidence", F.lit(True).alias("cached"))
+        c = cache.select("cache_key", *LABEL_FIELDS)
+        have = rows.join(c, "cache_key").select("event_id", "cache_key", *LABEL_FIELDS, F.lit(True).alias("cached"))
         rows = rows.join(c, "cache_key", "left_anti")
     if labeler is None:
         fresh = rows.withColumn("__l", rule_labels("normalized_text"))
     else:
-        fresh = rows.withColumn("__l", F.pandas_udf(labeler, "event_type string, sentiment string, confidence double")("normalized_text"))
+        fresh = rows.withColumn("__l", F.pandas_udf(with_retries(labeler, retries), LABEL)("normalized_text"))
     fresh = fresh.select("event_id", "cache_key", "__l.*", F.lit(False).alias("cached"))
-    return fresh if have is None else have.unionByName(fresh)
+    out = fresh if have is None else have.unionByName(fresh)
+    return out.withColumn("output_json", F.to_json(F.struct(*LABEL_FIELDS)))
 
 
 def invalid_labels(labels: DataFrame) -> DataFrame:
-    return labels.where(~F.coalesce(F.col("event_type").isin(*EVENT_TYPES) & F.col("sentiment").isin(*SENTIMENTS) & F.col("confidence").between(0, 1), F.lit(False)))
+    sound = F.col("event_type").isin(*EVENT_TYPES) & F.col("sentiment").isin(*SENTIMENTS) & F.col("confidence").between(0, 1)
+    if "impact_horizon" in labels.columns:
+        sound = sound & F.col("impact_horizon").isin(*HORIZONS)
+    return labels.where(~F.coalesce(sound, F.lit(False)))
 
 
 def embed(e: DataFrame, encode: Callable[[list[str]], np.ndarray], dimension: int, cache: DataFrame | None = None) -> DataFrame:

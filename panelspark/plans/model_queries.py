@@ -218,7 +218,8 @@ def exposure_scalars(s: Star) -> DataFrame:
     return D.exposure_scalars(b.select("trade_date", "bear_probability"), b.select("trade_date", "volatility"))
 
 
-def ablated(s: Star) -> DataFrame:
+def accounted(s: Star) -> DataFrame:
+    """The ablation's arithmetic over plain weights and scalars, for which SQL can stand in."""
     w = D.scheme_weights(monthly(s), s.calendar()).withColumnRenamed("test_date", "date")
     named = {"static": "static", "rolling_12": "rule", "ewma": "kalman"}
     w = w.where(F.col("scheme").isin(*named)).replace(named, subset=["scheme"])
@@ -228,19 +229,62 @@ def ablated(s: Star) -> DataFrame:
     return D.common_interval(D.ablation(w, r, scalars))
 
 
+#: The trial whose weights the portfolios take.
+PRIMARY = D.trial_id(0.001, 0.01, 0.2)
+
+
+def ablated(s: Star) -> tuple[DataFrame, DataFrame]:
+    """(rows, trials): the seven portfolios from Kalman weights, state and volatility models and covariances; all trials' weights."""
+    dates, ic = s.calendar(), monthly(s)
+    plain = D.scheme_weights(ic, dates).where("scheme in ('static', 'rolling_12')").replace({"rolling_12": "rule"}, subset=["scheme"])
+    trials = D.trial_weights(D.kalman_forecasts(ic, dates), cap=0.4)
+    kalman = trials.where(F.col("trial_id") == PRIMARY).select("test_date", F.lit("kalman").alias("scheme"), "factor", (F.col("weight") * F.col("direction")).alias("weight"))
+    spreads = E.group_returns(long(s, "fwd"), "fwd").select(F.col("trade_date").alias("date"), "factor", F.col("spread").alias("ret"))
+    v = D.state_variables(s.returns()).select(F.col("trade_date").alias("date"), F.col("market_return").alias("return"), F.col("dispersion").alias("volatility"), "breadth")
+    states = D.regimes(v, dates, ["return", "volatility", "breadth"], states=(3,))
+    vol = D.volatility_forecasts(benchmark_returns(s), dates, least=24, kinds=("gjr",))
+    scalars = D.regime_scalars(states).join(D.volatility_scalars(vol, per_year=12), "date", "full_outer")
+    weights = plain.unionByName(kalman).withColumnRenamed("test_date", "date")
+    return D.common_interval(D.ablation(weights, spreads, scalars, covariances=D.dynamic_covariances(spreads, dates))), trials
+
+
 @query("ablation")
 def ablation(s: Star) -> DataFrame:
-    return ablated(s)
+    return ablated(s)[0]
+
+
+@query("incremental_comparisons")
+def incremental_comparisons(s: Star) -> DataFrame:
+    return D.incremental(ablated(s)[0])
+
+
+@query("volatility_comparison")
+def volatility_comparison(s: Star) -> DataFrame:
+    r = benchmark_returns(s)
+    return D.volatility_comparison(D.volatility_forecasts(r, s.calendar(), least=24), r)
+
+
+@query("ablation_accounting")
+def ablation_accounting(s: Star) -> DataFrame:
+    return accounted(s)
 
 
 @query("cost_sensitivity")
 def cost_sensitivity(s: Star) -> DataFrame:
-    return D.cost_sensitivity(ablated(s))
+    return D.cost_sensitivity(accounted(s))
 
 
 @query("promotion_audit")
 def promotion_audit(s: Star) -> DataFrame:
-    p = D.promotion_of(ablated(s), violations=0, trial_coverage=1.0, overfitting=0.1)
+    """Gates from the ablation itself: overfitting over its portfolios, violations of the weights' gross, trials found of those registered."""
+    rows, trials = ablated(s)
+    rows = rows.persist()
+    try:
+        pbo = M.backtest_overfitting(rows.withColumnRenamed("net", "ret"), "portfolio", "date", "ret").first()["pbo"]
+        found = trials.agg(F.count_distinct("trial_id").alias("n"), F.count_if(F.col("weight") > 0.4 + 1e-9).alias("above")).first()
+        p = D.promotion_of(rows, violations=found["above"], trial_coverage=found["n"] / len(D.trial_registry()), overfitting=pbo)
+    finally:
+        rows.unpersist()
     return s.spark.createDataFrame([(k, bool(v), p["conclusion"]) for k, v in p["gates"].items()], "gate string, passed boolean, conclusion string")
 
 
@@ -340,7 +384,11 @@ def representation_increment(s: Star) -> DataFrame:
 def drained(s: Star, out: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream has written, as Parquet, once it has read all its files."""
     spark = s.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/panelspark-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/panelspark-streams"
     at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = out.schema
     write = "append" if mode == "append" else "overwrite"  # a complete result replaces the one before

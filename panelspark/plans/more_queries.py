@@ -195,5 +195,5 @@ a AS (SELECT portfolio, j.date, sum(w * coalesce(ret, 0)) AS gross, sum(abs(w -
 c AS (SELECT *, 2 * turnover * 0.0015 AS cost, gross - 2 * turnover * 0.0015 AS net FROM a),
 lim AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT portfolio, min(date) AS lo, max(date) AS hi FROM c GROUP BY 1)),
 f AS (SELECT c.* FROM c, lim WHERE date >= lo AND date <= hi)"""
-oracle("ablation", f"{TABLES} calendar", f"{_ABLATION} SELECT portfolio, date, gross, turnover, cost, net FROM f", "gross turnover cost net")
+oracle("ablation_accounting", f"{TABLES} calendar", f"{_ABLATION} SELECT portfolio, date, gross, turnover, cost, net FROM f", "gross turnover cost net")
 oracle("cost_sensitivity", f"{TABLES} calendar", f"{_ABLATION} SELECT portfolio, cost_scale, avg(gross - cost * cost_scale) AS mean_net FROM f, (SELECT unnest([0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS cost_scale) GROUP BY ALL", "cost_scale mean_net")
