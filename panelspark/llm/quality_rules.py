@@ -8,8 +8,8 @@ deterministic starts (medians with absolute deviations; means with the whole
 scatter): keep the SUPPORT share of rows that lie nearest, re-estimate from those
 (the scatter times CONSISTENCY, as the nearest half spreads less than the whole).
 After TRIED steps the start whose core has the smaller determinant goes on alone,
-until no centre or deviation of any pool moves by more than SETTLED of a
-deviation, or for STEPS steps in all (ties could let a core swing for ever). A row is an outlier if its squared
+until no pool's determinant falls any more (its root by less than a share of
+SETTLED), or for STEPS steps in all. A row is an outlier if its squared
 Mahalanobis distance, scaled so that the median is that of a chi-square, is above
 CUTOFF. That is five times the chi-square's 0.999 quantile, as statistics of
 texts have longer tails than a normal distribution and clean texts must stay. Floors on
@@ -34,7 +34,7 @@ each time. Other columns are not looked at.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,13 +154,12 @@ def distance(centre: list[Column], scatter: dict[tuple[int, int], Column], value
     return steps, reduce(add, (x * x for x in solved))
 
 
-def factored(wide: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Column]:
-    """wide (centre m_i, scatter s_i_j by row) with the scatter's factor instead, and the squared distance of a row joined with it."""
+def factor_of() -> tuple[list[Column], Column]:
+    """Columns of a scatter's factor (s_i_j to c_i_j) and volume, the log of its determinant's root; the squared distance of a row joined with them."""
     p = len(STATISTICS)
     steps, far = distance([F.col(f"m{i}") for i in range(p)], {(i, j): F.col(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)}, [F.col(s).cast("double") / UNIT for s in STATISTICS])
-    for name, value in steps:
-        wide = wide.withColumn(name, value)
-    return wide.select(*keep, *(f"m{i}" for i in range(p)), *(name for name, _ in steps)), far
+    volume = reduce(add, (F.log(f"c_{i}_{i}") for i in range(p)))
+    return [*(value.alias(name) for name, value in steps), F.round(volume, 9).alias("volume")], far
 
 
 def edges(joined: DataFrame, far: Column, support: float) -> DataFrame:
@@ -196,8 +195,7 @@ def starts(used: DataFrame) -> DataFrame:
 
 def better(wide: DataFrame) -> DataFrame:
     """Of each pool's starts the one whose core has the smallest determinant."""
-    volume = reduce(add, (F.log(f"c_{i}_{i}") for i in range(len(STATISTICS))))
-    chosen = F.row_number().over(Window.partitionBy("pool").orderBy(F.round(volume, 9), "start"))
+    chosen = F.row_number().over(Window.partitionBy("pool").orderBy("volume", "start"))
     return wide.withColumn("chosen", chosen).where("chosen = 1").drop("chosen")
 
 
@@ -207,27 +205,24 @@ def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) ->
         raise ValueError("steps must be 0 or more")
     p = len(STATISTICS)
     used = rows.where(~F.col("base_failed")).select("pool", *STATISTICS)
-    keep = ("pool", "start", "rows")
-    wide, far = factored(starts(used), keep)
-    wide = cut(wide.withColumn("moved", F.lit(True)), "rules_start")
+    factor, far = factor_of()
+    kept = ("pool", "start", "rows", *(f"m{i}" for i in range(p)), *(f"c_{i}_{j}" for i in range(p) for j in range(i + 1)), "volume")
+    wide = cut(starts(used).select("*", *factor).select(*kept), "rules_start")
     # every table below has two rows a pool at most, so their number is counted once
     few = wide.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     sent = F.broadcast if few else (lambda table: table)
     for step in range(steps):
         joined = used.join(sent(wide), "pool")
-        edge = edges(joined, far, support)
-        core = joined.join(sent(edge), (F.col("pool") == F.col("p")) & (F.col("start") == F.col("t"))).where(F.floor(BINS * F.log1p(far)) <= F.col("edge"))
-        after = moments(core.select(*keep, *STATISTICS), CONSISTENCY)
-        # the variances before are those of the factor's rows
-        before = wide.select(F.col("pool").alias("q"), F.col("start").alias("b"), *(F.col(f"m{i}").alias(f"b{i}") for i in range(p)), *(reduce(add, (F.col(f"c_{i}_{j}") ** 2 for j in range(i + 1))).alias(f"v{i}") for i in range(p)))
-        moved = reduce(or_, ((F.abs(F.col(f"m{i}") - F.col(f"b{i}")) > SETTLED * F.sqrt(f"s_{i}_{i}")) | (F.abs(F.col(f"s_{i}_{i}") - F.col(f"v{i}")) > SETTLED * F.col(f"s_{i}_{i}")) for i in range(p)))
-        after = after.join(sent(before), (F.col("pool") == F.col("q")) & (F.col("start") == F.col("b"))).withColumn("moved", moved)
-        wide = cut(factored(after, (*keep, "moved"))[0], "rules_step")
+        core = joined.join(sent(edges(joined, far, support)), (F.col("pool") == F.col("p")) & (F.col("start") == F.col("t"))).where(F.floor(BINS * F.log1p(far)) <= F.col("edge"))
+        after = moments(core.select("pool", "start", "rows", *STATISTICS), CONSISTENCY).select("*", *factor).select(*kept)
+        before = wide.select(F.col("pool").alias("q"), F.col("start").alias("b"), F.col("volume").alias("larger"))
+        after = after.join(sent(before), (F.col("pool") == F.col("q")) & (F.col("start") == F.col("b"))).drop("q", "b")
+        wide = cut(after, "rules_step")
         if step == TRIED - 1:
             wide = better(wide)
-        if step >= TRIED - 1 and not wide.where("moved").limit(1).count():
+        if step >= TRIED - 1 and not wide.where(F.col("larger") - F.col("volume") > SETTLED).limit(1).count():
             break
-    wide = better(wide).drop("moved")
+    wide = better(wide).select(*kept).drop("volume")
     middle = edges(used.join(sent(wide), "pool"), far, 0.5)
     scale = middle.select("p", F.greatest(F.expm1((F.col("edge") + 0.5) / BINS) / CHI_MEDIAN, F.lit(0.25)).alias("scale"))
     return cut(wide.join(scale, F.col("pool") == F.col("p")).drop("p", "start"), "rules_estimates"), far
