@@ -141,21 +141,27 @@ def pooled(rows: DataFrame) -> DataFrame:
 
 
 def distance(centre: list[Column], scatter: dict[tuple[int, int], Column], values: list[Column]) -> tuple[list[tuple[str, Column]], Column]:
-    """Columns of the scatter's Cholesky factor (to be added in this order), and the squared distance that uses them."""
+    """Columns of the scatter's Cholesky factor and its inverse (to be added in this order), and the squared distance that uses the inverse.
+
+    The inverse is worked out once a pool, so a row's distance is p short sums and
+    not a solution whose expression doubles with each statistic.
+    """
     p, steps = len(values), []
     low = lambda i, j: F.col(f"c_{i}_{j}")
+    inverse = lambda i, j: F.col(f"w_{i}_{j}")
     for i in range(p):
         for j in range(i + 1):
             rest = scatter[i, j] - reduce(add, (low(i, k) * low(j, k) for k in range(j)), F.lit(0.0))
             steps.append((f"c_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / low(j, j)))
-    solved: list[Column] = []
     for i in range(p):
-        solved.append((values[i] - centre[i] - reduce(add, (low(i, k) * solved[k] for k in range(i)), F.lit(0.0))) / low(i, i))
-    return steps, reduce(add, (x * x for x in solved))
+        for j in range(i + 1):
+            steps.append((f"w_{i}_{j}", (F.lit(1.0) if i == j else -reduce(add, (low(i, k) * inverse(k, j) for k in range(j, i)))) / low(i, i)))
+    solved = [reduce(add, (inverse(i, k) * (values[k] - centre[k]) for k in range(i + 1))) for i in range(p)]
+    return steps, reduce(add, (F.pow(x, F.lit(2.0)) for x in solved))
 
 
 def factor_of() -> tuple[list[Column], Column]:
-    """Columns of a scatter's factor (s_i_j to c_i_j) and volume, the log of its determinant's root; the squared distance of a row joined with them."""
+    """Columns of a scatter's factor (s_i_j to c_i_j), its inverse (w_i_j) and volume, the log of its determinant's root; the squared distance of a row joined with them."""
     p = len(STATISTICS)
     steps, far = distance([F.col(f"m{i}") for i in range(p)], {(i, j): F.col(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)}, [F.col(s).cast("double") / UNIT for s in STATISTICS])
     volume = reduce(add, (F.log(f"c_{i}_{i}") for i in range(p)))
@@ -171,14 +177,14 @@ def edges(joined: DataFrame, far: Column, support: float) -> DataFrame:
     return reached.groupBy(F.col("pool").alias("p"), F.col("start").alias("t")).agg(F.min("bin").alias("edge"))
 
 
-def moments(core: DataFrame, factor: float) -> DataFrame:
-    """By pool and start: rows, centre and scatter (times factor, plus the floors), from exact sums."""
+def moments(core: DataFrame, factor: float, also: tuple[str, ...] = ("rows",)) -> DataFrame:
+    """By pool and start: centre and scatter (times factor, plus the floors) from exact sums, and the columns `also`, which a pool and start has one value of."""
     p, floor = len(STATISTICS), [f * f for f in FLOORS]
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
     x = [F.col(s).cast("decimal(18,0)") for s in STATISTICS]
-    sums = core.groupBy("pool", "start").agg(F.first("rows").alias("rows"), F.count("*").cast("double").alias("n"), *(F.sum(x[i]).cast("double").alias(f"u{i}") for i in range(p)), *(F.sum(x[i] * x[j]).cast("double").alias(f"v_{i}_{j}") for i, j in pairs))
+    sums = core.groupBy("pool", "start").agg(*(F.first(c).alias(c) for c in also), F.count("*").cast("double").alias("n"), *(F.sum(x[i]).cast("double").alias(f"u{i}") for i in range(p)), *(F.sum(x[i] * x[j]).cast("double").alias(f"v_{i}_{j}") for i, j in pairs))
     moment = lambda i, j: (F.col(f"v_{i}_{j}") / F.col("n") - F.col(f"u{i}") / F.col("n") * F.col(f"u{j}") / F.col("n")) / UNIT**2
-    return sums.select("pool", "start", "rows", *((F.col(f"u{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(p)), *((factor * moment(i, j) + (floor[i] if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
+    return sums.select("pool", "start", *also, *((F.col(f"u{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(p)), *((factor * moment(i, j) + (floor[i] if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
 
 
 def starts(used: DataFrame) -> DataFrame:
@@ -206,7 +212,7 @@ def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) ->
     p = len(STATISTICS)
     used = rows.where(~F.col("base_failed")).select("pool", *STATISTICS)
     factor, far = factor_of()
-    kept = ("pool", "start", "rows", *(f"m{i}" for i in range(p)), *(f"c_{i}_{j}" for i in range(p) for j in range(i + 1)), "volume")
+    kept = ("pool", "start", "rows", *(f"m{i}" for i in range(p)), *(f"w_{i}_{j}" for i in range(p) for j in range(i + 1)), "volume")
     wide = cut(starts(used).select("*", *factor).select(*kept), "rules_start")
     # every table below has two rows a pool at most, so their number is counted once
     few = wide.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -214,10 +220,8 @@ def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) ->
     for step in range(steps):
         joined = used.join(sent(wide), "pool")
         core = joined.join(sent(edges(joined, far, support)), (F.col("pool") == F.col("p")) & (F.col("start") == F.col("t"))).where(F.floor(BINS * F.log1p(far)) <= F.col("edge"))
-        after = moments(core.select("pool", "start", "rows", *STATISTICS), CONSISTENCY).select("*", *factor).select(*kept)
-        before = wide.select(F.col("pool").alias("q"), F.col("start").alias("b"), F.col("volume").alias("larger"))
-        after = after.join(sent(before), (F.col("pool") == F.col("q")) & (F.col("start") == F.col("b"))).drop("q", "b")
-        wide = cut(after, "rules_step")
+        core = core.select("pool", "start", "rows", F.col("volume").alias("larger"), *STATISTICS)
+        wide = cut(moments(core, CONSISTENCY, ("rows", "larger")).select("*", *factor).select(*kept, "larger"), "rules_step")
         if step == TRIED - 1:
             wide = better(wide)
         if step >= TRIED - 1 and not wide.where(F.col("larger") - F.col("volume") > SETTLED).limit(1).count():
