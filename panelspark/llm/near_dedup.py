@@ -17,9 +17,10 @@ bands with a chance of about 3e-11, and less above.
    from the texts. Confirmed links give components.
 3. What stars may miss are links between different components of one band.
    Bands with more than one component left are searched again, in chunks of
-   CHUNK holders, by sketches; pairs of different components that pass the
-   estimate, and one by a finer sketch of FINE registers, are confirmed too,
-   and components are formed anew. No band is capped or skipped.
+   holders, by sketches; pairs of different components that pass the estimate,
+   and one by a finer sketch of FINE registers, are confirmed on full sets where
+   their chunks meet, so no pair ever is a row; only links that join what was
+   apart are. Components are then formed anew. No band is capped or skipped.
 
 Texts without words, null texts among them, have an empty set and no links.
 Fewer than 5 words form one shingle of their own kind. A null id takes no part
@@ -47,7 +48,8 @@ LEAST_ESTIMATE = 0.57
 #: Registers of the finer sketch that pairs beyond the stars must pass, and its least estimate (five standard errors).
 FINE_BITS = 10
 FINE, LEAST_FINE = 1 << FINE_BITS, 0.68
-CHUNK = 256
+#: A crowd's chunks have CHUNK rows, more if they were over SIDE, but MOST_ROWS and MOST_BYTES of text at most: what a task holds.
+CHUNK, SIDE, MOST_ROWS, MOST_BYTES = 256, 16, 2048, 16 << 20
 LOT_ROWS = 1000
 ROUNDS = 40
 #: Ids of candidates are broadcast up to this number (8 bytes each), and joined by shuffle beyond it.
@@ -190,6 +192,11 @@ def likely(pairs: DataFrame) -> DataFrame:
     return sized.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(work, "a bigint, b bigint")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles are similar enough."""
+    return PERCENT * (len(a) + len(b)) <= (100 + PERCENT) * len(np.intersect1d(a, b, assume_unique=True))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) those whose full sets are similar enough.
 
@@ -220,7 +227,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     continue
                 if text != other[0]:
                     other = text, shingles(text)
-                keep.append(here == at and any(PERCENT * (len(x) + len(other[1])) <= (100 + PERCENT) * len(np.intersect1d(x, other[1], assume_unique=True)) for x in own))
+                keep.append(here == at and any(alike(x, other[1]) for x in own))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             left, right = kept.column(0).to_numpy(), kept.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
@@ -259,40 +266,51 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def fine_sketches(docs: DataFrame) -> DataFrame:
-    """id, t and the finer sketch of each text."""
+    """id, t, its bytes and the finer sketch of each text."""
 
     def work(batches):
         for b in pieces(batches):
             fine = [fine_sketch(shingles(x)).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fine, pa.binary())], ["id", "t", "fine"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x.as_py()) for x in b.column(1)], pa.int64()), pa.array(fine, pa.binary())], ["id", "t", "bytes", "fine"])
 
-    return docs.select("id", "t").mapInArrow(work, "id bigint, t binary, fine binary")
+    return docs.select("id", "t").mapInArrow(work, "id bigint, t binary, bytes bigint, fine binary")
 
 
-def mixed_pairs(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs of different components that share a band and pass both estimates. holders: id, n_shingles, registers, fine.
+def mixed_links(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of rows that share a band: a forest in each lot. holders: id, n_shingles, registers, fine, t, bytes.
 
     Each band has a home, its largest component. Bands of one home are searched
     together, so a pair that shares many bands is looked at once. All rows of a
-    home stay in chunks of CHUNK; those outside its component visit in chunks of
-    their own. A cell is a chunk that stays and one that visits, so it has 2 *
-    CHUNK rows or so however large the crowd is; rows of the component itself
-    never visit, as they need no look among themselves.
+    home stay in chunks; those outside its component visit in chunks of their
+    own. A cell is a chunk that stays and one that visits, so a task's rows and
+    bytes are bounded however large the crowd is; rows of the component itself
+    never visit, as they need no look among themselves. A row comes to SIDE + 1
+    cells or so in each direction, or to one for every MOST_ROWS (MOST_BYTES) of
+    a crowd beyond SIDE of them.
+
+    Pairs are looked at and confirmed inside a cell and never become rows. Those
+    of components that a link of the lot has joined need no look, so a lot gives
+    fewer links than it has rows, whatever the number of pairs.
     """
     named = bands_.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("band", "component").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component"))["component"].alias("home"), F.sum("k").alias("n")).where("parts > 1")
     total = bands_.count()
-    rows = cut(meet(named, mixed, "band", total).select("home", "id", "component").distinct(), "near_homes")
+    rows = meet(named, mixed, "band", total).select("home", "id", "component").distinct()
+    rows = cut(rows.join(holders.groupBy("id").agg(F.sum("bytes").alias("bytes")), "id").select("home", "id", "component", "bytes"), "near_homes")
     guest = F.col("component") != F.col("home")
-    crowd = rows.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("stays"), F.ceil(F.count_if(guest) / CHUNK).cast("int").alias("visits"), F.count("*").alias("n"))
+    crowd = rows.groupBy("home").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.count_if(guest).alias("gn"), F.sum(F.when(guest, F.col("bytes"))).alias("gb"))
+    chunk = F.greatest(F.lit(CHUNK), F.least(F.col("n") / SIDE, F.lit(MOST_ROWS)))
+    chunks = lambda n, b: F.ceil(F.greatest(F.col(n) / chunk, F.col(b) / MOST_BYTES)).cast("int")
+    crowd = crowd.select("home", chunks("n", "b").alias("stays"), chunks("gn", "gb").alias("visits"), "n")
     rows = meet(rows, cut(crowd, "near_crowds"), "home", total).withColumn("h", F.xxhash64("id"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stay = rows.select("home", "id", "component", F.lit(False).alias("visiting"), F.pmod("h", F.col("stays")).cast("int").alias("i"), every("visits").alias("j"))
-    visit = rows.where(guest).select("home", "id", "component", F.lit(True).alias("visiting"), every("stays").alias("i"), F.pmod("h", F.col("visits")).cast("int").alias("j"))
+    stay = rows.select("home", "id", "component", "bytes", F.lit(False).alias("visiting"), F.pmod("h", F.col("stays")).cast("int").alias("i"), every("visits").alias("j"))
+    visit = rows.where(guest).select("home", "id", "component", "bytes", F.lit(True).alias("visiting"), every("stays").alias("i"), F.pmod("h", F.col("visits")).cast("int").alias("j"))
     cells = cut(stay.unionByName(visit), "near_cells")
-    lots = max(256, cells.count() // LOT_ROWS)
-    cells = cells.withColumn("lot", F.pmod(F.xxhash64("home", "i", "j"), F.lit(lots)).cast("int")).join(holders, "id")
+    n, heavy = cells.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    lots = max(256, n // LOT_ROWS, heavy // MOST_BYTES)
+    cells = cells.withColumn("lot", F.pmod(F.xxhash64("home", "i", "j"), F.lit(lots)).cast("int")).drop("bytes").join(holders.drop("bytes"), "id")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         homes, i, j, ids, comps, sizes_ = (table.column(c).to_numpy() for c in ("home", "i", "j", "id", "component", "n_shingles"))
@@ -301,19 +319,29 @@ def mixed_pairs(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
         order = np.lexsort((ids, j, i, homes))
         new = np.ones(len(order), dtype=bool)
         new[1:] = np.any([np.diff(x[order]) != 0 for x in (homes, i, j)], axis=0)
-        edges, found = np.append(np.flatnonzero(new), len(order)), set()
+        edges, links, now = np.append(np.flatnonzero(new), len(order)), [], comps.copy()  # now: components as the links join them
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            cell = order[lo:hi]
+            cell, sets = order[lo:hi], {}
+
+            def full(at, sets=sets):
+                if at not in sets:
+                    sets[at] = shingles(table.column("t")[int(at)].as_py())
+                return sets[at]
+
             own = cell[~visiting[cell]]
             settled = comps[own] == homes[own]
             for a in cell[visiting[cell]]:
-                at = own[(comps[own] != comps[a]) & (settled | (ids[own] < ids[a])) & (100 * np.minimum(sizes_[own], sizes_[a]) >= PERCENT * np.maximum(sizes_[own], sizes_[a]))]
+                at = own[(now[own] != now[a]) & (settled | (ids[own] < ids[a])) & (100 * np.minimum(sizes_[own], sizes_[a]) >= PERCENT * np.maximum(sizes_[own], sizes_[a]))]
                 if len(at):
                     at = at[estimate(regs[at], regs[a][None, :], sizes_[at], sizes_[a]) >= LEAST_ESTIMATE]
                 if len(at):
-                    at = at[estimate(fine[at], fine[a][None, :], sizes_[at], sizes_[a]) >= LEAST_FINE]
-                    found.update((min(ids[a], x), max(ids[a], x)) for x in ids[at])
-        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+                    near = estimate(fine[at], fine[a][None, :], sizes_[at], sizes_[a])
+                    best = np.argsort(-near, kind="stable")
+                    for x in at[best[: np.count_nonzero(near >= LEAST_FINE)]]:
+                        if now[x] != now[a] and alike(full(x), full(a)):
+                            links.append((min(ids[a], ids[x]), max(ids[a], ids[x])))
+                            now[now == now[a]] = now[x]
+        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return cells.groupBy("lot").applyInArrow(compare, "a bigint, b bigint").distinct()
@@ -349,8 +377,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = cut(confirmed(stars, whole), "near_links")
     same = copies.select(F.col("holder").alias("a"), F.col("id").alias("b")).distinct()
     first = settled(lambda: components(links), "near_first")
-    more = cut(mixed_pairs(shared.select("band", "id"), sizes.join(whole.select("id", "fine"), "id"), first).join(stars, ["a", "b"], "left_anti"), "near_mixed")
-    found = settled(lambda: components(links.unionByName(confirmed(more, whole)).unionByName(same)), "near_found")
+    more = cut(mixed_links(shared.select("band", "id"), sizes.join(whole, "id"), first), "near_mixed")
+    found = settled(lambda: components(links.unionByName(more).unionByName(same)), "near_found")
     rows = every.select("id", "n_shingles")
     component = F.coalesce("component", "id")
     linked = rows.where("id is not null").join(found, "id", "left").select("id", "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
