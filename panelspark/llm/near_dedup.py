@@ -22,6 +22,10 @@ bands with a chance of about 3e-11, and less above.
    their chunks meet, so no pair ever is a row; only links that join what was
    apart are. Components are then formed anew. No band is capped or skipped.
 
+Registers and texts move only for rows that are wanted, and only bands that are
+shared are shuffled to them: the keys wanted are broadcast, or a filter of bits
+if they are many. A filter lets some others pass, which exact joins then drop.
+
 Texts without words, null texts among them, have an empty set and no links.
 Fewer than 5 words form one shingle of their own kind. A null id takes no part
 and stays, with null component. Rows that repeat an id are joined by it. Texts
@@ -36,7 +40,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import small
 from .util import U64, bytes_of, cut, mix, pieces, settled, spaced_words, word_hashes
 
 WIDTH, PERCENT = 5, 75
@@ -52,8 +55,10 @@ FINE, LEAST_FINE = 1 << FINE_BITS, 0.68
 CHUNK, SIDE, MOST_ROWS, MOST_BYTES = 256, 16, 2048, 16 << 20
 LOT_ROWS = 1000
 ROUNDS = 40
-#: Ids of candidates are broadcast up to this number (8 bytes each), and joined by shuffle beyond it.
+#: Keys that pick rows are broadcast up to this number. Beyond it a filter of a bit for each is, and only rows that pass it are shuffled to the keys.
 BROADCAST_IDS = 500_000
+#: A filter's bits for each key, at least, and its most bits: as joined words, and as an array in Python for bands (16 MB). A filter that is full lets more rows pass, none less.
+KEY_BITS, JOINED_BITS, BAND_BITS = 16, 1 << 25, 1 << 27
 #: A key of more than HOT rows may be hot; HOT_KEYS keys are treated so at most.
 HOT, HOT_KEYS = 256, 100_000
 #: Pairs that meet one copy of a hot text.
@@ -151,6 +156,44 @@ def meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     return met.select(*rows.columns, *(F.col("__found")[c].alias(c) for c in others))
 
 
+def filter_words(keys: DataFrame, at, size: int) -> DataFrame:
+    """word, bits: 64-bit words of a filter of size bits (a power of two) in which those at a key's hash are set."""
+    places = keys.select(at.bitwiseAND(F.lit(size - 1)).alias("at"))
+    return places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+
+
+def filter_size(keys: int, most: int) -> int:
+    return min(most, 1 << max(6, (KEY_BITS * keys - 1).bit_length()))
+
+
+def marked(rows: DataFrame, keys: DataFrame, on: list[str], n: int) -> DataFrame:
+    """rows with maybe: true if on is among the n keys, and for few others, by a filter that is broadcast."""
+    size, key = filter_size(n, JOINED_BITS), F.xxhash64(*on)
+    words = filter_words(keys, key, size)
+    placed = rows.withColumn("word", F.shiftright(key.bitwiseAND(F.lit(size - 1)), 6)).join(F.broadcast(words), "word", "left")
+    bit = F.expr(f"coalesce(shiftright(bits, cast(xxhash64({', '.join(on)}) & 63 as int)) & 1, 0) = 1")
+    return placed.select(*rows.columns, bit.alias("maybe"))
+
+
+def among(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows joined with distinct keys, left_semi or left_anti; of many keys, only rows that a filter lets pass are shuffled."""
+    n = keys.count()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(keys), on, how)
+    sorted_out = marked(rows, keys, on, n)
+    met = sorted_out.where("maybe").drop("maybe").join(keys, on, how).select(*rows.columns)
+    return met if how == "left_semi" else met.unionByName(sorted_out.where("not maybe").drop("maybe"))
+
+
+def band_filter(crowds: DataFrame) -> np.ndarray:
+    """Words of a filter of the bands of crowds."""
+    size = filter_size(crowds.count(), BAND_BITS)
+    got = filter_words(crowds, F.col("band"), size).toArrow()
+    out = np.zeros(size >> 6, U64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U64)
+    return out
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """id, n_shingles, set_key (128 bits of the whole set) and registers. docs: id, t."""
     def work(batches):
@@ -166,12 +209,18 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("id", "t").mapInArrow(work, "id bigint, n_shingles bigint, set_key binary, registers binary")
 
 
-def banded(holders: DataFrame) -> DataFrame:
-    """band, id: a row for each band of each holder."""
+def banded(holders: DataFrame, held=None) -> DataFrame:
+    """band, id: a row for each band of each holder; held: a broadcast filter, whose bands (and others by chance) are all that is wanted."""
+
+    def passing(keys):
+        if held is None:
+            return keys
+        at = keys & U64(64 * len(held.value) - 1)
+        return keys[(held.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1]
 
     def work(batches):
         for b in pieces(batches):
-            keys = [bands(np.frombuffer(x, np.uint16).reshape(PASSES, BUCKETS)) for x in b.column(1).to_pylist()]
+            keys = [passing(bands(np.frombuffer(x, np.uint16).reshape(PASSES, BUCKETS))) for x in b.column(1).to_pylist()]
             ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U64), *keys]).view(np.int64)), pa.array(ids, pa.int64())], ["band", "id"])
 
@@ -265,19 +314,8 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"components not settled after {ROUNDS} rounds")
 
 
-def fine_sketches(docs: DataFrame) -> DataFrame:
-    """id, t, its bytes and the finer sketch of each text."""
-
-    def work(batches):
-        for b in pieces(batches):
-            fine = [fine_sketch(shingles(x)).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x.as_py()) for x in b.column(1)], pa.int64()), pa.array(fine, pa.binary())], ["id", "t", "bytes", "fine"])
-
-    return docs.select("id", "t").mapInArrow(work, "id bigint, t binary, bytes bigint, fine binary")
-
-
 def mixed_links(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFrame:
-    """Links (a, b) that join the components of rows that share a band: a forest in each lot. holders: id, n_shingles, registers, fine, t, bytes.
+    """Links (a, b) that join the components of rows that share a band: a forest in each lot. holders: id, n_shingles, registers, t, bytes.
 
     Each band has a home, its largest component. Bands of one home are searched
     together, so a pair that shares many bands is looked at once. All rows of a
@@ -288,7 +326,8 @@ def mixed_links(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
     cells or so in each direction, or to one for every MOST_ROWS (MOST_BYTES) of
     a crowd beyond SIDE of them.
 
-    Pairs are looked at and confirmed inside a cell and never become rows. Those
+    Pairs are looked at and confirmed inside a cell and never become rows; finer
+    sketches are made there too, of the texts that come so far. Those
     of components that a link of the lot has joined need no look, so a lot gives
     fewer links than it has rows, whatever the number of pairs.
     """
@@ -315,19 +354,24 @@ def mixed_links(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         homes, i, j, ids, comps, sizes_ = (table.column(c).to_numpy() for c in ("home", "i", "j", "id", "component", "n_shingles"))
         visiting = table.column("visiting").to_numpy(zero_copy_only=False).astype(bool)
-        regs, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint16).reshape(len(ids), -1) for c in ("registers", "fine"))
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
         order = np.lexsort((ids, j, i, homes))
         new = np.ones(len(order), dtype=bool)
         new[1:] = np.any([np.diff(x[order]) != 0 for x in (homes, i, j)], axis=0)
         edges, links, now = np.append(np.flatnonzero(new), len(order)), [], comps.copy()  # now: components as the links join them
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            cell, sets = order[lo:hi], {}
+            cell, sets, sketched = order[lo:hi], {}, {}
 
             def full(at, sets=sets):
                 if at not in sets:
                     sets[at] = shingles(table.column("t")[int(at)].as_py())
                 return sets[at]
 
+            def fine(at, sketched=sketched, full=full):
+                if at not in sketched:
+                    sketched[at] = fine_sketch(full(at))
+                return sketched[at]
+
             own = cell[~visiting[cell]]
             settled = comps[own] == homes[own]
             for a in cell[visiting[cell]]:
@@ -335,7 +379,7 @@ def mixed_links(bands_: DataFrame, holders: DataFrame, of: DataFrame) -> DataFra
                 if len(at):
                     at = at[estimate(regs[at], regs[a][None, :], sizes_[at], sizes_[a]) >= LEAST_ESTIMATE]
                 if len(at):
-                    near = estimate(fine[at], fine[a][None, :], sizes_[at], sizes_[a])
+                    near = estimate(np.stack([fine(x) for x in at]), fine(a)[None, :], sizes_[at], sizes_[a])
                     best = np.argsort(-near, kind="stable")
                     for x in at[best[: np.count_nonzero(near >= LEAST_FINE)]]:
                         if now[x] != now[a] and alike(full(x), full(a)):
@@ -353,23 +397,23 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     every = cut(sketches(docs), "near_sketches")
     sets = every.where("id is not null and set_key is not null")
     total = sets.count()
-    held = cut(sets.groupBy("set_key").agg(F.min("id").alias("holder"), F.count("*").alias("n")), "near_sets")
+    owners = cut(sets.groupBy("set_key").agg(F.min("id").alias("holder"), F.count("*").alias("n")), "near_sets")
     # rows of sets held by several rows; all others hold their own
-    copies = meet(sets.select("id", "set_key"), held.where("n > 1"), "set_key", total).where("id != holder").select("id", "set_key", "holder").distinct()
+    copies = meet(sets.select("id", "set_key"), owners.where("n > 1"), "set_key", total).where("id != holder").select("id", "set_key", "holder").distinct()
     copies = cut(copies, "near_copies")
     # a repeated id may hold other sets than those it copies
-    holders = sets.join(copies.select("id", "set_key"), ["id", "set_key"], "left_anti")
-    shared = banded(holders)
-    crowds = cut(shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near_shared")
-    shared = cut(meet(shared, crowds, "band", total * PASSES * BUCKETS // BAND), "near_bands")
+    holders = among(sets, copies.select("id", "set_key"), ["id", "set_key"], "left_anti").select("id", "registers")
+    crowds = cut(banded(holders).groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near_shared")
+    held = docs.sparkSession.sparkContext.broadcast(band_filter(crowds))
+    shared = cut(meet(banded(holders, held), crowds, "band", total * PASSES * BUCKETS // BAND), "near_bands")
+    held.destroy()
     # a text that others were made from shares more bands with them than they share: it makes the better hub
     degree = cut(shared.groupBy("id").agg(F.sum("n").alias("degree")), "near_degrees")
     best = F.max(F.struct("degree", (-F.col("id")).alias("id")))["id"]
     hubs = shared.join(degree, "id").groupBy("band").agg((-best).alias("hub"), F.min("id").alias("low"), F.count("*").alias("n"))
     active = cut(shared.select("id").distinct(), "near_active")
-    wanted = small(active, BROADCAST_IDS)
-    sizes = cut(sets.join(wanted, "id", "left_semi").select("id", "n_shingles", "registers").dropDuplicates(["id", "registers"]), "near_active_sketches")
-    whole = cut(fine_sketches(docs.join(wanted, "id", "left_semi").dropDuplicates(["id", "t"])), "near_active_texts")
+    sizes = cut(among(sets.select("id", "n_shingles", "registers"), active, ["id"], "left_semi").dropDuplicates(["id", "registers"]), "near_active_sketches")
+    whole = cut(among(docs, active, ["id"], "left_semi").dropDuplicates(["id", "t"]).withColumn("bytes", F.octet_length("t").cast("bigint")), "near_active_texts")
     spokes = meet(shared.select("band", "id"), cut(hubs, "near_hubs"), "band", shared.count()).select("id", F.explode(F.array("hub", "low")).alias("hub")).where("id != hub")
     stars = spokes.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     stars = stars.join(sizes.toDF("b", "nb", "rb"), "b").join(sizes.toDF("a", "na", "ra"), "a")
