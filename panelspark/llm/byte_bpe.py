@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .util import pieces
 
-#: Pieces kept with their ids: two generations of so many at most.
+#: Pieces kept with their ids: two generations of so many at most. A piece is kept from its second time on, as most that are rare come once.
 CACHE_PIECES = 500_000
 CACHE_BYTES = 64
+#: Bytes (a power of two) that tell by a piece's hash whether it came before; a clash keeps one early.
+MET = 1 << 22
 RUN = 1 << 18
 _BIT = [1 << i for i in range(64)]
 
@@ -57,6 +59,7 @@ class Codec:
         self.mid = [0] * (len(self.vocabulary) // 4096 + 1)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.met = bytearray(MET)
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
@@ -141,10 +144,15 @@ class Codec:
                 found = b"".join(i.to_bytes(4, "little") for i in ids)
             else:
                 found = ids.tobytes()
-        if len(piece) <= CACHE_BYTES:
-            if len(self.young) >= CACHE_PIECES:
-                self.old, self.young = self.young, {}
-            self.young[piece] = found
+            if len(piece) > CACHE_BYTES:
+                return found
+            at = hash(piece) & (MET - 1)
+            if not self.met[at]:
+                self.met[at] = 1
+                return found
+        if len(self.young) >= CACHE_PIECES:
+            self.old, self.young, self.met = self.young, {}, bytearray(MET)
+        self.young[piece] = found
         return found
 
     def runs(self, text: str) -> Iterator[bytes]:
@@ -199,7 +207,19 @@ def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str
     return df.select(F.col(key).alias("k"), F.col("n_tokens"), F.coalesce(F.col(ids), F.lit(b"")).alias("token_ids")).mapInArrow(work, f"k {kind}, n_tokens bigint, token_ids binary, decoded binary").withColumnRenamed("k", key)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of decode(encode(df)) by one pass: a task has one Python worker and codec, not two."""
+    def work(batches):
+        own = codec(path, pattern)
+        for b in pieces(batches):
+            out = [own.encode(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array(map(own.decode, out), pa.binary())], ["k", "n_tokens", "token_ids", "decoded"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(work, f"k {kind}, n_tokens bigint, token_ids binary, decoded binary").withColumnRenamed("k", key)
+
+
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of documents."""
-    both = decode(encode(df, path, pattern), path, pattern)
+    both = round_trip(df, path, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
