@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, cover_tree, edit_counts, kneser_ney, licences, mixing, near_dedup, quality_rules, sharding
+from . import backoff_lm, byte_bpe, cover_tree, edit_counts, kneser_ney, licences, mixing, near_dedup, quality_rules, sharding, word_runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -59,13 +59,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_top_k, op6_licences, op7_near_dedup, op8_byte_bpe, op9_lm_scoring, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_top_k, op6_licences, op7_near_dedup, op8_byte_bpe, op9_lm_scoring, op10_token_counts, op11_word_runs, pipeline)}
 
 OP5_SQL = """
 WITH v AS (
@@ -193,4 +197,36 @@ SELECT doc_id, held_out, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_known AS B
 FROM d JOIN s USING (r) CROSS JOIN total
 """
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_top_k": OP5_SQL, "op7_near_dedup": OP7_SQL, "op9_lm_scoring": OP9_SQL}
+#: Words q apart that are identical in stretches; a run's stretch holds at least six, so groups of six are joined.
+OP11_SQL = f"""
+WITH a AS (
+  SELECT row_number() OVER () AS r, doc_id, CAST({CRC.format("CAST(doc_id AS VARCHAR)")} AS BIGINT) AS h, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents
+), b AS (
+  SELECT *, (h // 10) % len(w) AS a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM a
+), d AS (
+  SELECT r, doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM b
+), t AS (
+  SELECT r, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d
+), six AS (
+  SELECT r, n, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o) AS s FROM t WINDOW o AS (PARTITION BY r ORDER BY i)
+), same AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM six x JOIN six y ON x.r = y.r AND x.s = y.s AND x.i < y.i WHERE x.i <= x.n - 6 AND y.i <= y.n - 6
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + 5 AS same FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island
+), runs AS (
+  SELECT r, start, same + q AS length, min(q) AS period FROM stretches WHERE same >= greatest(12 - q, q) GROUP BY r, start, same + q
+), of_text AS (
+  SELECT r, count(*) AS n_runs, arg_min(start, (-length, start, period)) AS start, max(length) AS length, arg_min(period, (-length, start, period)) AS period,
+         string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs
+  FROM runs GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN of_text USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_top_k": OP5_SQL, "op7_near_dedup": OP7_SQL, "op9_lm_scoring": OP9_SQL, "op11_word_runs": OP11_SQL}
