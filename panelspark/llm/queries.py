@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, cover_tree, edit_counts, kneser_ney, licences, mixing, near_dedup, quality_rules, sharding, word_runs
+from . import backoff_lm, byte_bpe, cover_tree, dac, edit_counts, kneser_ney, licences, mixing, near_dedup, quality_rules, sharding, util, word_runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -63,13 +63,18 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = util.scratch(spark, "op13")
+    return dac.digests(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_top_k, op6_licences, op7_near_dedup, op8_byte_bpe, op9_lm_scoring, op10_token_counts, op11_word_runs, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_top_k, op6_licences, op7_near_dedup, op8_byte_bpe, op9_lm_scoring, op10_token_counts, op11_word_runs, op13_token_files, pipeline)}
 
 OP5_SQL = """
 WITH v AS (

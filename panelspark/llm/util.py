@@ -85,17 +85,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, deleted when the process ends or by settled()."""
+    path = f"{shared_dir(spark).rstrip('/')}/{re.sub(r'[^a-z0-9]', '_', name)}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(remove_tables)
+    _made.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once to the shared folder and read back: later steps start from files, not from the plan above.
 
     The table is deleted when the process ends, or by settled().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{re.sub(r'[^a-z0-9]', '_', name)}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    if not _made:
-        atexit.register(remove_tables)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
