@@ -24,12 +24,15 @@ empty table; columns other than key and text are not read, whatever their names.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD, bytes_of, mix, pieces
+from .util import bytes_of, mix, pieces
 
 LEAST = 12
 FAR = np.iinfo(np.int64).max
@@ -137,13 +140,16 @@ def without_repeats(words: list, runs: list[Run]) -> list:
     return [words[i] for i in np.flatnonzero(np.cumsum(depth[:-1]) == 0).tolist()]
 
 
-def runs_of(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """key, runs (by start, then period) and collapsed (the words that are no repeats, joined by one space) of every row; map-side, no shuffle."""
+def runs_of(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, change: Callable[[object, list], list] | None = None) -> DataFrame:
+    """key, runs (by start, then period) and collapsed (the words that are no repeats, joined by one space) of every row; map-side, no shuffle.
+
+    change(key, words), where given, makes the words that are searched.
+    """
     def work(batches):
         for b in pieces(batches):
             offsets, flat, collapsed = [0], [], []
-            for data in b.column(1).to_pylist():
-                words = data.split()
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = change(k, data.split()) if change else data.split()
                 runs = find_runs(words, least)
                 flat += runs
                 offsets.append(len(flat))
@@ -156,17 +162,15 @@ def runs_of(df: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     return df.select(F.col(key).alias("k"), bytes_of(text).alias("t")).mapInArrow(work, f"k {kind}, runs {RUNS}, collapsed string").withColumnRenamed("k", key)
 
 
-def planted(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with a periodic tail in one text of ten, as key's crc32 decides; rows without a key or words stay as they are."""
-    h, g = F.col("__h"), F.col("__g")
-    out = df.withColumn("__h", F.crc32(F.col(key).cast("string").cast("binary"))).withColumn("__g", F.floor(h / 10).cast("bigint"))
-    out = out.withColumn("__w", F.when(h % 10 == 0, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
-    n = F.size("__w").cast("bigint")
-    out = out.withColumn("__a", F.when(n > 0, g % n)).withColumn("__p", 1 + F.floor((n - F.col("__a")) / (3 + g % 8)))
-    a, p = F.col("__a"), F.col("__p")
-    tail = F.transform(F.sequence(F.lit(0).cast("bigint"), n - a - 1), lambda i: F.get("__w", (a + i % p).cast("int")))
-    altered = F.concat_ws(" ", F.slice("__w", F.lit(1), a.cast("int")), tail)
-    return out.withColumn(text, F.when(a.isNotNull(), altered).otherwise(F.col(text))).drop("__h", "__g", "__w", "__a", "__p")
+def planted(doc_id: int | None, words: list) -> list:
+    """words with a periodic tail in one text of ten, as the id's crc32 decides; without an id or words as they are."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
 
 
 def longest(runs: str = "runs") -> Column:
@@ -178,7 +182,7 @@ def digests(df: DataFrame) -> DataFrame:
     """doc_id, n_runs, the longest run and digests of the runs and of the collapsed text, of every row of documents."""
     top, line = F.col("__top"), F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     length, period = top["length"], -top["period"]
-    return runs_of(planted(df)).withColumn("__top", longest()).select(
+    return runs_of(df, change=planted).withColumn("__top", longest()).select(
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-top["start"]).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
