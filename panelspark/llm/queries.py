@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, cover_tree, dac, edit_counts, kneser_ney, licences, mixing, near_dedup, quality_rules, sharding, util, word_runs
+from . import backoff_lm, byte_bpe, cover_tree, dac, edit_counts, kneser_ney, licences, mixing, near_dedup, quality_rules, ranked_search, sharding, util, word_runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -63,6 +63,10 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = util.scratch(spark, "op13")
     return dac.digests(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_top_k, op6_licences, op7_near_dedup, op8_byte_bpe, op9_lm_scoring, op10_token_counts, op11_word_runs, op13_token_files, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_top_k, op6_licences, op7_near_dedup, op8_byte_bpe, op9_lm_scoring, op10_token_counts, op11_word_runs, op12_ranked_search, op13_token_files, pipeline)}
 
 OP5_SQL = """
 WITH v AS (
@@ -234,4 +238,29 @@ SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGI
 FROM d LEFT JOIN of_text USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_top_k": OP5_SQL, "op7_near_dedup": OP7_SQL, "op9_lm_scoring": OP9_SQL, "op11_word_runs": OP11_SQL}
+TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, {TERMS}) AS w FROM documents
+), total AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all({LOWER}, {TERMS})) AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), asked AS (
+  SELECT i, item_id, unnest(w) AS t FROM items
+), held AS (
+  SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY t, n_docs
+), impacts AS (
+  SELECT r, doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)) AS x FROM held, total
+), scores AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * x) AS BIGINT) AS score FROM asked JOIN weights USING (t) JOIN impacts USING (t) GROUP BY ALL
+), ranks AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM ranks WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_top_k": OP5_SQL, "op7_near_dedup": OP7_SQL, "op9_lm_scoring": OP9_SQL, "op11_word_runs": OP11_SQL, "op12_ranked_search": OP12_SQL}
