@@ -35,10 +35,12 @@ import posixpath
 import struct
 import uuid
 from array import array
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -51,18 +53,32 @@ MAGIC = b"PSDAC\x00\x00\x01"
 END = 0
 FILE_TOKENS = 1 << 24
 BLOCK = 512
-MEMO_PIECES = 300_000
+#: Stretches kept with their ids: two generations of so many at most, none longer than so many characters.
+MEMO, MEMO_CHARS = 200_000, 64
+#: Characters of the texts that are encoded together, about.
+TOGETHER = 1 << 23
 FILES_SENT = 1 << 20
 _HEAD = struct.Struct("<8sQQQ")
 _LEVEL = struct.Struct("<QQ")
 MANIFEST = "partition int, sequence int, file string, n_docs bigint, n_tokens bigint"
 
 
-class Encoder:
-    """Packed ids of texts by a tokenizer file.
+#: The character that stands for each byte in byte-level vocabularies; printable ones for themselves, the others from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SIGN = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
+
+_SPACE = chr(_SIGN[0x20])
+
 
-    A byte-level file encodes each match of the pattern by itself, so a match is
-    given to the library once and its ids are kept; other files get whole texts.
+class Encoder:
+    """Ids of texts by a tokenizer file, with the library.
+
+    A byte-level file encodes each match of the pattern by itself, so the library
+    encodes a match once and its ids are kept. A space that something other than
+    a space follows always starts a match, so a batch of texts is cut there, equal
+    chunks are told by Arrow's dictionary, and only distinct ones are looked up,
+    matched and encoded. Texts with two spaces in a row are matched whole; other
+    files get whole texts.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -71,28 +87,62 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         kind = json.loads(Path(path).read_text(encoding="utf-8"))
         step = kind.get("pre_tokenizer") or {}
         plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.pattern = regex.compile(pattern) if plain and not kind.get("normalizer") and not kind.get("post_processor") else None
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 1024):
-            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """Ids as native unsigned 32-bit integers."""
+        self.young: dict[str, array] = {}
+        self.old: dict[str, array] = {}
+
+    def _match(self, match: str) -> array:
+        if match.isascii() and match.isprintable():
+            signs = match.replace(" ", _SPACE)
+        else:
+            signs = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SIGN)
+        return array("I", [t.id for t in self.model.tokenize(signs)])
+
+    def _stretch(self, s: str) -> array:
+        """Ids of what stands between two starts of matches."""
+        found = self.young.get(s)
+        if found is not None:
+            return found
+        found = self.old.get(s)
+        if found is None:
+            matches = [s] if s.isalpha() or (s[0] == " " and s[1:].isalpha()) else self.pattern.findall(s)
+            found = self._match(s) if len(matches) == 1 else array("I", chain.from_iterable(map(self._stretch, matches)))
+        if len(s) <= MEMO_CHARS:
+            if len(self.young) >= MEMO:
+                self.old, self.young = self.young, {}
+            self.young[s] = found
+        return found
+
+    def _whole(self, text: str) -> array:
         if self.pattern is None:
-            return self._ids([text])[0]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        found = self.pattern.findall(text)
-        new = [p for p in dict.fromkeys(found) if p not in self.memo]
-        self.memo.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(self.memo.__getitem__, found))
+            return array("I", self.library.encode(text, add_special_tokens=False).ids)
+        return array("I", chain.from_iterable(map(self._stretch, self.pattern.findall(text))))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind the other, and how many each has."""
+        if self.pattern is None or not texts:
+            own = list(map(self._whole, texts))
+            return np.array(array("I", chain.from_iterable(own)), np.uint32), np.array(list(map(len, own)), np.int64)
+        # by itself: the start of a text up to its first space, or all of a text that isn't cut
+        apart = ["  " in x for x in texts]
+        heads = [self._whole(x) if alone else self._whole(x.partition(" ")[0]) for x, alone in zip(texts, apart, strict=True)]
+        lists = pc.split_pattern(pa.array(["" if alone else x for x, alone in zip(texts, apart, strict=True)], pa.large_string()), " ")
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        chunks = lists.flatten().dictionary_encode()
+        place = chunks.indices.to_numpy().astype(np.int64)
+        place[edges[:-1] - edges[0]] = len(chunks.dictionary) + np.arange(len(texts))
+        led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), chunks.dictionary, pa.scalar("", pa.large_string())).to_pylist()
+        kept = self.young.get  # of the generation that was young when the batch began
+        stretches = [kept(s) or self._stretch(s) for s in led] + heads
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        flat = np.frombuffer(array("I", chain.from_iterable(stretches)) or array("I", [0]), np.uint32)
+        each = sizes[place]
+        shift = (np.cumsum(sizes) - sizes)[place] - (np.cumsum(each) - each)
+        return flat[np.repeat(shift, each) + np.arange(int(each.sum()))], np.add.reduceat(each, edges[:-1] - edges[0])
 
 
 def widths(ids: np.ndarray) -> list[int]:
@@ -236,6 +286,21 @@ def opened(uri: str) -> Codes:
         return Codes(f.read_buffer())
 
 
+def _together(batches):
+    """Keys and texts in lists of about TOGETHER characters, or of one longer text."""
+    keys, texts, size = [], [], 0
+    for b in pieces(batches):
+        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keys.append(k)
+            texts.append(x)
+            size += len(x)
+            if size >= TOGETHER:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def write(df: DataFrame, folder: str, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every row and writes the files to folder (a URI that all executors reach); returns the manifest.
 
@@ -262,9 +327,11 @@ def write(df: DataFrame, folder: str, path: str, pattern: str, key: str = "doc_i
             return row
 
         fs.create_dir(place, recursive=True)
-        for b in pieces(batches):
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.frombytes(encoder.encode(x))
+        for keys, texts in _together(batches):
+            found, sizes = encoder.encode(texts)
+            ends = np.cumsum(sizes)
+            for doc, a, z in zip(keys, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                ids.frombytes(found[a:z].tobytes())
                 ids.append(END)
                 starts.append(len(ids))
                 docs.append(doc)
