@@ -145,6 +145,16 @@ class Encoder:
         return flat[np.repeat(shift, each) + np.arange(int(each.sum()))], np.add.reduceat(each, edges[:-1] - edges[0])
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """One encoder for each Python worker and tokenizer file; what it keeps is bounded (MEMO)."""
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = Encoder(path, pattern)
+    return _encoders[path, pattern]
+
+
 def widths(ids: np.ndarray) -> list[int]:
     """Chunk widths, multiples of four bits, that take least space for these ids: chunks, bitmaps and directories."""
     bits = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1))).astype(int) if len(ids) else np.ones(1, int)
@@ -312,7 +322,7 @@ def write(df: DataFrame, folder: str, path: str, pattern: str, key: str = "doc_i
     folder = folder.rstrip("/")
 
     def work(batches):
-        encoder, name = Encoder(path, pattern), uuid.uuid4().hex
+        encoder, name = encoder_of(path, pattern), uuid.uuid4().hex
         fs, place = pyarrow.fs.FileSystem.from_uri(folder)
         partition, sequence = TaskContext.get().partitionId(), 0
         ids, starts, docs = array("I"), [0], []
