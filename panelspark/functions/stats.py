@@ -34,6 +34,16 @@ def normal_tail_two_sided(t) -> Column:
     return u * F.exp(-z * z + poly)
 
 
+def chi2_tail_column(x, k: int) -> Column:
+    """P(chi-square with k degrees > x) in closed form: a finite sum, and for odd k the normal tail; null stays null."""
+    x = F.greatest(col(x), F.lit(0.0))
+    half = x / 2.0
+    start = 0.5 if k % 2 else 0.0
+    terms = [half ** (start + j) / math.gamma(start + j + 1) for j in range(k // 2)] if k > 1 else []
+    rest = F.exp(-half) * sum(terms, F.lit(0.0))
+    return F.least(normal_tail_two_sided(F.sqrt(x)) + rest if k % 2 else rest, F.lit(1.0))
+
+
 def normal_cdf(x: float) -> float:
     return NormalDist().cdf(x)
 

@@ -79,9 +79,13 @@ class GaussianHMM:
             alpha[t] = now / scale[t]
         return alpha, scale
 
-    def fit(self, x: np.ndarray) -> GaussianHMM:
+    def fit(self, x: np.ndarray, start: GaussianHMM | None = None) -> GaussianHMM:
+        """From start's parameters, if given, else from a seeded start."""
         x = np.asarray(x, float).reshape(len(x), -1)
-        self._start(x)
+        if start is None:
+            self._start(x)
+        else:
+            self.first, self.move, self.mean, self.var = (np.array(a) for a in (start.first, start.move, start.mean, start.var))
         before = -np.inf
         for _ in range(self.rounds):
             b, top = self._emission(x)
@@ -107,6 +111,7 @@ class GaussianHMM:
         return self._forward(self._emission(np.asarray(x, float).reshape(len(x), -1))[0])[0]
 
 
+# Seeds of the starts.
 SEEDS = (17, 29, 43)
 
 
@@ -202,7 +207,8 @@ def fit_volatility(returns: np.ndarray, kind: str = "gjr") -> dict:
 
     starts = {"garch": [(0.05 * v, 0.05, 0.9), (0.2 * v, 0.1, 0.7)], "gjr": [(0.05 * v, 0.03, 0.9, 0.05), (0.2 * v, 0.05, 0.7, 0.1)], "egarch": [(0.05 * math.log(v + 1e-12), 0.1, -0.05, 0.9), (0.1 * math.log(v + 1e-12), 0.2, 0.0, 0.8)]}[kind]
     p, least = min((_simplex(loss, np.array(s)) for s in starts), key=lambda x: x[1])
-    return {"status": "ok", "kind": kind, "params": [float(x) for x in p], "loglik": -least, "forecast_vol": math.sqrt(_variances(kind, p, e)[-1]) / 100}
+    h = _variances(kind, p, e)
+    return {"status": "ok", "kind": kind, "params": [float(x) for x in p], "loglik": -least, "forecast_vol": math.sqrt(h[-1]) / 100, "conditional": h[:-1] / 10_000}
 
 
 # The grid of GJR parameters.
@@ -380,6 +386,8 @@ def backtest_overfitting(df: DataFrame, series: str = "strategy", date: str = "d
 
 # Fixed value: weight of the newest value in forecasters' exponential averages.
 EWMA_ALPHA = 0.2
+# Fixed value: decay of exponentially weighted variances.
+EWMA_DECAY = 0.94
 
 
 def expanding_forecasts(xs: np.ndarray, exog: np.ndarray | None = None, least: int = 12, alpha: float = EWMA_ALPHA) -> list[dict]:
@@ -430,5 +438,3 @@ def diagnostics(xs: np.ndarray, lags: int = 10) -> dict:
         "adf": float(beta[1] / se), "kpss": float((walk @ walk) / (n * n * lrv)) if lrv > 0 else None,
     }
 
-
-ZIVOT_ANDREWS_STATUS = "unavailable"
