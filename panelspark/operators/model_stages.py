@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import col, safe_divide
 from ..functions.stats import chi2_tail_column
 from .joins import lookup
-from .models import EWMA_DECAY, SEEDS, GaussianHMM, fit_volatility, gjr_grid_forecast, stress_labels
+from .models import EWMA_DECAY, SEEDS, GaussianHMM, expanding_forecasts, fit_volatility, gjr_grid_forecast, stress_labels
 from .unit_roots import arch_lm
 
 #: Columns of the stages' tables; empty inputs give these, without rows.
@@ -89,6 +89,47 @@ def forecast_is_late() -> Column:
     return ~((F.col("train_end") < F.col("target")) & (F.col("origin") < F.col("available")))
 
 
+BASELINES = "series string, model string, train_end date, origin date, target date, available date, forecast double, actual double"
+
+
+def baseline_stage(series: DataFrame, start: dt.date, end: dt.date, holdout: dt.date, least: int = 12) -> DataFrame:
+    """Expanding one-step forecasts (lag 1, means, EWMA, AR(1)) whose target lies in the window; BASELINES.
+
+    series: series, date, available, value. A forecast's origin and end of
+    training are the date before its target, and it can be scored once the target
+    is available. What is dated or known at the holdout or later is not read.
+    Write it with guarded(..., forecast_is_late(), ...).
+    """
+    names = [c.split()[0] for c in BASELINES.split(", ")]
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("date")
+        at, known = g["date"].tolist(), g["available"].tolist()
+        rows = expanding_forecasts(g["value"].to_numpy(float), least=least)
+        return pd.DataFrame([(key[0], r["model"], at[r["position"] - 1], at[r["position"] - 1], at[r["position"]], known[r["position"]], r["forecast"], r["actual"]) for r in rows], columns=names)
+
+    rows = before_holdout(series.where("value is not null"), holdout, "date", "available").select("series", F.col("date").cast("date").alias("date"), F.col("available").cast("date").alias("available"), F.col("value").cast("double").alias("value"))
+    return forecast_window(rows.groupBy("series").applyInPandas(run, BASELINES), start, end, holdout)
+
+
+def standard_series(returns: DataFrame, market: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Market series by date: breadth, dispersion, log_median_amount, median_turnover, benchmark_log_return, realized_volatility_20.
+
+    returns: trade_date, ret; market: trade_date, amount, turnover_rate;
+    benchmark: trade_date, ret. The volatility is that of the last 20 dates of
+    returns, 10 at least with a value, over a year. The last step is a window over
+    dates, one row each.
+    """
+    daily = returns.where("ret is not null").groupBy("trade_date").agg(F.avg((F.col("ret") > 0).cast("double")).alias("breadth"), F.stddev_samp("ret").alias("dispersion"))
+    half = F.lit(0.5)
+    m = market.groupBy("trade_date").agg(F.percentile("amount", half).alias("amount"), F.percentile("turnover_rate", half).alias("median_turnover"))
+    b = benchmark.select("trade_date", F.log1p(F.greatest(F.col("ret"), F.lit(-0.999999))).alias("benchmark_log_return"))
+    out = daily.join(m, "trade_date", "left").join(b, "trade_date", "left").withColumn("log_median_amount", F.log(F.when(F.col("amount") != 0, F.col("amount"))))
+    last = Window.orderBy("trade_date").rowsBetween(-19, 0)
+    x = F.col("benchmark_log_return")
+    return out.drop("amount").withColumn("realized_volatility_20", F.when(F.count(x).over(last) >= 10, F.stddev_samp(x).over(last) * math.sqrt(252.0)))
+
+
 # ---------------------------------------------------------------- regimes
 
 

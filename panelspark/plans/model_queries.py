@@ -381,15 +381,20 @@ def representation_increment(s: Star) -> DataFrame:
 # ------------------------------------------------------------------ streams
 
 
-def drained(s: Star, out: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream has written, as Parquet, once it has read all its files."""
+def shared_folder(s: Star) -> str:
+    """A new folder that driver and executors share."""
     spark = s.spark
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/panelspark-streams"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(s: Star, out: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has written, as Parquet, once it has read all its files."""
+    spark, at = s.spark, shared_folder(s)
     schema = out.schema
     write = "append" if mode == "append" else "overwrite"  # a complete result replaces the one before
     q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode(write).parquet(f"{at}/rows")).start()
