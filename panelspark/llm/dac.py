@@ -54,9 +54,9 @@ END = 0
 FILE_TOKENS = 1 << 24
 BLOCK = 512
 #: Stretches kept with their ids: two generations of so many at most, none longer than so many characters.
-MEMO, MEMO_CHARS = 200_000, 64
-#: Characters of the texts that are encoded together, about.
-TOGETHER = 1 << 23
+MEMO, MEMO_CHARS = 300_000, 64
+#: Characters of the texts that are encoded together, about, and chunks whose ids are put together at once.
+TOGETHER, GATHERED = 1 << 24, 1 << 18
 FILES_SENT = 1 << 20
 _HEAD = struct.Struct("<8sQQQ")
 _LEVEL = struct.Struct("<QQ")
@@ -68,6 +68,7 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SIGN = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 
 _SPACE = chr(_SIGN[0x20])
+_MARK = "\x01"
 
 
 class Encoder:
@@ -127,22 +128,34 @@ class Encoder:
         if self.pattern is None or not texts:
             own = list(map(self._whole, texts))
             return np.array(array("I", chain.from_iterable(own)), np.uint32), np.array(list(map(len, own)), np.int64)
-        # by itself: the start of a text up to its first space, or all of a text that isn't cut
-        apart = ["  " in x for x in texts]
-        heads = [self._whole(x) if alone else self._whole(x.partition(" ")[0]) for x, alone in zip(texts, apart, strict=True)]
-        lists = pc.split_pattern(pa.array(["" if alone else x for x, alone in zip(texts, apart, strict=True)], pa.large_string()), " ")
+        # by itself: the start of a text up to its first cut, which no space leads, or all of a text that isn't cut
+        apart = ["  " in x or _MARK in x for x in texts]
+        heads = [self._whole(x) if alone else array("I") for x, alone in zip(texts, apart, strict=True)]
+        cut = pc.replace_substring_regex(pa.array(["" if alone else x for x, alone in zip(texts, apart, strict=True)], pa.large_string()), r"(\pL)([.,;:!?])", rf"\1 {_MARK}\2")
+        lists = pc.split_pattern(cut, " ")
         edges = lists.offsets.to_numpy().astype(np.int64)
         chunks = lists.flatten().dictionary_encode()
-        place = chunks.indices.to_numpy().astype(np.int64)
-        place[edges[:-1] - edges[0]] = len(chunks.dictionary) + np.arange(len(texts))
+        place = chunks.indices.to_numpy().astype(np.int32)
+        first = edges[:-1] - edges[0]
+        starts = chunks.dictionary.take(pa.array(place[first])).to_pylist()
+        heads = [head if alone else self._stretch(x) if x else head for head, alone, x in zip(heads, apart, starts, strict=True)]
+        place[first] = len(chunks.dictionary) + np.arange(len(texts))
         led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), chunks.dictionary, pa.scalar("", pa.large_string())).to_pylist()
         kept = self.young.get  # of the generation that was young when the batch began
-        stretches = [kept(s) or self._stretch(s) for s in led] + heads
-        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        stretches = [kept(s) or (self._stretch(s) if s[1:2] != _MARK else self._stretch(s[2:])) for s in led] + heads
+        sizes = np.fromiter(map(len, stretches), np.int32, len(stretches))
         flat = np.frombuffer(array("I", chain.from_iterable(stretches)) or array("I", [0]), np.uint32)
-        each = sizes[place]
-        shift = (np.cumsum(sizes) - sizes)[place] - (np.cumsum(each) - each)
-        return flat[np.repeat(shift, each) + np.arange(int(each.sum()))], np.add.reduceat(each, edges[:-1] - edges[0])
+        del stretches, led, chunks, starts
+        begin = np.cumsum(sizes) - sizes
+        counts = sizes[place]
+        ids, at = np.empty(int(counts.sum()), np.uint32), 0
+        for i in range(0, len(place), GATHERED):
+            each = counts[i : i + GATHERED]
+            n = int(each.sum())
+            shift = begin[place[i : i + GATHERED]] - (np.cumsum(each) - each)
+            ids[at : at + n] = flat[np.repeat(shift, each) + np.arange(n)]
+            at += n
+        return ids, np.add.reduceat(counts, first)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
