@@ -5,8 +5,7 @@ every id, level 1 the second chunk of those that need one, and so on. A bitmap a
 level tells which ids go on; the number of ones before a place (rank) is where
 the id's next chunk stands on the next level. A directory holds that number for
 every 512 places, so a lookup reads one chunk, one bit and at most eight words
-of the bitmap a level. Chunk widths are multiples of four bits, chosen for each
-file by dynamic programming over how many ids have how many bits.
+of the bitmap a level. Chunk widths are whole bytes, chosen for each by dynamic programming over how many ids have how many bits.
 
 A file holds whole documents in ascending order of doc_id (null first; equal ids
 by a hash of the text, then the text), each with its end id, and where each
@@ -140,9 +139,10 @@ class Encoder:
         starts = chunks.dictionary.take(pa.array(place[first])).to_pylist()
         heads = [head if alone else self._stretch(x) if x else head for head, alone, x in zip(heads, apart, starts, strict=True)]
         place[first] = len(chunks.dictionary) + np.arange(len(texts))
-        led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), chunks.dictionary, pa.scalar("", pa.large_string())).to_pylist()
+        led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), chunks.dictionary, pa.scalar("", pa.large_string()))
+        led = pc.replace_substring_regex(led, f"^ {_MARK}", "").to_pylist()
         kept = self.young.get  # of the generation that was young when the batch began
-        stretches = [kept(s) or (self._stretch(s) if s[1:2] != _MARK else self._stretch(s[2:])) for s in led] + heads
+        stretches = [kept(s) or self._stretch(s) for s in led] + heads
         sizes = np.fromiter(map(len, stretches), np.int32, len(stretches))
         flat = np.frombuffer(array("I", chain.from_iterable(stretches)) or array("I", [0]), np.uint32)
         del stretches, led, chunks, starts
@@ -169,30 +169,27 @@ def encoder_of(path: str, pattern: str) -> Encoder:
 
 
 def widths(ids: np.ndarray) -> list[int]:
-    """Chunk widths, multiples of four bits, that take least space for these ids: chunks, bitmaps and directories."""
-    bits = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1))).astype(int) if len(ids) else np.ones(1, int)
-    quads = (bits + 3) // 4
-    top = int(quads.max())
-    more = [int((quads > q).sum()) for q in range(top)]  # how many ids have bits beyond 4 * q
-    more[0] = max(1, len(ids))
+    """Chunk widths, multiples of eight bits, that take least space for these ids: chunks, bitmaps and directories."""
+    more = [max(1, len(ids))]  # how many ids have bits beyond 8 * q
+    while n := int(np.count_nonzero(ids >> np.uint64(8 * len(more)))) if len(more) < 4 else 0:
+        more.append(n)
+    top = len(more)
     cost, first = [0.0] * (top + 1), [0] * (top + 1)
     for at in range(top - 1, -1, -1):
-        choices = [(more[at] * 4 * (to - at) + (more[at] * (1 + 64 / BLOCK) if to < top else 0) + cost[to], to) for to in range(at + 1, top + 1)]
+        choices = [(more[at] * 8 * (to - at) + (more[at] * (1 + 64 / BLOCK) if to < top else 0) + cost[to], to) for to in range(at + 1, top + 1)]
         cost[at], first[at] = min(choices)
     out, at = [], 0
     while at < top:
-        out.append(4 * (first[at] - at))
+        out.append(8 * (first[at] - at))
         at = first[at]
     return out
 
 
 def _packed(chunks: np.ndarray, width: int) -> bytes:
-    """Chunks of so many bits (a multiple of four), one behind the other, low bits first."""
-    if width in (8, 16, 32):
+    """Chunks of so many bits (whole bytes), one behind the other, low bytes first."""
+    if width != 24:
         return chunks.astype(f"<u{width // 8}").tobytes()
-    quads = ((chunks[:, None] >> np.arange(0, width, 4, dtype=np.uint32)) & 15).astype(np.uint8).ravel()
-    quads = np.append(quads, np.uint8(0)) if len(quads) % 2 else quads
-    return (quads[::2] | (quads[1::2] << 4)).tobytes()
+    return chunks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
 def _aligned(data: bytes) -> bytes:
@@ -250,7 +247,7 @@ class Codes:
         for k, (width, n) in enumerate(shapes):
             blocks = -(-n // BLOCK) if k < n_levels - 1 else 0
             bitmap, directory = take("<u8", blocks * (BLOCK // 64)), take("<u8", blocks)
-            self.levels.append((width, n, bitmap, directory, take("u1", -(-n * width // 8))))
+            self.levels.append((width, n, bitmap, directory, take("u1", n * width // 8)))
 
     def __len__(self) -> int:
         return self.n_tokens
@@ -261,9 +258,7 @@ class Codes:
             raise IndexError(i)
         value = shift = 0
         for width, _, bitmap, directory, chunks in self.levels:
-            bit = i * width
-            raw = int.from_bytes(chunks[bit >> 3 : (bit + width + 7) >> 3].tobytes(), "little") >> (bit & 7)
-            value |= (raw & ((1 << width) - 1)) << shift
+            value |= int.from_bytes(chunks[i * width // 8 : (i + 1) * width // 8].tobytes(), "little") << shift
             if not len(bitmap) or not (int(bitmap[i >> 6]) >> (i & 63)) & 1:
                 break
             block = i // BLOCK
@@ -275,10 +270,11 @@ class Codes:
     @staticmethod
     def _chunks(width: int, n: int, raw: np.ndarray) -> np.ndarray:
         """All chunks of a level."""
-        if width in (8, 16, 32):
-            return raw.view(f"<u{width // 8}")[:n].astype(np.uint32)
-        quads = np.stack((raw & 15, raw >> 4), 1).ravel()[: n * width // 4].astype(np.uint32).reshape(n, width // 4)
-        return (quads << np.arange(0, width, 4, dtype=np.uint32)).sum(1, dtype=np.uint32)
+        if width != 24:
+            return raw.view(f"<u{width // 8}")[:n]
+        whole = np.zeros((n, 4), np.uint8)
+        whole[:, :3] = raw.reshape(n, 3)
+        return whole.view("<u4").ravel()
 
     def all(self) -> np.ndarray:
         """Every id, level by level."""
@@ -288,7 +284,7 @@ class Codes:
             if at is None:
                 out[:] = chunks
             else:
-                out[at] |= chunks << np.uint32(shift)
+                out[at] |= chunks.astype(np.uint32) << np.uint32(shift)
             on = np.unpackbits(bitmap.view(np.uint8), count=n, bitorder="little").astype(bool) if len(bitmap) else np.zeros(n, bool)
             at = np.flatnonzero(on) if at is None else at[on]
             shift += width
