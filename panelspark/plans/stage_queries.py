@@ -11,8 +11,10 @@ from ..functions.scalar import safe_divide
 from ..operators import evaluation as E
 from ..operators import model_stages as S
 from ..operators import unit_roots as U
-from ..sources.star import Star
-from .model_queries import benchmark_returns, shared_folder
+from ..sources import batches as C
+from ..sources.star import CTES, Star
+from ..streaming import online as O
+from .model_queries import benchmark_returns, drained, news_stream, shared_folder
 from .registry import query
 from .research_queries import _ERFC, long
 
@@ -110,3 +112,45 @@ def baseline_window(s: Star) -> DataFrame:
     series = benchmark_returns(s).select("series", "date", F.last_day("date").alias("available"), F.col("ret").alias("value"))
     f = S.baseline_stage(series, dt.date(1996, 1, 1), dt.date(2000, 6, 30), dt.date(2001, 1, 1))
     return S.guarded(f, S.forecast_is_late(), "baselines", f"{shared_folder(s)}/baselines")
+
+
+# ---------------------------------------------------------------- streams
+
+_SESSIONS = "c AS (SELECT DISTINCT CAST(ts AS DATE) AS trade_date FROM events WHERE dayofweek(ts) NOT IN (0, 6))"
+
+
+def weekdays(s: Star) -> DataFrame:
+    """The events' working days as a calendar."""
+    return s.raw("events").select(F.to_date("ts").alias("trade_date")).where(~F.dayofweek("trade_date").isin(1, 7)).distinct()
+
+
+@query("stream_available_sessions", "news", f"WITH {_SESSIONS}, e AS (SELECT event_id, stock_code, publish_time, publish_date, EXISTS (FROM c WHERE c.trade_date = publish_date) AS open, (SELECT min(trade_date) FROM c WHERE c.trade_date > publish_date) AS following FROM news) SELECT event_id, stock_code, CASE WHEN open AND strftime(publish_time, '%H:%M:%S') <= '15:00:00' THEN publish_date ELSE following END AS available_date FROM e")
+def stream_available_sessions(s: Star) -> DataFrame:
+    e = news_stream(s).withColumn("publish_time", F.col("publish_time").cast("timestamp")).withColumn("publish_date", F.to_date("publish_time"))
+    return drained(s, O.available_sessions(e, weekdays(s), late="30 days").select("event_id", "stock_code", "available_date"))
+
+
+@query("stream_of_batches", sql="SELECT o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'b1' ELSE 'b2' END AS batch_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY ALL")
+def stream_of_batches(s: Star) -> DataFrame:
+    """Two committed batches as a stream into an idempotent sink, drained twice from nothing: the replay changes nothing."""
+    folder, o = shared_folder(s), s.raw("orders").select("o_orderkey", "o_orderstatus")
+    parameters = {"provider": "star", "start_date": "1992-01-01", "end_date": "1998-12-31", "symbols": []}
+    for name, part in (("b1", o.where("o_orderkey % 2 = 0")), ("b2", o.where("o_orderkey % 2 != 0"))):
+        C.fetch(s.spark, f"{folder}/raw/{name}", {"orders": lambda part=part: part}, parameters)
+    s.spark.dataSource.register(O.EpochSink)
+    for run in ("first", "again"):
+        rows = O.batch_stream(s.spark, f"{folder}/raw", "orders", o.schema)
+        rows.writeStream.format("epoch_sink").option("folder", f"{folder}/out").option("checkpointLocation", f"{folder}/{run}").trigger(availableNow=True).start().awaitTermination()
+    return O.epochs(s.spark, f"{folder}/out", rows.schema).groupBy("o_orderstatus", "batch_id").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("online_levels", "", f"WITH RECURSIVE news AS ({CTES['news']}), v AS (SELECT stock_code AS series, confidence AS x, row_number() OVER (PARTITION BY stock_code ORDER BY publish_time) AS k FROM news WHERE confidence IS NOT NULL), f AS (SELECT series, k, x AS level, (0.1 + 0.001) * 0.01 / (0.1 + 0.001 + 0.01) AS p FROM v WHERE k = 1 UNION ALL SELECT v.series, v.k, f.level + (f.p + 0.001) / (f.p + 0.001 + 0.01) * (v.x - f.level), (f.p + 0.001) * 0.01 / (f.p + 0.001 + 0.01) FROM f JOIN v ON v.series = f.series AND v.k = f.k + 1) SELECT series, CAST(k AS BIGINT) AS observations, level AS forecast, p + 0.001 + 0.01 AS variance FROM f", "forecast variance")
+def online_levels(s: Star) -> DataFrame:
+    """Forecasts and variances after each row; no two rows of a series have one time there."""
+    own = Star(s.spark.newSession(), s.dir)
+    own.spark.conf.set("spark.sql.streaming.stateStore.providerClass", O.ROCKSDB)
+    values = news_stream(own).where("confidence is not null").select(F.col("stock_code").alias("series"), F.col("publish_time").cast("timestamp").alias("at"), F.col("confidence").alias("value"))
+    at = f"{shared_folder(s)}/levels"
+    out = O.online_levels(values, late="40 days")
+    out.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")).start().awaitTermination()
+    return s.spark.read.schema(out.schema).parquet(f"{at}/rows").where("accepted").select("series", "observations", "forecast", "variance")
