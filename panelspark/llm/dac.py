@@ -8,8 +8,7 @@ every 512 places, so a lookup reads one chunk, one bit and at most eight words
 of the bitmap a level. Chunk widths are whole bytes, chosen for each by dynamic programming over how many ids have how many bits.
 
 A file holds whole documents in ascending order of doc_id (null first; equal ids
-by a hash of the text, then the text), each with its end id, and where each
-starts. Files follow one another in that order too. They are written where tasks
+by their place in the scan), each with its end id, and where each starts. Files follow one another in that order too. They are written where tasks
 run, under names that no other attempt of a task takes; the manifest, a Parquet
 table that Spark commits, names those that count. So a lost executor leaves a
 stray file at most, which write() removes at the end.
@@ -21,9 +20,9 @@ more. An empty table gives a manifest without rows. doc_id must be an integer;
 columns other than key and text are not read, whatever their names. Texts that
 spell a special token are ordinary text.
 
-Rows are dealt to tasks by ranges of doc_id and the text's hash, and by their
-place in the scan, so that an id or a text with a third of all rows is split.
-The place is repeatable for a scan of files; other inputs should be cut first.
+Rows are dealt to tasks by ranges of doc_id and their place in the scan, so that
+an id with a third of all rows is split. The place is repeatable for a scan of
+files; other inputs should be cut first.
 """
 
 from __future__ import annotations
@@ -53,7 +52,7 @@ END = 0
 FILE_TOKENS = 1 << 24
 BLOCK = 512
 #: Stretches kept with their ids: two generations of so many at most, none longer than so many characters.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 450_000, 64
 #: Characters of the texts that are encoded together, about, and chunks whose ids are put together at once.
 TOGETHER, GATHERED = 1 << 24, 1 << 18
 FILES_SENT = 1 << 20
@@ -360,8 +359,9 @@ def write(df: DataFrame, folder: str, path: str, pattern: str, key: str = "doc_i
             yield close()
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(F.col("k").asc_nulls_first(), "h", F.monotonically_increasing_id())
-    made = dealt.sortWithinPartitions(F.col("k").asc_nulls_first(), "h", "t").select("k", "t").mapInArrow(work, MANIFEST)
+    order = [F.col("k").asc_nulls_first(), F.col("place")]
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    made = dealt.select("k", "t").mapInArrow(work, MANIFEST)
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
     _sweep(df.sparkSession, folder)
     return manifest(df.sparkSession, folder)
