@@ -171,10 +171,11 @@ def factor_of() -> tuple[list[Column], Column]:
 def edges(joined: DataFrame, far: Column, support: float) -> DataFrame:
     """By pool and start (as p, t) the edge: the first bin of distances up to which a share `support` of the rows lies."""
     bins = joined.groupBy("pool", "start", F.floor(BINS * F.log1p(far)).alias("bin")).count()
-    order = Window.partitionBy("pool", "start").orderBy("bin")
-    whole = Window.partitionBy("pool", "start")
-    reached = bins.select("pool", "start", "bin", F.sum("count").over(order).alias("upto"), F.sum("count").over(whole).alias("all")).where(F.col("upto") >= support * F.col("all"))
-    return reached.groupBy(F.col("pool").alias("p"), F.col("start").alias("t")).agg(F.min("bin").alias("edge"))
+    # a task's bins of a pool become one row before they are shuffled again, so a pool with many bins is no hot key
+    lists = bins.groupBy(F.col("pool").alias("p"), F.col("start").alias("t")).agg(F.sort_array(F.collect_list(F.struct("bin", F.col("count").alias("n")))).alias("bins"), F.sum("count").alias("all"))
+    state = lambda upto, edge: F.struct(upto.alias("upto"), edge.alias("edge"))
+    grow = lambda a, x: state(a["upto"] + x["n"], F.coalesce(a["edge"], F.when(a["upto"] + x["n"] >= support * F.col("all"), x["bin"])))
+    return lists.select("p", "t", F.aggregate("bins", state(F.lit(0).cast("bigint"), F.lit(None).cast("bigint")), grow, lambda a: a["edge"]).alias("edge"))
 
 
 def moments(core: DataFrame, factor: float, also: tuple[str, ...] = ("rows",)) -> DataFrame:
