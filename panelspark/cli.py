@@ -126,6 +126,37 @@ def describe_run(a) -> int:
     return _show(describe(a.data))
 
 
+def _date(x: str):
+    import datetime as dt
+
+    return dt.date.fromisoformat(x)
+
+
+def build_monthly_sample(a) -> int:
+    from .plans.monthly import build_sample
+
+    manifest = json.loads(Path(a.manifest).read_text()) if a.manifest else None
+    s = build_sample(_spark(), a.data, a.out, a.mode, manifest, _date(a.start), _date(a.holdout))
+    _show(s)
+    return s["exit_code"]
+
+
+def time_series_baselines(a) -> int:
+    from .plans.monthly import run_baselines
+
+    s = run_baselines(_spark(), a.data, a.out, _date(a.start), _date(a.end), _date(a.holdout))
+    _show(s)
+    return s["exit_code"]
+
+
+def time_series_models(a) -> int:
+    from .plans.monthly import run_models
+
+    s = run_models(_spark(), a.data, a.out, _date(a.holdout), a.mode, a.gate_passed == "yes")
+    _show(s)
+    return s["exit_code"]
+
+
 def run_query(a) -> int:
     from .plans.catalogue import QUERIES
 
@@ -144,7 +175,7 @@ def parser() -> argparse.ArgumentParser:
     def add(command: str, f, *options: str, **fixed) -> None:
         q = sub.add_parser(command)
         for o in options:
-            kinds = {"rows": {"type": int, "default": 20}, "format": {"default": "parquet"}, "mode": {"default": "sample"}, "run_id": {"default": "run"}, "config?": {"default": None}}
+            kinds = {"rows": {"type": int, "default": 20}, "format": {"default": "parquet"}, "mode": {"default": "sample"}, "run_id": {"default": "run"}, "config?": {"default": None}, "manifest?": {"default": None}, "start": {"default": "2015-01-01"}, "end": {"default": "2023-12-31"}, "holdout": {"default": "2024-01-01"}, "gate_passed": {"default": "no", "choices": ["yes", "no"]}}
             q.add_argument(f"--{o.rstrip('?').replace('_', '-')}", dest=o.rstrip("?"), **kinds.get(o, {"required": True}))
         q.set_defaults(f=f, **fixed)
 
@@ -162,7 +193,10 @@ def parser() -> argparse.ArgumentParser:
         add(name, text_events, "data", "out", step=step)
     add("describe-run", describe_run, "data")
     add("query", run_query, "name", "data", "rows")
-    for command, name in (("run-robustness", "execution_scenarios"), ("run-time-series-baselines", "baseline_forecasts"), ("run-time-series-models", "kalman_grid"), ("run-portfolio-ablation", "ablation"), ("run-promotion-audit", "promotion_audit"), ("build-monthly-sample", "label_returns")):
+    add("build-monthly-sample", build_monthly_sample, "data", "out", "mode", "manifest?", "start", "holdout")
+    add("run-time-series-baselines", time_series_baselines, "data", "out", "start", "end", "holdout")
+    add("run-time-series-models", time_series_models, "data", "out", "holdout", "mode", "gate_passed")
+    for command, name in (("run-robustness", "execution_scenarios"), ("run-portfolio-ablation", "ablation"), ("run-promotion-audit", "promotion_audit")):
         add(command, run_query, "data", "rows", name=name)
     return p
 

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.scalar import safe_divide
 from ..operators import coverage as G
 from ..operators import evaluation as E
+from ..operators import joins as J
 from ..operators import model_stages as S
+from ..operators import processing as X
 from ..operators import unit_roots as U
 from ..sources import batches as C
 from ..sources.star import CTES, Star
 from ..streaming import online as O
+from . import monthly as P
 from .model_queries import benchmark_returns, drained, news_stream, shared_folder
 from .registry import query
-from .research_queries import _ERFC, long
+from .research_queries import _ERFC, _RANKS, FACTORS, LONG, PANEL, TABLES, long, panel
 
 _BRET = "b AS (SELECT trade_date AS date, close / lag(close) OVER (ORDER BY trade_date) - 1 AS ret FROM bench)"
 
@@ -169,3 +172,11 @@ def historical_member_coverage(s: Star) -> DataFrame:
     industry = member.join(s.industry(), "ts_code").select(F.col("in_date").alias("trade_date"), "ts_code", F.when(F.col("industry_code") == "3", F.lit("保险")).otherwise(F.lit("-")).alias("industry_name"))
     exempt = G.never_filled(bar, "daily_bar", "amount").unionByName(G.of_industries(industry, "financial_indicator", "gross_margin"))
     return G.member_coverage(member, s.calendar(), {"daily_bar": (bar, ["amount", "close"])}, {"financial_indicator": (financial, ["roe", "gross_margin"])}, suspension, exempt, G.sign(exempt, "review board", "1998-12-01"))
+
+
+@query("monthly_factor_ic", f"{TABLES} calendar", f"WITH {PANEL}, {LONG}, {_RANKS}, k AS (SELECT trade_date AS signal_date, lead(trade_date) OVER w AS execution_date, lead(trade_date) OVER w AS label_end_date, lead(trade_date, 2) OVER w AS availability_date FROM calendar WINDOW w AS (ORDER BY trade_date)), u AS (SELECT trade_date, factor, count(*) AS universe, count(*) FILTER (value IS NOT NULL AND fwd IS NOT NULL) AS valid FROM long GROUP BY 1, 2) SELECT k.*, u.factor, ic.ic AS rank_ic, valid, universe, valid / universe AS coverage FROM u JOIN k ON k.signal_date = u.trade_date LEFT JOIN ic ON ic.trade_date = u.trade_date AND ic.factor = u.factor WHERE availability_date IS NOT NULL AND label_end_date = signal_date + INTERVAL 1 MONTH", "rank_ic coverage")
+def monthly_factor_ic(s: Star) -> DataFrame:
+    labels = J.monthly_labels(s.calendar())
+    returns = s.returns().join(J.lookup(labels), F.col("trade_date") == F.col("signal_date")).select("ts_code", "signal_date", "execution_date", "label_end_date", "availability_date", F.col("fwd").alias("label_return"))
+    rows = X.process(panel(s), FACTORS).select("trade_date", "ts_code", "factor", F.col("raw").alias("value"), "neutral")
+    return P.monthly_factor_ic(rows, returns).drop("neutral_rank_ic")
