@@ -215,22 +215,28 @@ def aggregate(rep: DataFrame, signals: DataFrame, features: list[str], days: int
 
 
 def quality_report(e: DataFrame) -> DataFrame:
-    """(metric, key, n): events, duplicates, distinct texts, by source of entity and status."""
+    """(metric, key, n): events, duplicates, distinct texts and entities; distributions by status, month of availability and, where there are such columns, source and type."""
     base = e.agg(F.count("*").alias("events"), F.count_if("is_exact_duplicate").alias("duplicates"), F.count_distinct("dedup_group_id").alias("texts"), F.count_distinct("stock_code").alias("entities"))
     flat = base.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.lit("").alias("key"), F.col(n).alias("n")) for n in base.columns))).alias("m")).select("m.*")
-    by = e.groupBy(F.col("entity_status").alias("key")).agg(F.count("*").alias("n")).select(F.lit("entity_status").alias("metric"), "key", "n")
-    return flat.unionByName(by)
+    of = {"entity_status": F.col("entity_status"), "month": F.date_format("available_time", "yyyy-MM")} | {c: F.col(c) for c in ("source", "event_type", "language") if c in e.columns}
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.coalesce(c.cast("string"), F.lit("")).alias("key")) for m, c in of.items())))
+    return flat.unionByName(e.select(pairs.alias("p")).groupBy("p.metric", "p.key").agg(F.count("*").alias("n")))
+
+
+def seeded(key: str, seed: int) -> Column:
+    """A row's place in a seeded order, as a digest that any engine can work out."""
+    return F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")).cast("binary"))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A seeded sample of n rows: smallest hashes of the key."""
-    return df.withColumn("__h", F.xxhash64(key, F.lit(seed))).orderBy("__h", key).limit(n).drop("__h")
+    """A seeded sample of n rows: smallest digests of the key."""
+    return df.withColumn("__h", seeded(key, seed)).orderBy("__h", key).limit(n).drop("__h")
 
 
 def review_queue(labels: DataFrame, n: int, strata: list[str], key: str = "event_id", seed: int = 42) -> DataFrame:
     """n rows taken from the strata in turn."""
     w = Window.partitionBy(*strata).orderBy("__h", key)
-    rows = labels.withColumn("__h", F.xxhash64(key, F.lit(seed))).withColumn("turn", F.row_number().over(w))
+    rows = labels.withColumn("__h", seeded(key, seed)).withColumn("turn", F.row_number().over(w))
     return rows.orderBy("turn", *strata, "__h").limit(n).drop("__h")
 
 
@@ -250,7 +256,7 @@ def negative_controls(df: DataFrame, features: list[str], shift: int = 1, seed:
     late = df.withColumns({f: F.lag(f, shift).over(w) for f in features}).withColumn("kind", F.lit("shift"))
     day = Window.partitionBy("trade_date")
     a = df.drop(*features).withColumn("__i", F.row_number().over(day.orderBy("ts_code")))
-    b = df.select("trade_date", *features, F.row_number().over(day.orderBy(F.xxhash64("ts_code", F.lit(seed)), "ts_code")).alias("__i"))
+    b = df.select("trade_date", *features, F.row_number().over(day.orderBy(seeded("ts_code", seed), "ts_code")).alias("__i"))
     return late.unionByName(a.join(b, ["trade_date", "__i"]).drop("__i").withColumn("kind", F.lit("permute")))
 
 

@@ -104,4 +104,6 @@ def with_tables(sql: str, *names: str) -> str:
         order += [x for x in [*_NEEDS.get(n, []), n] if x not in order]
     head = ", ".join(f"{n} AS ({CTES[n]})" for n in order)
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {sql[15:].lstrip()}"
     return f"WITH {head}, {sql[5:].lstrip()}" if sql.upper().startswith("WITH ") else f"WITH {head} {sql}"
