@@ -137,8 +137,10 @@ def trailing_event_sum(events: DataFrame, dates: DataFrame, value: str, days: in
     return daily.join(dates.select("trade_date").distinct(), "trade_date").groupBy(entity, "trade_date").agg(F.sum("__v").alias(name), F.sum("__n").alias("event_count"))
 
 
-def near_pairs(events: DataFrame, days: int = 7, threshold: float = 0.85, entity: str = "stock_code", text: str = "content", time: str = "available_time", ident: str = "event_id") -> DataFrame:
-    """Pairs of one entity within `days` whose character trigrams are alike by at least `threshold`.
+def near_pairs(events: DataFrame, days: int | None = 7, threshold: float = 0.85, entity: str = "stock_code", text: str = "content", time: str = "available_time", ident: str = "event_id") -> DataFrame:
+    """Pairs of one entity within `days` (None: at any times) whose character trigrams are alike by at least `threshold`.
+
+    All pairs of equal texts are among them: where there may be many, use near_duplicates.
 
     The trigrams' sizes bound the similarity, and the prefix of each set by
     rarity must share an item, so pairs come from an equi-join on prefix items
@@ -154,8 +156,11 @@ def near_pairs(events: DataFrame, days: int = 7, threshold: float = 0.85, entity
     keep = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
     items = items.join(spread, "item").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= keep).select(entity, ident, time, "n", "item")
     a, b = (items.toDF(entity, f"{s}_id", f"{s}_time", f"{s}_n", "item") for s in ("left", "right"))
-    near = (F.col("left_time") <= F.col("right_time")) & (F.col("right_time") <= F.col("left_time") + F.make_dt_interval(F.lit(days)))
-    order = (F.col("left_time") < F.col("right_time")) | (F.col("left_id") < F.col("right_id"))
+    if days is None:
+        near, order = F.lit(True), F.col("left_id") < F.col("right_id")
+    else:
+        near = (F.col("left_time") <= F.col("right_time")) & (F.col("right_time") <= F.col("left_time") + F.make_dt_interval(F.lit(days)))
+        order = (F.col("left_time") < F.col("right_time")) | (F.col("left_id") < F.col("right_id"))
     alike = F.least("left_n", "right_n") >= threshold * F.greatest("left_n", "right_n")
     pairs = a.join(b, [entity, "item"]).where((F.col("left_id") != F.col("right_id")) & near & order & alike).select(entity, "left_id", "right_id").distinct()
     left = rows.select(F.col(ident).alias("left_id"), F.col("g").alias("x"))
@@ -163,6 +168,28 @@ def near_pairs(events: DataFrame, days: int = 7, threshold: float = 0.85, entity
     return pairs.join(left, "left_id").join(right, "right_id").select(entity, "left_id", "right_id", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def near_duplicates(events: DataFrame, days: int = 7, threshold: float = 0.85, entity: str = "stock_code", text: str = "content", time: str = "available_time", ident: str = "event_id") -> DataFrame:
+    """entity, ident, class_id and links of every event: the smallest id with its text, and how many other events of the entity within `days` are alike.
+
+    Equal texts are one class, so only different texts are compared, and copies are
+    counted and never paired: for two classes that are alike, the events of one
+    around each time of the other are a windowed sum over counts by class and time.
+    Null texts are alike to nothing.
+    """
+    e = events.select(entity, ident, F.col(time).cast("timestamp").alias("t"), F.col(text).alias("x"), F.sha2(F.col(text).cast("binary"), 256).alias("h"))
+    classes = e.where("h is not null").groupBy(entity, "h").agg(F.min(ident).alias("class_id"), F.first("x").alias("x"))
+    named = e.drop("x").join(classes.select(entity, "h", "class_id"), [entity, "h"], "left").drop("h")
+    at = named.where("class_id is not null and t is not null").groupBy("class_id", "t").agg(F.count("*").alias("n"))
+    one = near_pairs(classes.withColumn("t", F.lit(None).cast("timestamp")), None, threshold, entity, "x", "t", "class_id").select("left_id", "right_id")
+    both = one.unionByName(one.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))).unionByName(classes.select(F.col("class_id").alias("left_id"), F.col("class_id").alias("right_id")))
+    asked = both.join(at.withColumnRenamed("class_id", "left_id"), "left_id").select("left_id", "right_id", "t", F.lit(0).alias("n"), F.lit(True).alias("asked"))
+    given = both.join(at.withColumnRenamed("class_id", "right_id"), "right_id").select("left_id", "right_id", "t", "n", F.lit(False).alias("asked"))
+    span = days * 86_400_000_000
+    around = Window.partitionBy("left_id", "right_id").orderBy(F.unix_micros("t")).rangeBetween(-span, span)
+    counted = asked.unionByName(given).withColumn("n", F.sum("n").over(around)).where("asked").groupBy(F.col("left_id").alias("class_id"), "t").agg((F.sum("n") - 1).alias("links"))
+    return named.join(counted, ["class_id", "t"], "left").select(entity, ident, "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def exact_alignment(left: DataFrame, right: DataFrame, on: str = "date") -> DataFrame:
     """Inner join on dates that both sides must share; any date of one side alone raises."""
     odd = left.select(on).join(right.select(on), on, "left_anti").unionByName(right.select(on).join(left.select(on), on, "left_anti")).limit(1).count()

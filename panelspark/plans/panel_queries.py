@@ -175,7 +175,8 @@ def trailing_event_sum(s: Star) -> DataFrame:
 
 @query("near_duplicate_texts")
 def near_duplicate_texts(s: Star) -> DataFrame:
-    return joins.near_pairs(s.text_events(), days=7, threshold=0.85)
+    """A row a text: its class of equal texts and how many texts of a week before and after are alike."""
+    return joins.near_duplicates(s.text_events(), days=7, threshold=0.85)
 
 
 @query("key_coverage", "bar financial", "SELECT count(*) AS rows, avg(CASE WHEN f.ts_code IS NULL THEN 1.0 ELSE 0.0 END) AS missing_share FROM bar b LEFT JOIN (SELECT DISTINCT ts_code, usable_date AS trade_date FROM financial) f ON b.ts_code = f.ts_code AND b.trade_date = f.trade_date", "missing_share")
