@@ -157,6 +157,12 @@ def time_series_models(a) -> int:
     return s["exit_code"]
 
 
+def quality_steps(a) -> int:
+    from .plans.quality import run, steps
+
+    return _show(run(steps(tests=a.tests == "yes")))
+
+
 def run_query(a) -> int:
     from .plans.catalogue import QUERIES
 
@@ -175,7 +181,7 @@ def parser() -> argparse.ArgumentParser:
     def add(command: str, f, *options: str, **fixed) -> None:
         q = sub.add_parser(command)
         for o in options:
-            kinds = {"rows": {"type": int, "default": 20}, "format": {"default": "parquet"}, "mode": {"default": "sample"}, "run_id": {"default": "run"}, "config?": {"default": None}, "manifest?": {"default": None}, "start": {"default": "2015-01-01"}, "end": {"default": "2023-12-31"}, "holdout": {"default": "2024-01-01"}, "gate_passed": {"default": "no", "choices": ["yes", "no"]}}
+            kinds = {"rows": {"type": int, "default": 20}, "format": {"default": "parquet"}, "mode": {"default": "sample"}, "run_id": {"default": "run"}, "config?": {"default": None}, "manifest?": {"default": None}, "start": {"default": "2015-01-01"}, "end": {"default": "2023-12-31"}, "holdout": {"default": "2024-01-01"}, "gate_passed": {"default": "no", "choices": ["yes", "no"]}, "tests": {"default": "yes", "choices": ["yes", "no"]}}
             q.add_argument(f"--{o.rstrip('?').replace('_', '-')}", dest=o.rstrip("?"), **kinds.get(o, {"required": True}))
         q.set_defaults(f=f, **fixed)
 
@@ -192,6 +198,7 @@ def parser() -> argparse.ArgumentParser:
     for step, name in (("prepare", "prepare-text-events"), ("label", "label-events"), ("represent", "build-label-representation")):
         add(name, text_events, "data", "out", step=step)
     add("describe-run", describe_run, "data")
+    add("run-quality-checks", quality_steps, "tests")
     add("query", run_query, "name", "data", "rows")
     add("build-monthly-sample", build_monthly_sample, "data", "out", "mode", "manifest?", "start", "holdout")
     add("run-time-series-baselines", time_series_baselines, "data", "out", "start", "end", "holdout")
@@ -205,7 +212,7 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     try:
         return a.f(a)
-    except (ValueError, FileNotFoundError, FileExistsError, KeyError) as e:
+    except (ValueError, FileNotFoundError, FileExistsError, KeyError, RuntimeError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

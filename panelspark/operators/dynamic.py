@@ -119,10 +119,11 @@ def significant_weights(ic: DataFrame, inference: DataFrame, forecasts: DataFram
 REGIME = "test_date date, states int, state int, label string, probability double, duration double, loglik double, status string"
 
 
-def regimes(variables: DataFrame, dates: DataFrame, columns: list[str], states: tuple[int, ...] = (2, 3), least: int = 24) -> DataFrame:
-    """Filtered state probabilities at each date from variables dated strictly before it; one grouped model a (date, states)."""
+def regimes(variables: DataFrame, dates: DataFrame, columns: list[str], states: tuple[int, ...] = (2, 3), least: int = 24, inclusive: bool = False) -> DataFrame:
+    """Filtered state probabilities at each date from variables dated strictly before it (inclusive: at it too, as earlier tables had it); one grouped model a (date, states)."""
     t = lookup(dates.select(F.col("trade_date").alias("test_date")).distinct())
-    rows = variables.join(t, F.col("date") < F.col("test_date")).select("test_date", "date", *columns, F.explode(F.array(*(F.lit(k) for k in states))).alias("states"))
+    known = F.col("date") <= F.col("test_date") if inclusive else F.col("date") < F.col("test_date")
+    rows = variables.join(t, known).select("test_date", "date", *columns, F.explode(F.array(*(F.lit(k) for k in states))).alias("states"))
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("date")[columns].astype(float).dropna().to_numpy()
@@ -141,10 +142,11 @@ def regimes(variables: DataFrame, dates: DataFrame, columns: list[str], states:
 VOLATILITY = "series string, test_date date, model string, forecast_vol double, status string"
 
 
-def volatility_forecasts(returns: DataFrame, dates: DataFrame, least: int = 36, kinds: tuple[str, ...] = ("garch", "gjr", "egarch")) -> DataFrame:
-    """Historical (last 20, last 60), EWMA, grid GJR and fitted (kinds) next-step volatility by series and date. returns: series, date, ret."""
+def volatility_forecasts(returns: DataFrame, dates: DataFrame, least: int = 36, kinds: tuple[str, ...] = ("garch", "gjr", "egarch"), inclusive: bool = False) -> DataFrame:
+    """Historical (last 20, last 60), EWMA, grid GJR and fitted (kinds) next-step volatility by series and date, from returns before it (inclusive: at it too). returns: series, date, ret."""
     t = lookup(dates.select(F.col("trade_date").alias("test_date")).distinct())
-    rows = returns.where("ret is not null").join(t, F.col("date") < F.col("test_date")).select("series", "test_date", "date", "ret")
+    known = F.col("date") <= F.col("test_date") if inclusive else F.col("date") < F.col("test_date")
+    rows = returns.where("ret is not null").join(t, known).select("series", "test_date", "date", "ret")
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         r, out = g.sort_values("date")["ret"].to_numpy(float), []
@@ -433,3 +435,34 @@ def strategy_comparison(navs: DataFrame, trials: int, per_year: int = 252, key:
     table = performance(rows, [key], date=date, per_year=per_year)
     deflated = returns_of(rows, "nav", date, [key]).where("ret is not null").select(key, "ret").groupBy(key).applyInPandas(deflate, f"{key} string, deflated_sharpe double")
     return table.join(deflated, key, "left")
+
+
+def strategy_audit(returns: DataFrame, trials: int, per_year: int = 252, least_months: int = 36, key: str = "strategy", date: str = "date", ret: str = "ret") -> DataFrame:
+    """audit_type, model, observations, oos_months, trial_count, dsr_probability, pbo, status: a row a strategy and one of overfitting over all.
+
+    Returns are cut to the interval on which every strategy has some. A strategy
+    is eligible with enough months and a deflated Sharpe probability of 0.95.
+    """
+    from .models import backtest_overfitting, deflated_sharpe
+
+    rows = returns.where(F.col(ret).isNotNull())
+    span = rows.groupBy(key).agg(F.min(date).alias("a"), F.max(date).alias("b")).agg(F.max("a").alias("__a"), F.min("b").alias("__b"))  # one row
+    rows = rows.join(F.broadcast(span), F.col(date).between(F.col("__a"), F.col("__b"))).select(key, date, ret)
+
+    def deflate(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        months = g[date].map(lambda d: (d.year, d.month)).nunique()
+        p = deflated_sharpe(g.sort_values(date)[ret].to_numpy(float), trials, per_year)
+        good = p is not None and months >= least_months and p >= 0.95
+        return pd.DataFrame([("deflated_sharpe", str(k[0]), len(g), months, trials, p, None, "eligible" if good else "not_promoted")], columns=[c.split()[0] for c in AUDIT.split(", ")])
+
+    each = rows.groupBy(key).applyInPandas(deflate, AUDIT)
+    whole = rows.agg(F.count_distinct(date).alias("observations"), F.count_distinct(F.trunc(date, "MM")).alias("oos_months"))
+    pbo = backtest_overfitting(rows, key, date, ret)
+    all_ = pbo.crossJoin(F.broadcast(whole)).select(  # one row each
+        F.lit("probability_of_backtest_overfitting").alias("audit_type"), F.lit("all_strategies").alias("model"), "observations", "oos_months", F.lit(trials).cast("bigint").alias("trial_count"),
+        F.lit(None).cast("double").alias("dsr_probability"), "pbo", F.when(F.col("splits") > 0, "ok").otherwise("insufficient_history").alias("status"),
+    )
+    return each.unionByName(all_)
+
+
+AUDIT = "audit_type string, model string, observations bigint, oos_months bigint, trial_count bigint, dsr_probability double, pbo double, status string"

@@ -12,7 +12,7 @@ from ..operators import factors, joins
 from ..operators import text_events as V
 from ..sources.star import Star
 from .registry import oracle, query
-from .research_queries import _GROUPS, _RANKS, FACTORS, LONG, PANEL, TABLES
+from .research_queries import _GROUPS, _RANKS, FACTORS, LONG, PANEL, TABLES, long
 
 # ------------------------------------------------------------------ models
 
@@ -20,8 +20,18 @@ _GRID = ", ".join(f"({q}::DOUBLE, {r}::DOUBLE)" for q in D.GRID_Q for r in D.GRI
 # The filter runs once along each factor; a date takes the state after the last value that it knows.
 oracle("kalman_grid", f"{TABLES} calendar", f"WITH RECURSIVE {PANEL}, {LONG}, {_RANKS}, v AS (SELECT factor, CAST(trade_date + INTERVAL 1 MONTH AS DATE) AS a, ic, row_number() OVER (PARTITION BY factor ORDER BY trade_date) AS k FROM ic WHERE ic IS NOT NULL), grid(q, r) AS (VALUES {_GRID}), f AS (SELECT factor, q, r, k, a, ic AS m, (10 * r + q) * r / (10 * r + q + r) AS p FROM v, grid WHERE k = 1 UNION ALL SELECT f.factor, f.q, f.r, v.k, v.a, m + (p + f.q) / (p + f.q + f.r) * (ic - m), (p + f.q) * f.r / (p + f.q + f.r) FROM f JOIN v ON v.factor = f.factor AND v.k = f.k + 1), d AS (SELECT trade_date, factor, q, r FROM calendar, (SELECT DISTINCT factor, q, r FROM f)) SELECT d.trade_date AS test_date, d.factor, d.q, d.r, m AS forecast, p + d.q + d.r AS variance, k AS n FROM d ASOF JOIN f ON d.factor = f.factor AND d.q = f.q AND d.r = f.r AND d.trade_date > f.a", "forecast variance")
 
+_SPREADS = f"{PANEL}, {LONG}, {_GROUPS}, s AS (SELECT trade_date, factor, avg(fwd) FILTER (g = 5) - avg(fwd) FILTER (g = 1) AS r FROM grp GROUP BY ALL HAVING r IS NOT NULL)"
 oracle("overfitting", TABLES, f"WITH {PANEL}, {LONG}, {_GROUPS}, s AS (SELECT trade_date, factor, avg(fwd) FILTER (g = 5) - avg(fwd) FILTER (g = 1) AS r FROM grp GROUP BY ALL HAVING r IS NOT NULL), b AS (SELECT factor, r, CAST(floor((dense_rank() OVER (ORDER BY trade_date) - 1) * 8 / (SELECT count(DISTINCT trade_date) FROM s)) AS INT) AS b FROM s), m AS (SELECT factor, b, count(*) AS n, sum(r) AS s, sum(r * r) AS q FROM b GROUP BY 1, 2), halves AS (SELECT i FROM range(256) AS t(i) WHERE bit_count(i) = 4), p AS (SELECT i, factor, " + ", ".join(f"sum({c}) FILTER ({'' if side == 'u' else 'NOT '}((i >> b) & 1 = 1)) AS {side}{c}" for side in "uv" for c in "nsq") + " FROM m, halves GROUP BY 1, 2), x AS (SELECT i, factor, " + ", ".join(f"{s}s / {s}n / sqrt(({s}q - {s}s * {s}s / {s}n) / ({s}n - 1)) AS {c}" for s, c in (("u", "x"), ("v", "y"))) + " FROM p), o AS (SELECT *, greatest(least((rank() OVER (PARTITION BY i ORDER BY y) + (count(*) OVER (PARTITION BY i, y) - 1) / 2.0) / count(*) OVER (PARTITION BY i), 1 - 1e-6), 1e-6) AS w, row_number() OVER (PARTITION BY i ORDER BY x DESC, factor) AS k FROM x WHERE x IS NOT NULL AND y IS NOT NULL) SELECT count(*) AS splits, avg(CASE WHEN ln(w / (1 - w)) <= 0 THEN 1.0 ELSE 0.0 END) AS pbo FROM o WHERE k = 1", "pbo")
 
+
+
+@query("strategy_audit", TABLES, f"WITH {_SPREADS}, w AS (SELECT max(a) AS a, min(b) AS b FROM (SELECT factor, min(trade_date) AS a, max(trade_date) AS b FROM s GROUP BY 1)), c AS (SELECT s.* FROM s, w WHERE trade_date BETWEEN a AND b) SELECT 'deflated_sharpe' AS audit_type, factor AS model, count(*) AS observations, count(DISTINCT date_trunc('month', trade_date)) AS oos_months, CAST(27 AS BIGINT) AS trial_count FROM c GROUP BY factor UNION ALL SELECT 'probability_of_backtest_overfitting', 'all_strategies', count(DISTINCT trade_date), count(DISTINCT date_trunc('month', trade_date)), 27 FROM c")
+def strategy_audit(s: Star) -> DataFrame:
+    """Factors' spreads as strategies; the probabilities are tested by hand."""
+    g = E.group_returns(long(s, "fwd"), "fwd").select(F.col("trade_date").alias("date"), F.col("factor").alias("strategy"), F.col("spread").alias("ret"))
+    return D.strategy_audit(g, 27, 12).drop("dsr_probability", "pbo", "status")
+
+
 _PAIRS = [(a, b) for i, a in enumerate(FACTORS) for b in FACTORS[i:]]
 _PAIR = "CASE WHEN min(CASE WHEN {b} IS NOT NULL THEN {a} END) < max(CASE WHEN {b} IS NOT NULL THEN {a} END) AND min(CASE WHEN {a} IS NOT NULL THEN {b} END) < max(CASE WHEN {a} IS NOT NULL THEN {b} END) THEN regr_sxy({b}, {a}) / sqrt(regr_sxx({b}, {a}) * regr_syy({b}, {a})) END"
 oracle("average_date_correlation", TABLES, f"WITH {PANEL}, r AS (SELECT trade_date, " + ", ".join(f"CASE WHEN {f} IS NOT NULL THEN rank() OVER (PARTITION BY trade_date, {f} IS NULL ORDER BY {f}) + (count(*) OVER (PARTITION BY trade_date, {f}) - 1) / 2.0 END AS {f}" for f in FACTORS) + " FROM panel), c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {_PAIR.format(a=a, b=b)} AS corr FROM r GROUP BY trade_date" for a, b in _PAIRS) + ') SELECT "left", "right", avg(corr) AS corr FROM c GROUP BY 1, 2', "corr")
