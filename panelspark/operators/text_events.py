@@ -26,13 +26,24 @@ def _folded(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else t.casefold())
 
 
+#: Texts of which normalisation changes white space alone, and folding case alone: the JVM does these, and Python sees only the others.
+ASCII, ASCII_SPACE = r"^[\x00-\x7F]*$", r"[\x09-\x0D\x1C-\x20]+"
+
+
+def _but_ascii(x: Column, plain: Column, other: Callable[[pd.Series], pd.Series]) -> Column:
+    ascii_ = x.rlike(ASCII)
+    return F.when(ascii_, plain).otherwise(F.pandas_udf(other, "string")(F.when(~ascii_, x)))  # made here, as types are parsed by a running session
+
+
 def nfkc(x: Column | str) -> Column:
     """Compatibility-normalised text with runs of white space as one space, trimmed."""
-    return F.pandas_udf(_nfkc, "string")(x)  # made here, as types are parsed by a running session
+    x = F.col(x) if isinstance(x, str) else x
+    return _but_ascii(x, F.trim(F.regexp_replace(x, ASCII_SPACE, " ")), _nfkc)
 
 
 def folded(x: Column | str) -> Column:
-    return F.pandas_udf(_folded, "string")(x)
+    x = F.col(x) if isinstance(x, str) else x
+    return _but_ascii(x, F.lower(x), _folded)
 
 
 # Keywords of the rule labeler; growth is tested first, then the negative words, of which some mean litigation.
@@ -78,7 +89,7 @@ def prepare(events: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     if "publish_time" not in e.columns:
         e = e.withColumn("publish_time", F.col("available_time"))
     e = e.withColumn("title", nfkc(F.coalesce("title", F.lit("")))).withColumn("content", nfkc(F.coalesce("content", F.lit(""))))
-    e = e.withColumn("raw_text", F.concat("title", F.lit("\n"), "content")).withColumn("normalized_text", folded(nfkc("raw_text")))
+    e = e.withColumn("raw_text", F.concat("title", F.lit("\n"), "content")).withColumn("normalized_text", folded(F.trim(F.concat("title", F.lit(" "), "content"))))  # both are normalised
     bad = e.agg(F.count_if(F.length("normalized_text") == 0).alias("empty"), F.count_if(F.col("available_time") < F.col("publish_time")).alias("early"), (F.count("*") - F.count_distinct("event_id")).alias("repeated")).first()
     if any(bad):
         raise ValueError(f"text events: {bad.asDict()}")
