@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import U64, bytes_of, mix, spaced_words, word_hashes
+from .util import U64, bytes_of, mix, repeatable, spaced_words, word_hashes
 
 MU = 20.0
 BLOCK_BYTES, MIN_SHARDS = 8 << 20, 64
@@ -206,7 +206,8 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", mu: flo
     shard_bits = (max(MIN_SHARDS, -(-size // BLOCK_BYTES)) - 1).bit_length()
     bits = min(max(size.bit_length() + KEY_SPARE, KEY_BITS[0]), KEY_BITS[1])
     kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(key).alias("k"), bytes_of(text).alias("t"), F.coalesce(train, F.lit(True)).alias("train"))
+    # blocks are read twice and numbered by task, so they must come out alike each time
+    docs = repeatable(df.select(F.col(key).alias("k"), bytes_of(text).alias("t"), F.coalesce(train, F.lit(True)).alias("train")))
 
     def gather(batches):
         task = TaskContext.get().partitionId() << 32  # blocks are numbered by task

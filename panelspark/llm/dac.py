@@ -21,8 +21,8 @@ columns other than key and text are not read, whatever their names. Texts that
 spell a special token are ordinary text.
 
 Rows are dealt to tasks by ranges of doc_id and their place in the scan, so that
-an id with a third of all rows is split. The place is repeatable for a scan of
-files; other inputs should be cut first.
+an id with a third of all rows is split. A scan gives the same places again after
+a lost executor; rows from behind a shuffle are written once before.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import pieces
+from .util import pieces, repeatable
 
 MAGIC = b"PSDAC\x00\x00\x01"
 END = 0
@@ -358,7 +358,7 @@ def write(df: DataFrame, folder: str, path: str, pattern: str, key: str = "doc_i
         if docs:
             yield close()
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = repeatable(df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")))
     order = [F.col("k").asc_nulls_first(), F.col("place")]
     dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     made = dealt.select("k", "t").mapInArrow(work, MANIFEST)
