@@ -35,29 +35,30 @@ def average_rank(x, partition: list[str], ascending: bool = True) -> Column:
     return F.when(x.isNotNull(), F.rank().over(w) + (ties - 1) / 2.0)
 
 
-def global_average_ranks(df: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
-    """df with each column replaced by its average-tie rank over all rows, NULL for NULL.
+def global_average_ranks(df: DataFrame, columns: list[str], keys: list[str], buckets: int = 64) -> DataFrame:
+    """keys and the average-tie rank of each column over all rows, NULL for NULL; rows without any value are left out. keys tell rows apart.
 
-    No task sorts a whole column: equal values are counted first, the distinct
-    ones are ranked within value ranges (bounds from approximate quantiles, and
-    any bounds give the same ranks), and ranges are offset by the counts below
-    them, `buckets` numbers a column.
+    All columns go through one plan in long form. No task sorts a whole column:
+    equal values are counted first, the distinct ones are ranked within value
+    ranges (bounds from approximate quantiles, and any bounds give the same ranks),
+    and ranges are offset by the counts below them, `buckets` numbers a column.
     """
     bounds = df.approxQuantile(columns, [i / buckets for i in range(1, buckets)], 0.005)
-    for c, cuts in zip(columns, bounds, strict=True):
-        cuts = sorted(set(cuts))
-        x = F.col(c)
-        bucket = sum(((x > b).cast("int") for b in cuts), F.lit(0))
-        counts = df.where(x.isNotNull()).groupBy(c).agg(F.count("*").alias("__n")).withColumn("__b", bucket)
-        below, seen = [], 0
-        sizes = {r["__b"]: r["n"] for r in counts.groupBy("__b").agg(F.sum("__n").alias("n")).collect()}
-        for i in range(len(cuts) + 1):
-            below.append(seen)
-            seen += sizes.get(i, 0)
-        before = F.coalesce(F.sum("__n").over(Window.partitionBy("__b").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = counts.select(F.col(c).alias("__v"), (F.element_at(F.array(*(F.lit(float(v)) for v in below)), F.col("__b") + 1) + before + (F.col("__n") + 1) / 2.0).alias("__r"))
-        df = df.join(ranked, F.col(c) == F.col("__v"), "left").drop("__v", c).withColumnRenamed("__r", c)
-    return df
+    edges = F.array(*(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>") for cuts in bounds))
+    long = df.select(*keys, F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("__c", "__v")).where("__v is not null")
+    counts = long.groupBy("__c", "__v").agg(F.count("*").alias("__n")).withColumn("__b", F.size(F.filter(F.get(edges, "__c"), lambda b: F.col("__v") > b)))
+    sizes = {(r["__c"], r["__b"]): r["n"] for r in counts.groupBy("__c", "__b").agg(F.sum("__n").alias("n")).collect()}
+    offsets = []
+    for c in range(len(columns)):
+        seen = 0
+        for b in range(buckets):
+            offsets.append((c, b, float(seen)))
+            seen += sizes.get((c, b), 0)
+    below = F.broadcast(df.sparkSession.createDataFrame(offsets, "__c int, __b int, __o double"))  # `buckets` rows a column
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__c", "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.withColumn("__r", before + (F.col("__n") + 1) / 2.0).join(below, ["__c", "__b"]).select("__c", "__v", (F.col("__r") + F.col("__o")).alias("__r"))
+    wide = long.join(ranked, ["__c", "__v"]).groupBy(*keys).agg(*(F.max(F.when(F.col("__c") == i, F.col("__r"))).alias(c) for i, c in enumerate(columns)))
+    return wide
 
 
 def percent_rank_average(x, partition: list[str]) -> Column:

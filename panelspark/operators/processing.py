@@ -97,7 +97,7 @@ def factor_correlation(df: DataFrame, factors: list[str], method: str = "spearma
     keys = ["trade_date"] if per_date else []
     rows = df.select("trade_date", "ts_code", *factors)
     if method == "spearman":
-        rows = rows.select("trade_date", "ts_code", *(average_rank(f, keys).alias(f) for f in factors)) if per_date else global_average_ranks(rows, factors)
+        rows = rows.select("trade_date", "ts_code", *(average_rank(f, keys).alias(f) for f in factors)) if per_date else global_average_ranks(rows, factors, ["trade_date", "ts_code"])
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i:]]
     g = rows.groupBy(*keys).agg(*(safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     if per_date:
