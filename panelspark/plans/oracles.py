@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import dynamic as D
 from ..operators import evaluation as E
 from ..operators import factors, joins
+from ..operators import models as M
 from ..operators import text_events as V
+from ..sources import catalog
 from ..sources.star import Star
 from .registry import oracle, query
 from .research_queries import _GROUPS, _RANKS, FACTORS, LONG, PANEL, TABLES, long
@@ -64,6 +66,21 @@ def _label_sql() -> str:
 
 oracle("labelled_texts", "texts", _label_sql(), "confidence")
 
+# Distinct texts of one source meet by the rarest of their trigrams, of which alike sets must share one; copies are counted by time.
+oracle(
+    "near_duplicate_texts", "texts",
+    r"""WITH e AS (SELECT event_id, stock_code, available_time AS t, content, min(event_id) OVER (PARTITION BY stock_code, content) AS c FROM texts WHERE content IS NOT NULL),
+    k AS (SELECT stock_code, c, string_split(regexp_replace(content, '[\t\n\x0B\f\r ]', '', 'g'), '') AS a FROM e WHERE event_id = c),
+    g AS (SELECT stock_code, c, unnest(list_distinct(CASE WHEN len(a) >= 3 THEN list_transform(range(1, len(a) - 1), lambda i: a[i] || a[i + 1] || a[i + 2]) ELSE [array_to_string(a, '')] END)) AS g FROM k WHERE len(array_to_string(a, '')) > 0),
+    n AS (SELECT *, count(*) OVER (PARTITION BY c) AS n, count(*) OVER (PARTITION BY g) AS df FROM g),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY df, g) AS r FROM n) WHERE r <= n - ceil(n * 0.85::DOUBLE) + 1),
+    m AS (SELECT DISTINCT x.c AS a, y.c AS b, x.n AS na, y.n AS nb FROM p x JOIN p y ON x.stock_code = y.stock_code AND x.g = y.g AND x.c < y.c WHERE least(x.n, y.n) >= 0.85 * greatest(x.n, y.n)),
+    j AS (SELECT a, b FROM m JOIN g x ON x.c = m.a JOIN g y ON y.c = m.b AND x.g = y.g GROUP BY a, b, na, nb HAVING count(*)::DOUBLE / (na + nb - count(*)) >= 0.85),
+    o AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j UNION ALL SELECT c, c FROM e WHERE event_id = c),
+    l AS (SELECT x.event_id, count(*) - 1 AS links FROM e x JOIN o ON o.a = x.c JOIN e y ON y.c = o.b AND y.t BETWEEN x.t - INTERVAL 7 DAY AND x.t + INTERVAL 7 DAY GROUP BY 1)
+    SELECT x.stock_code, x.event_id, e.c AS class_id, coalesce(links, 0) AS links FROM texts x LEFT JOIN e USING (event_id) LEFT JOIN l USING (event_id)""",
+)
+
 # ------------------------------------------------------------------ small operators that had no query of their own
 
 
@@ -106,3 +123,15 @@ def selected_factors(s: Star) -> DataFrame:
     summary = [r.asDict() for r in E.ic_summary(ics(s), ["factor"]).select("factor", "ic_mean", "icir").collect()]  # a row a factor
     rows = E.select_factors(summary, {})
     return s.spark.createDataFrame([(r["factor"], r["selected"], r["reason"]) for r in rows], "factor string, selected boolean, reason string")
+
+
+@query("converted_divisors", sql="SELECT p_partkey, 1.0 / (p_size % 7 + 0.5::DOUBLE) AS adj_factor FROM part", doubles="adj_factor")
+def converted_divisors(s: Star) -> DataFrame:
+    return catalog.convert_divisor(s.raw("part").select("p_partkey", (F.col("p_size") % 7 + 0.5).cast("double").alias("adj_factor")))
+
+
+@query("variance_losses", "returns", "WITH v AS (SELECT ts_code, trade_date, ret, var_samp(ret) OVER w AS v, count(ret) OVER w AS n FROM returns WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) SELECT ts_code, count(*) AS n, avg(CASE WHEN ret <> 0 THEN ret * ret / v - ln(ret * ret / v) - 1 END) AS loss FROM v WHERE n >= 6 AND v > 0 GROUP BY ts_code", "loss")
+def variance_losses(s: Star) -> DataFrame:
+    w = Window.partitionBy("ts_code").orderBy("trade_date").rowsBetween(-12, -1)
+    r = s.returns().where("ret is not null").select("ts_code", "ret", F.var_samp("ret").over(w).alias("v"), F.count("ret").over(w).alias("k")).where("k >= 6 and v > 0")
+    return r.groupBy("ts_code").agg(F.count("*").alias("n"), F.avg(M.qlike(F.col("ret"), F.sqrt("v"))).alias("loss"))
