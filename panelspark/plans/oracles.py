@@ -38,6 +38,8 @@ _PAIRS = [(a, b) for i, a in enumerate(FACTORS) for b in FACTORS[i:]]
 _PAIR = "CASE WHEN min(CASE WHEN {b} IS NOT NULL THEN {a} END) < max(CASE WHEN {b} IS NOT NULL THEN {a} END) AND min(CASE WHEN {a} IS NOT NULL THEN {b} END) < max(CASE WHEN {a} IS NOT NULL THEN {b} END) THEN regr_sxy({b}, {a}) / sqrt(regr_sxx({b}, {a}) * regr_syy({b}, {a})) END"
 oracle("average_date_correlation", TABLES, f"WITH {PANEL}, r AS (SELECT trade_date, " + ", ".join(f"CASE WHEN {f} IS NOT NULL THEN rank() OVER (PARTITION BY trade_date, {f} IS NULL ORDER BY {f}) + (count(*) OVER (PARTITION BY trade_date, {f}) - 1) / 2.0 END AS {f}" for f in FACTORS) + " FROM panel), c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {_PAIR.format(a=a, b=b)} AS corr FROM r GROUP BY trade_date" for a, b in _PAIRS) + ') SELECT "left", "right", avg(corr) AS corr FROM c GROUP BY 1, 2', "corr")
 
+oracle("baseline_forecasts", "bench", "WITH o AS (SELECT *, row_number() OVER (ORDER BY trade_date) AS k FROM (SELECT trade_date, close / lag(close) OVER (ORDER BY trade_date) - 1 AS x FROM bench) WHERE x IS NOT NULL), p AS (SELECT t.x AS actual, l.x AS lag_1, (SELECT avg(x) FROM o WHERE k < t.k) AS historical_mean, (SELECT avg(x) FROM o WHERE k < t.k AND k >= t.k - 12) AS rolling_12, (SELECT avg(x) FROM o WHERE k < t.k AND k >= t.k - 24) AS rolling_24, (SELECT list_reduce(list(x ORDER BY k), lambda a, c: 0.8 * a + 0.2 * c) FROM o WHERE k < t.k) AS ewma, (SELECT regr_intercept(c.x, a.x) + regr_slope(c.x, a.x) * l.x FROM o a JOIN o c ON c.k = a.k + 1 WHERE c.k < t.k) AS ar_1 FROM o t JOIN o l ON l.k = t.k - 1 WHERE t.k > 12), f AS (SELECT model, actual, forecast FROM p UNPIVOT (forecast FOR model IN (lag_1, historical_mean, rolling_12, rolling_24, ewma, ar_1))), r AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY actual) + (count(*) OVER (PARTITION BY model, actual) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY model ORDER BY forecast) + (count(*) OVER (PARTITION BY model, forecast) - 1) / 2.0 AS rf FROM f) SELECT 'benchmark' AS series, model, count(*) AS n, sqrt(avg((actual - forecast) * (actual - forecast))) AS rmse, avg(abs(actual - forecast)) AS mae, avg(CASE WHEN sign(actual) = sign(forecast) THEN 1.0 ELSE 0.0 END) AS direction_accuracy, CASE WHEN min(ra) < max(ra) AND min(rf) < max(rf) THEN regr_sxy(rf, ra) / sqrt(regr_sxx(rf, ra) * regr_syy(rf, ra)) END AS rank_corr FROM r GROUP BY model", "rmse mae direction_accuracy rank_corr")
+
 oracle("stream_forecasts", "news", "SELECT stock_code AS series, count(*) AS rows, count(DISTINCT publish_time) AS accepted FROM news GROUP BY 1")
 
 # ------------------------------------------------------------------ samples
