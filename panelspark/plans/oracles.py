@@ -83,6 +83,20 @@ oracle(
     SELECT x.stock_code, x.event_id, e.c AS class_id, coalesce(links, 0) AS links FROM texts x LEFT JOIN e USING (event_id) LEFT JOIN l USING (event_id)""",
 )
 
+_COLUMNS = {"region": {"r_name": 0, "r_regionkey": 0}, "nation": {"n_name": 0, "n_nationkey": 0, "n_regionkey": 0}, "supplier": {"s_acctbal": 1, "s_name": 0, "s_nationkey": 0, "s_suppkey": 0}}
+
+
+def _fingerprint_sql(table: str, columns: dict[str, int]) -> str:
+    """The order-free fingerprint of a table; columns by name, 1 for a double."""
+    text = {c: f"printf('%.9e', {c} + 0.0)" if double else f"CAST({c} AS VARCHAR)" for c, double in columns.items()}
+    row = " || '|' || ".join(f"CASE WHEN {c} IS NULL THEN 'N' ELSE 'V' || length({t}) || ':' || {t} END" for c, t in text.items())
+    limbs = " || ".join(f"', \"' || CAST(sum(CAST('0x' || substr(h, {1 + 12 * i}, 12) AS HUGEINT)) AS VARCHAR) || '\"'" for i in range(5))
+    names = ", ".join(f'"{c}"' for c in columns)
+    return f"SELECT '{table}' AS name, sha256('[[{names}], \"' || count(*) || '\"' || {limbs} || ']') AS sha256 FROM (SELECT sha256({row}) AS h FROM {table})"
+
+
+oracle("table_fingerprints", "", " UNION ALL ".join(_fingerprint_sql(t, c) for t, c in _COLUMNS.items()))
+
 # ------------------------------------------------------------------ small operators that had no query of their own
 
 
