@@ -67,6 +67,9 @@ def _label_sql() -> str:
 
 
 oracle("labelled_texts", "texts", _label_sql(), "confidence")
+oracle("label_representation", "texts", f"{_label_sql().replace('WITH ', 'WITH labels_ AS (SELECT * FROM (WITH ', 1)})) SELECT event_id, stock_code, sentiment, CASE sentiment WHEN 'positive' THEN confidence WHEN 'negative' THEN -confidence ELSE 0.0 END AS score FROM labels_ JOIN texts USING (event_id)", "score")
+# Vectors are of length one.
+oracle("embedded_texts", "texts", f"""WITH {_NORMAL} SELECT DISTINCT sha256('{{"dimension":16,"text":"' || h || '"}}') AS cache_key, CAST(1.0 AS DOUBLE) AS norm FROM n""", "norm")
 
 # Distinct texts of one source meet by the rarest of their trigrams, of which alike sets must share one; copies are counted by time.
 oracle(
