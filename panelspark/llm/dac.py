@@ -32,6 +32,7 @@ import os
 import posixpath
 import struct
 import uuid
+import zlib
 from array import array
 from itertools import chain
 from pathlib import Path
@@ -384,9 +385,13 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("bigint"))
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and token_ids (little-endian unsigned 32-bit integers) of every document, from the files."""
+def read(spark: SparkSession, folder: str, checksums: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and token_ids (little-endian unsigned 32-bit integers) of every document, from the files.
+
+    checksums: ids_crc32, the unsigned CRC-32 of token_ids, in their place, so that ids don't leave the worker that decodes them.
+    """
     folder = folder.rstrip("/")
+    last, kind = ("ids_crc32", "bigint") if checksums else ("token_ids", "binary")
 
     def work(batches):
         for b in batches:
@@ -395,12 +400,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 data, starts = codes.all().astype("<u4").tobytes(), codes.starts.astype(np.int64)
                 for i in range(0, codes.n_docs, 512):
                     edges = starts[i : i + 513]
-                    out = [data[4 * a : 4 * z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([codes.doc_ids[i : i + 512], pa.array(edges[:-1] + first), pa.array(np.diff(edges)), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "token_ids"])
+                    own = (data[4 * a : 4 * z] for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                    out = pa.array(map(zlib.crc32, own), pa.int64()) if checksums else pa.array(own, pa.binary())
+                    yield pa.RecordBatch.from_arrays([codes.doc_ids[i : i + 512], pa.array(edges[:-1] + first), pa.array(np.diff(edges)), out], ["doc_id", "start", "n_tokens", last])
 
     files = manifest(spark, folder).select("file", "start")
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files.repartition(tasks, "file").mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, token_ids binary")
+    return files.repartition(tasks, "file").mapInArrow(work, f"doc_id bigint, start bigint, n_tokens bigint, {last} {kind}")
 
 
 def tokens_at(positions: DataFrame, folder: str, position: str = "position") -> DataFrame:
@@ -435,5 +441,5 @@ def tokens_at(positions: DataFrame, folder: str, position: str = "position") ->
 def digests(df: DataFrame, folder: str, path: str, pattern: str) -> DataFrame:
     """Writes documents to folder and returns doc_id, start, n_tokens and ids_crc32 of every document as read back."""
     write(df, folder, path, pattern)
-    return read(df.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+    return read(df.sparkSession, folder, checksums=True)
 
