@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
+from ..functions.tables import written
 from ..functions.windows import by_entity, keep_one
+from .alike import candidates, sketched
 
 #: Calendars of so many sessions at most are broadcast (three centuries of days); the size is counted.
 MAX_CALENDAR = 80_000
@@ -141,31 +143,27 @@ def near_pairs(events: DataFrame, days: int | None = 7, threshold: float = 0.85,
     """Pairs of one entity within `days` (None: at any times) whose character trigrams are alike by at least `threshold`.
 
     All pairs of equal texts are among them: where there may be many, use near_duplicates.
-
-    The trigrams' sizes bound the similarity, and the prefix of each set by
-    rarity must share an item, so pairs come from an equi-join on prefix items
-    and not from all rows of an entity.
     """
+    rows = written(sketched(events.where(F.col(text).isNotNull()).select(entity, ident, text), text), "sketches")
+    return confirmed(written(candidates(rows, threshold, entity, ident), "candidates"), events, days, threshold, entity, text, time, ident)
+
+
+def confirmed(found: DataFrame, events: DataFrame, days: int | None, threshold: float, entity: str, text: str, time: str, ident: str) -> DataFrame:
+    """entity, left_id, right_id, similarity of those of found (entity, a_id, b_id) that are alike on their full sets; only their texts are read again."""
     from ..functions.scalar import character_ngrams, jaccard
 
-    rows = events.select(entity, ident, time, F.transform(character_ngrams(text), lambda g: F.xxhash64(g)).alias("g"))
-    rows = rows.withColumn("n", F.size("g"))
-    items = rows.select(entity, ident, time, "n", F.explode("g").alias("item"))
-    spread = items.groupBy("item").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy(ident).orderBy("df", "item")
-    keep = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
-    items = items.join(spread, "item").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= keep).select(entity, ident, time, "n", "item")
-    a, b = (items.toDF(entity, f"{s}_id", f"{s}_time", f"{s}_n", "item") for s in ("left", "right"))
+    one = found.select(entity, F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"))
+    other = found.select(entity, F.col("b_id").alias("left_id"), F.col("a_id").alias("right_id"))
+    ids = lookup(one.select(F.col("left_id").alias(ident)).unionByName(other.select(F.col("left_id").alias(ident))).distinct())
+    rows = events.join(ids, ident, "left_semi").select(ident, F.col(time).alias("t"), F.transform(character_ngrams(text), lambda g: F.xxhash64(g)).alias("g"))
+    left = rows.select(F.col(ident).alias("left_id"), F.col("t").alias("left_time"), F.col("g").alias("x"))
+    right = rows.select(F.col(ident).alias("right_id"), F.col("t").alias("right_time"), F.col("g").alias("y"))
     if days is None:
-        near, order = F.lit(True), F.col("left_id") < F.col("right_id")
+        near = F.col("left_id") < F.col("right_id")
     else:
-        near = (F.col("left_time") <= F.col("right_time")) & (F.col("right_time") <= F.col("left_time") + F.make_dt_interval(F.lit(days)))
-        order = (F.col("left_time") < F.col("right_time")) | (F.col("left_id") < F.col("right_id"))
-    alike = F.least("left_n", "right_n") >= threshold * F.greatest("left_n", "right_n")
-    pairs = a.join(b, [entity, "item"]).where((F.col("left_id") != F.col("right_id")) & near & order & alike).select(entity, "left_id", "right_id").distinct()
-    left = rows.select(F.col(ident).alias("left_id"), F.col("g").alias("x"))
-    right = rows.select(F.col(ident).alias("right_id"), F.col("g").alias("y"))
-    return pairs.join(left, "left_id").join(right, "right_id").select(entity, "left_id", "right_id", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+        near = (F.col("left_time") <= F.col("right_time")) & (F.col("right_time") <= F.col("left_time") + F.make_dt_interval(F.lit(days))) & ((F.col("left_time") < F.col("right_time")) | (F.col("left_id") < F.col("right_id")))
+    pairs = one.unionByName(other).join(left, "left_id").join(right, "right_id").where(near)
+    return pairs.select(entity, "left_id", "right_id", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def near_duplicates(events: DataFrame, days: int = 7, threshold: float = 0.85, entity: str = "stock_code", text: str = "content", time: str = "available_time", ident: str = "event_id") -> DataFrame:
@@ -176,11 +174,14 @@ def near_duplicates(events: DataFrame, days: int = 7, threshold: float = 0.85, e
     around each time of the other are a windowed sum over counts by class and time.
     Null texts are alike to nothing.
     """
-    e = events.select(entity, ident, F.col(time).cast("timestamp").alias("t"), F.col(text).alias("x"), F.sha2(F.col(text).cast("binary"), 256).alias("h"))
-    classes = e.where("h is not null").groupBy(entity, "h").agg(F.min(ident).alias("class_id"), F.first("x").alias("x"))
-    named = e.drop("x").join(classes.select(entity, "h", "class_id"), [entity, "h"], "left").drop("h")
+    h = F.sha2(F.col(text).cast("binary"), 256).alias("h")
+    e = events.select(entity, ident, F.col(time).cast("timestamp").alias("t"), h)
+    rows = sketched(events.where(F.col(text).isNotNull()).select(entity, ident, h, text), text)
+    classes = written(rows.groupBy(entity, "h").agg(F.min(ident).alias("class_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    named = e.join(classes.select(entity, "h", "class_id"), [entity, "h"], "left").drop("h")
     at = named.where("class_id is not null and t is not null").groupBy("class_id", "t").agg(F.count("*").alias("n"))
-    one = near_pairs(classes.withColumn("t", F.lit(None).cast("timestamp")), None, threshold, entity, "x", "t", "class_id").select("left_id", "right_id")
+    found = written(candidates(classes, threshold, entity, "class_id"), "candidates")
+    one = written(confirmed(found, events, None, threshold, entity, text, time, ident).select("left_id", "right_id"), "alike")
     both = one.unionByName(one.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))).unionByName(classes.select(F.col("class_id").alias("left_id"), F.col("class_id").alias("right_id")))
     asked = both.join(at.withColumnRenamed("class_id", "left_id"), "left_id").select("left_id", "right_id", "t", F.lit(0).alias("n"), F.lit(True).alias("asked"))
     given = both.join(at.withColumnRenamed("class_id", "right_id"), "right_id").select("left_id", "right_id", "t", "n", F.lit(False).alias("asked"))
