@@ -192,7 +192,7 @@ def embed(e: DataFrame, encode: Callable[[list[str]], np.ndarray], dimension: in
 
 
 def hashing_encoder(dimension: int) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic encoder without a model: signed word hashes, normalised."""
+    """A deterministic encoder without a model: signed word hashes, normalised; words that cancel each other out leave the first one's axis, so every vector has length one."""
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
@@ -200,6 +200,8 @@ def hashing_encoder(dimension: int) -> Callable[[list[str]], np.ndarray]:
             for w in t.split():
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
                 out[i, h % dimension] += 1 if h >> 63 else -1
+            if not out[i].any():
+                out[i, int.from_bytes(hashlib.blake2b(t.split()[0].encode() if t.split() else b"", digest_size=8).digest(), "little") % dimension] = 1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode
