@@ -41,21 +41,23 @@ OUT = "series string, at timestamp, value double, forecast double, variance doub
 
 
 def kalman_step(q: float, r: float):
-    """The stateful function of one series: rows not later than the state's time are refused, others update a local level."""
+    """The stateful function of one series: rows not later than the state's time are refused, others update a local level.
+
+    A series' rows of a trigger may come in several batches in any order, so they are put in order together.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, variance, n, last = state.get if state.exists else (None, 10 * r, 0, None)
-        for b in batches:
-            out = []
-            for at, x in b.sort_values("at")[["at", "value"]].itertuples(index=False):
-                ok = last is None or at > last
-                if ok:
-                    prior = variance + q
-                    gain = prior / (prior + r)
-                    level = x if level is None else level
-                    level, variance, n, last = level + gain * (x - level), (1 - gain) * prior, n + 1, at
-                out.append((key[0], at, x, level, variance + q + r, ok))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        out = []
+        for at, x in pd.concat([b[["at", "value"]] for b in batches]).sort_values("at", kind="stable").itertuples(index=False):
+            ok = not pd.isna(at) and (last is None or at > last)
+            if ok:
+                prior = variance + q
+                gain = prior / (prior + r)
+                level = x if level is None else level
+                level, variance, n, last = level + gain * (x - level), (1 - gain) * prior, n + 1, at
+            out.append((key[0], at, x, level, variance + q + r, ok))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
         state.update((level, variance, n, last))
 
     return step
