@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as T
+from ..functions.tables import written
 from ..operators import evaluation as E
 from ..operators import performance as P
 from ..operators import portfolio as B
@@ -210,7 +211,8 @@ def rebalance_costs(s: Star) -> DataFrame:
 
 
 def backtest(s: Star) -> DataFrame:
-    return B.weight_backtest(portfolio(s), s.returns(), s.calendar(), B.Costs())
+    """Weights and dates are met in several steps and are small, so each is worked out once from the line items."""
+    return B.weight_backtest(written(portfolio(s), "portfolio"), s.returns(), written(s.calendar(), "calendar"), B.Costs())
 
 
 _BT = "cal AS (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS nx FROM calendar), gross AS (SELECT c.nx AS trade_date, sum(target_weight * coalesce(r.ret, 0)) AS gross FROM port p JOIN cal c USING (trade_date) LEFT JOIN returns r ON r.trade_date = c.nx AND r.ts_code = p.ts_code WHERE c.nx IS NOT NULL GROUP BY c.nx), bt AS (SELECT g.trade_date, gross, coalesce(cost, 0) AS cost, gross - coalesce(cost, 0) AS ret FROM gross g LEFT JOIN (SELECT nx AS trade_date, cost FROM cost JOIN cal USING (trade_date)) k USING (trade_date)), nav AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS nav FROM bt)"
