@@ -18,21 +18,22 @@ from ..functions.windows import keep_one
 from .joins import lookup
 
 
-def _nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip())
+def _nfkc(t: str | None) -> str | None:
+    return None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip()
 
 
-def _folded(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else t.casefold())
+def _folded(t: str | None) -> str | None:
+    return None if t is None else t.casefold()
 
 
 #: Texts of which normalisation changes white space alone, and folding case alone: the JVM does these, and Python sees only the others.
 ASCII, ASCII_SPACE = r"^[\x00-\x7F]*$", r"[\x09-\x0D\x1C-\x20]+"
 
 
-def _but_ascii(x: Column, plain: Column, other: Callable[[pd.Series], pd.Series]) -> Column:
+def _but_ascii(x: Column, plain: Column, other: Callable[[str | None], str | None]) -> Column:
+    """Python gets texts by the hundred: an Arrow batch of ten thousand whole texts, in several copies a worker, grows with the table and its texts."""
     ascii_ = x.rlike(ASCII)
-    return F.when(ascii_, plain).otherwise(F.pandas_udf(other, "string")(F.when(~ascii_, x)))  # made here, as types are parsed by a running session
+    return F.when(ascii_, plain).otherwise(F.udf(other, "string", useArrow=False)(F.when(~ascii_, x)))  # made here, as types are parsed by a running session
 
 
 def nfkc(x: Column | str) -> Column:
