@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
+from ..functions.tables import written
 from ..operators import coverage as G
 from ..operators import evaluation as E
 from ..operators import joins as J
@@ -165,13 +166,15 @@ def online_levels(s: Star) -> DataFrame:
 
 @query("historical_member_coverage", "calendar member bar financial industry", "WITH a AS (SELECT c.trade_date, m.ts_code FROM calendar c JOIN member m ON m.in_date <= c.trade_date AND (m.out_date IS NULL OR c.trade_date < m.out_date)), s AS (SELECT ts_code, in_date + 200 AS b, in_date + 400 AS e FROM member WHERE CAST(ts_code AS INT) % 5 = 1), f AS (SELECT ts_code, usable_date, CASE WHEN month(report_period) <> 3 THEN roe END AS roe, gross_margin FROM financial), j AS (SELECT a.trade_date, CAST(a.ts_code AS INT) AS code, s.ts_code IS NOT NULL AS off, CASE WHEN CAST(a.ts_code AS INT) % 7 <> 0 THEN bar.amount END AS amount, bar.close, industry_code = '3' AS free, f.roe, f.gross_margin FROM a LEFT JOIN s ON s.ts_code = a.ts_code AND s.b <= a.trade_date AND a.trade_date < s.e LEFT JOIN bar ON bar.trade_date = a.trade_date AND bar.ts_code = a.ts_code LEFT JOIN industry i ON i.ts_code = a.ts_code ASOF LEFT JOIN f ON f.ts_code = a.ts_code AND f.usable_date <= a.trade_date), x AS (SELECT trade_date, 'daily_bar' AS \"table\", 'amount' AS field, off, code % 7 = 0 AS free, amount IS NOT NULL AS ok FROM j UNION ALL SELECT trade_date, 'daily_bar', 'close', off, false, close IS NOT NULL FROM j UNION ALL SELECT trade_date, 'financial_indicator', 'roe', false, false, roe IS NOT NULL FROM j UNION ALL SELECT trade_date, 'financial_indicator', 'gross_margin', false, free, gross_margin IS NOT NULL FROM j), g AS (SELECT trade_date, \"table\", field, count(*) AS active_count, count(*) FILTER (NOT off AND free) AS exempted_count, count(*) FILTER (NOT off AND NOT free AND ok) AS non_missing_count, count(*) FILTER (NOT off AND NOT free) AS eligible FROM x GROUP BY 1, 2, 3) SELECT trade_date, \"table\", field, active_count, exempted_count, non_missing_count, CASE WHEN eligible = 0 THEN 1.0 ELSE non_missing_count / eligible END AS coverage FROM g", "coverage")
 def historical_member_coverage(s: Star) -> DataFrame:
-    code, member = F.col("ts_code").cast("int"), s.member()
-    bar = s.bar().withColumn("amount", F.when(code % 7 != 0, F.col("amount")))
-    financial = s.financial().withColumn("roe", F.when(F.month("report_period") != 3, F.col("roe")))
+    months = written(s.months(), "months")
+    code, member, dates = F.col("ts_code").cast("int"), written(s.member(months), "member"), written(months.select("trade_date").distinct().coalesce(1), "calendar")
+    amount = F.col("cents") / F.lit(100.0)
+    bar = months.select("trade_date", "ts_code", F.when(code % 7 != 0, amount).alias("amount"), (amount / F.col("qty")).alias("close"))
+    financial = s.financial(months).withColumn("roe", F.when(F.month("report_period") != 3, F.col("roe")))
     suspension = member.where(code % 5 == 1).select("ts_code", F.date_add("in_date", 200).alias("suspend_date"), F.date_add("in_date", 400).alias("resume_date"))
     industry = member.join(s.industry(), "ts_code").select(F.col("in_date").alias("trade_date"), "ts_code", F.when(F.col("industry_code") == "3", F.lit("保险")).otherwise(F.lit("-")).alias("industry_name"))
-    exempt = G.never_filled(bar, "daily_bar", "amount").unionByName(G.of_industries(industry, "financial_indicator", "gross_margin"))
-    return G.member_coverage(member, s.calendar(), {"daily_bar": (bar, ["amount", "close"])}, {"financial_indicator": (financial, ["roe", "gross_margin"])}, suspension, exempt, G.sign(exempt, "review board", "1998-12-01"))
+    exempt = written(G.never_filled(bar, "daily_bar", "amount").unionByName(G.of_industries(industry, "financial_indicator", "gross_margin")), "exempt")
+    return G.member_coverage(member, dates, {"daily_bar": (bar, ["amount", "close"])}, {"financial_indicator": (financial, ["roe", "gross_margin"])}, suspension, exempt, G.sign(exempt, "review board", "1998-12-01"))
 
 
 @query("monthly_factor_ic", f"{TABLES} calendar", f"WITH {PANEL}, {LONG}, {_RANKS}, k AS (SELECT trade_date AS signal_date, lead(trade_date) OVER w AS execution_date, lead(trade_date) OVER w AS label_end_date, lead(trade_date, 2) OVER w AS availability_date FROM calendar WINDOW w AS (ORDER BY trade_date)), u AS (SELECT trade_date, factor, count(*) AS universe, count(*) FILTER (value IS NOT NULL AND fwd IS NOT NULL) AS valid FROM long GROUP BY 1, 2) SELECT k.*, u.factor, ic.ic AS rank_ic, valid, universe, valid / universe AS coverage FROM u JOIN k ON k.signal_date = u.trade_date LEFT JOIN ic ON ic.trade_date = u.trade_date AND ic.factor = u.factor WHERE availability_date IS NOT NULL AND label_end_date = signal_date + INTERVAL 1 MONTH", "rank_ic coverage")

@@ -30,6 +30,10 @@ class Star:
             F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"), F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"), "l_returnflag",
         )
 
+    def months(self) -> DataFrame:
+        """Whole sums of the line items for each supplier and month; members, amounts and reports are sums of these, so one pass over the line items serves them all."""
+        return self.lines().groupBy("trade_date", "ts_code").agg(*(F.sum(c).alias(c) for c in ("cents", "qty", "disc", "tax")), F.count("*").alias("n"))
+
     def bar(self) -> DataFrame:
         """A bar for each supplier and month."""
         unit = F.col("cents") / F.lit(100.0) / F.col("qty")
@@ -50,14 +54,15 @@ class Star:
         s = self.raw("supplier").select(self.code("s_suppkey").alias("ts_code"), F.col("s_acctbal").alias("total_mv"))
         return out.join(s, "ts_code")
 
-    def financial(self) -> DataFrame:
-        q = self.lines().withColumn("report_period", F.last_day(F.add_months(F.trunc("trade_date", "quarter"), 2)))
-        g = q.groupBy("ts_code", "report_period").agg(F.sum("disc").alias("d"), F.sum("tax").alias("t"), F.sum("cents").alias("c"), F.count("*").alias("n"))
+    def financial(self, months: DataFrame | None = None) -> DataFrame:
+        rows = self.lines().withColumn("n", F.lit(1)) if months is None else months
+        q = rows.withColumn("report_period", F.last_day(F.add_months(F.trunc("trade_date", "quarter"), 2)))
+        g = q.groupBy("ts_code", "report_period").agg(F.sum("disc").alias("d"), F.sum("tax").alias("t"), F.sum("cents").alias("c"), F.sum("n").alias("n"))
         out = g.select("ts_code", "report_period", F.date_add("report_period", 30).alias("ann_date"), (F.col("d") / F.lit(100.0) / F.col("n")).alias("roe"), (1.0 - F.col("t") / F.lit(100.0) / F.col("n")).alias("gross_margin"), (F.col("t") / F.lit(100.0) / F.col("n")).alias("debt_ratio"), (F.col("c") / F.lit(100.0)).alias("total_assets"))
         return out.withColumn("usable_date", F.add_months(F.trunc("ann_date", "MM"), 1))
 
-    def member(self) -> DataFrame:
-        b = self.lines().groupBy("ts_code").agg(F.min("trade_date").alias("in_date"), F.max("trade_date").alias("last"))
+    def member(self, months: DataFrame | None = None) -> DataFrame:
+        b = (self.lines() if months is None else months).groupBy("ts_code").agg(F.min("trade_date").alias("in_date"), F.max("trade_date").alias("last"))
         end = b.select(F.max("last").alias("end"))
         return b.join(F.broadcast(end)).select("ts_code", "in_date", F.when(F.col("last") < F.col("end"), F.col("last")).alias("out_date"))
 
