@@ -27,6 +27,19 @@ def lagged_return(price, n: int, skip: int = 0, over=None) -> Column:
     return safe_divide(now, F.lag(price, n).over(w)) - 1
 
 
+#: Tasks, at least, among which dealt() puts groups that are sorted whole.
+RANK_TASKS = 200
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df by keys in RANK_TASKS or spark.sql.shuffle.partitions tasks, whichever is more, for windows over the same keys.
+
+    Left alone, adaptive execution joins groups up to a size that it counts
+    compressed, and one task sorts tens of them at once.
+    """
+    return df.repartition(max(RANK_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def average_rank(x, partition: list[str], ascending: bool = True) -> Column:
     """Rank where ties share their mean rank; NULL for NULL. Rank and ties share one sort and one partitioning."""
     x = col(x)

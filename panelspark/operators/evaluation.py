@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
 from ..functions.stats import benjamini_hochberg, newey_west, safe_corr
-from ..functions.windows import average_rank, cumulative_return, first_rank_bucket, membership_turnover, rolling
+from ..functions.windows import average_rank, cumulative_return, dealt, first_rank_bucket, membership_turnover, rolling
 from .joins import lookup
 
 
@@ -16,7 +16,7 @@ def daily_ic(df: DataFrame, target: str, keys: list[str] | None = None, value: s
     keys = keys or ["trade_date", "factor"]
     rows = df.where(F.col(value).isNotNull() & F.col(target).isNotNull()).select(*keys, F.col(value).alias("x"), F.col(target).alias("y"))
     if method == "spearman":
-        rows = rows.select(*keys, average_rank("x", keys).alias("x"), average_rank("y", keys).alias("y"))
+        rows = dealt(rows, keys).select(*keys, average_rank("x", keys).alias("x"), average_rank("y", keys).alias("y"))
     g = rows.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr("x", "y").alias("ic"))
     return g.select(*keys, F.when(F.col("n") >= least, F.col("ic")).alias("ic"), "n")
 
