@@ -82,8 +82,8 @@ def label_prompt(*, event_id="event_id", stock_code="stock_code", source="source
     return F.concat_ws("\n", *map(F.lit, rules), *(F.concat(F.lit(f"{k}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for k, c in fields.items()))
 
 
-def prepare(events: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """Events normalised, hashed and grouped by equal text; repeated ids, empty texts and availability before publication raise."""
+def prepare(events: DataFrame, registry: DataFrame | None = None, refuse: bool = True) -> DataFrame:
+    """Events normalised, hashed and grouped by equal text; repeated ids, empty texts and availability before publication raise, or stay as rows if `refuse` is False."""
     e = events
     if "title" not in e.columns:
         e = e.withColumn("title", F.lit(""))
@@ -91,9 +91,10 @@ def prepare(events: DataFrame, registry: DataFrame | None = None) -> DataFrame:
         e = e.withColumn("publish_time", F.col("available_time"))
     e = e.withColumn("title", nfkc(F.coalesce("title", F.lit("")))).withColumn("content", nfkc(F.coalesce("content", F.lit(""))))
     e = e.withColumn("raw_text", F.concat("title", F.lit("\n"), "content")).withColumn("normalized_text", folded(F.trim(F.concat("title", F.lit(" "), "content"))))  # both are normalised
-    bad = e.agg(F.count_if(F.length("normalized_text") == 0).alias("empty"), F.count_if(F.col("available_time") < F.col("publish_time")).alias("early"), (F.count("*") - F.count_distinct("event_id")).alias("repeated")).first()
-    if any(bad):
-        raise ValueError(f"text events: {bad.asDict()}")
+    if refuse:
+        bad = e.agg(F.count_if(F.length("normalized_text") == 0).alias("empty"), F.count_if(F.col("available_time") < F.col("publish_time")).alias("early"), (F.count("*") - F.count_distinct("event_id")).alias("repeated")).first()
+        if any(bad):
+            raise ValueError(f"text events: {bad.asDict()}")
     e = e.withColumn("content_sha256", text_sha256("normalized_text")).withColumn("dedup_group_id", F.concat(F.lit("exact:"), "content_sha256"))
     e = e.withColumn("is_exact_duplicate", F.count("*").over(Window.partitionBy("stock_code", "dedup_group_id")) > 1)
     if registry is None:
