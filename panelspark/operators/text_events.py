@@ -148,12 +148,13 @@ def label(e: DataFrame, cache: DataFrame | None = None, labeler: Callable[[pd.Se
     """event_id, cache_key, LABEL's fields, output_json, cached: cached labels first, the rest by rules or a labeler over text batches.
 
     A key holds event, text, model, prompt version, the configuration's
-    fingerprint (the rules' lexicon if none is given) and the label schema's.
+    fingerprint (the rules' lexicon if none is given) and the label schema's;
+    an event without an id has none.
     """
     own = configuration or (lexicon_fingerprint() if labeler is None else model)
     schema = fingerprint({"label": LABEL, "event_type": EVENT_TYPES, "sentiment": SENTIMENTS, "impact_horizon": HORIZONS})
     key = cache_key({"configuration": F.lit(own), "event": F.col("event_id").cast("string"), "model": F.lit(model), "prompt": F.lit(prompt_version), "schema": F.lit(schema), "text": text_sha256("normalized_text")})
-    rows = e.select("event_id", "normalized_text").withColumn("cache_key", key)
+    rows = e.select("event_id", "normalized_text").withColumn("cache_key", F.when(F.col("event_id").isNotNull(), key))
     have = None
     if cache is not None:
         c = cache.select("cache_key", *LABEL_FIELDS)
