@@ -235,7 +235,7 @@ def quality_report(e: DataFrame) -> DataFrame:
     base = e.agg(F.count("*").alias("events"), F.count_if("is_exact_duplicate").alias("duplicates"), F.count_distinct("dedup_group_id").alias("texts"), F.count_distinct("stock_code").alias("entities"))
     flat = base.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.lit("").alias("key"), F.col(n).alias("n")) for n in base.columns))).alias("m")).select("m.*")
     of = {"entity_status": F.col("entity_status"), "month": F.date_format("available_time", "yyyy-MM")} | {c: F.col(c) for c in ("source", "event_type", "language") if c in e.columns}
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.coalesce(c.cast("string"), F.lit("")).alias("key")) for m, c in of.items())))
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), (c if m == "month" else F.coalesce(c.cast("string"), F.lit(""))).alias("key")) for m, c in of.items())))
     return flat.unionByName(e.select(pairs.alias("p")).groupBy("p.metric", "p.key").agg(F.count("*").alias("n")))
 
 
